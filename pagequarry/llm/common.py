@@ -53,3 +53,13 @@ def doc_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 def plain(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns an operator works on; whatever else a table carries can't clash with its own names."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+BROADCAST_KEYS = 500_000
+
+
+def split_by(docs: DataFrame, keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` whose key is among ``keys`` (distinct, written) and the others. Up to ``BROADCAST_KEYS``
+    64-bit keys, 8 MB, are broadcast, so that no text is shuffled to find out; more are joined by shuffle."""
+    held = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    return docs.join(held, name, "left_semi"), docs.join(held, name, "left_anti")
