@@ -232,10 +232,9 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns. Rows are told apart by id and
     text; a rejected document goes with all its repetitions."""
-    key = common.doc_key().alias("_key")
-    keyed = docs.select("*", key)
+    rows = docs.select(F.struct("*").alias("row"), common.doc_key().alias("key"))
     ids = docs.select(common.doc_key().alias("doc_id"), "text", "lang", "source", "n_chars")
-    names = docs.select("doc_id", common.doc_key().alias("_key"))
-    mapped = labels.join(names, "doc_id").select(F.col("_key").alias("doc_id"), *[c for c in labels.columns if c != "doc_id"])
-    rejected = score(ids, mapped, **how).filter(~F.col("keep")).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(rejected, "_key", "left_anti").drop("_key")
+    names = docs.select("doc_id", common.doc_key().alias("key"))
+    mapped = labels.join(names, "doc_id").select(F.col("key").alias("doc_id"), *[c for c in labels.columns if c != "doc_id"])
+    rejected = common.written(score(ids, mapped, **how).filter(~F.col("keep")).select(F.col("doc_id").alias("key")).distinct(), "rejected")
+    return common.split_by(rows, rejected, "key")[1].select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced_topk, bpe, licenses, line_dedup, packing, permutation_ann, quality, resharding, suffix_dedup
+from . import bitsliced_topk, bpe, licenses, line_dedup, ngram_join, packing, permutation_ann, quality, resharding, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -67,7 +72,7 @@ def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bitsliced_topk, op2_bpe, op3_quality, op5_packing, op6_permutation_ann, op7_licenses, op8_line_dedup, op9_suffix_dedup, op10_resharding)
+    f.__name__: f for f in (op1_bitsliced_topk, op2_bpe, op3_quality, op4_ngram_join, op5_packing, op6_permutation_ann, op7_licenses, op8_line_dedup, op9_suffix_dedup, op10_resharding)
 }
 
 #: Of the others: a BPE encoder, a trained classifier, a packer whose sequence numbers are free, an approximate index,
@@ -84,6 +89,35 @@ WITH v AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT * FROM r WHERE rank <= 10
+""",
+    "op4_ngram_join": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, md5(text) AS class, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), t AS (
+  SELECT DISTINCT class, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 2), i -> array_to_string(words[i:i + 3], ' ')) END) AS grams FROM w
+), g AS (
+  SELECT class, len(grams) AS n, unnest(grams) AS gram FROM t WHERE len(grams) > 0
+), o AS (
+  SELECT a.class AS a, b.class AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
+  FROM g a JOIN g b ON a.gram = b.gram AND a.class < b.class AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.class, b.class
+), e AS (
+  SELECT a, b FROM o WHERE 100 * shared >= 85 * (na + nb - shared)
+), s AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r AS (
+  SELECT class AS src, class AS dst FROM t WHERE len(grams) > 0 UNION SELECT r.src, s.b FROM r JOIN s ON s.a = r.dst
+), f AS (
+  SELECT class, min(doc_id) AS first FROM w GROUP BY class
+), c AS (
+  SELECT r.src AS class, min(f.first) AS component_id FROM r JOIN f ON f.class = r.dst GROUP BY r.src
+), d AS (
+  SELECT a AS class, count(*) AS n_links FROM s GROUP BY a
+)
+SELECT w.doc_id, CAST(coalesce(len(t.grams), 0) AS BIGINT) AS n_shingles,
+       coalesce(c.component_id, w.doc_id) AS component_id, CAST(coalesce(d.n_links, 0) AS BIGINT) AS n_links
+FROM w LEFT JOIN t ON t.class = w.class LEFT JOIN c ON c.class = w.class LEFT JOIN d ON d.class = w.class
 """,
     "op8_line_dedup": line_dedup.ORACLE_SQL,
 }

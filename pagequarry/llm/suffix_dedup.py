@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .hashing import BUFFER, BUFFER_BITS, Substrings, mix
@@ -161,38 +162,52 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[new], reach[np.concatenate([new[1:], [len(starts)]]) - 1]
 
 
-def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
-    """``doc_id, kept, spans, text`` of every row: the bytes left when each byte inside a string of
-    ``threshold`` bytes that also starts elsewhere is gone, the maximal removed runs, and the text in whole
-    characters (one that a cut runs through stays whole).
-
-    Strings are judged on the input; all their occurrences go, in one document or many. Null counts as
-    empty, with a null text out; texts shorter than the threshold stay. A row that repeats id and text is a copy like
-    any other, so both lose everything from the threshold on. An empty table gives an empty result. Other columns are ignored.
-    """
+def _removed(docs: DataFrame, threshold: int, gram: int) -> DataFrame:
+    """``row`` (the whole input row), ``kept``, ``spans``, ``text``."""
     spans = repeated_spans(docs, threshold, gram)
-    rows = docs.select("doc_id", "text", common.doc_key().alias("key"))
+    # the row travels as one struct, so no column of the table can clash with those used here
+    rows = docs.select(F.struct("*").alias("row"), common.doc_key().alias("key"))
     hit, rest = common.split_by(rows, spans.select("key"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, "text"):
+            for part in common.slices(batch, "row"):
                 kept, cut, left = [], [], []
-                for text, own in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                for text, own in zip(part.column(0).field("text").to_pylist(), part.column(1).to_pylist(), strict=True):
                     raw = text.encode()
                     a, b = merged(np.array([s["start"] for s in own]), np.array([s["end"] for s in own]))
                     a, b = a.tolist(), b.tolist()
                     kept.append(_without(raw, a, b))
                     cut.append([{"start": x, "end": y} for x, y in zip(a, b, strict=True)])
                     left.append(_without(raw, [_up(raw, x) for x in a], [_down(raw, y) for y in b]).decode())
-                yield pa.record_batch([part.column(0), pa.array(kept, pa.binary()), pa.array(cut, _SPANS), pa.array(left, pa.string())], names=["doc_id", "kept", "spans", "text"])
+                yield pa.record_batch([part.column(0), pa.array(kept, pa.binary()), pa.array(cut, _SPANS), pa.array(left, pa.string())], names=["row", "kept", "spans", "text"])
 
-    out = "doc_id long, kept binary, spans array<struct<start: long, end: long>>, text string"
-    changed = hit.join(spans, "key").select("doc_id", "text", "spans").mapInArrow(run, out)
-    same = rest.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("kept"), F.array().cast("array<struct<start: long, end: long>>").alias("spans"), "text")
+    kind = "array<struct<start: long, end: long>>"
+    out = T.StructType([rows.schema["row"], T.StructField("kept", T.BinaryType()), T.StructField("spans", _SPANS_TYPE), T.StructField("text", T.StringType())])
+    changed = hit.join(spans, "key").select("row", "spans").mapInArrow(run, out)
+    same = rest.select("row", F.coalesce("row.text", F.lit("")).cast("binary").alias("kept"), F.array().cast(kind).alias("spans"), F.col("row.text").alias("text"))
     return changed.unionByName(same)
 
 
+def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
+    """``doc_id, kept, spans, text`` of every row: the bytes left when each byte inside a string of
+    ``threshold`` bytes that also starts elsewhere is gone, the maximal removed runs, and the text in whole
+    characters (one that a cut runs through stays whole).
+
+    Strings are judged on the input; all their occurrences go, in one document or many. Null counts as
+    empty, with a null text out; texts shorter than the threshold stay. A row that repeats id and text is a copy like
+    any other, so both lose everything from the threshold on. An empty table gives an empty result. Other columns are ignored.
+    """
+    return _removed(docs, threshold, gram).select(F.col("row.doc_id").alias("doc_id"), "kept", "spans", "text")
+
+
+def dedup_text(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
+    """``docs`` with the same rows and columns, the text as ``remove_repeats`` leaves it."""
+    out = _removed(docs, threshold, gram)
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+_SPANS_TYPE = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
