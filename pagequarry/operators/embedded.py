@@ -116,7 +116,7 @@ class _Items(HTMLParser):
     def handle_data(self, data):
         if self.reading and self.products:
             path = self.reading[-1][1]
-            self.products[-1][path] = (self.products[-1].get(path, "") + data).strip()
+            self.products[-1][path] = self.products[-1].get(path, "") + data
 
 
 def microdata_nested(pages: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def microdata_nested(pages: DataFrame) -> DataFrame:
             for page_id, html in zip(batch["page_id"], batch["html"], strict=True):
                 parser = _Items()
                 parser.feed(html)
-                rows += [(page_id, *[next((p[k] for k in keys if p.get(k)), None) for keys in paths.values()]) for p in parser.products]
+                rows += [(page_id, *[next((p[k].strip() for k in keys if p.get(k, "").strip()), None) for keys in paths.values()]) for p in parser.products]
             yield pd.DataFrame(rows, columns=["page_id", *paths])
 
     nested = pages.filter(F.expr("regexp_count(html, '(?i)\\\\bitemscope\\\\b') > 1")).select("page_id", "html")
@@ -148,7 +148,8 @@ def meta_products(pages: DataFrame) -> DataFrame:
         ),
     )
     held = pages.select("page_id", tags.alias("tags"))
-    first = lambda *names: decode_entities(F.coalesce(*[F.nullif(F.get(F.filter("tags", lambda t, n=n: t["k"] == n), F.lit(0))["v"], F.lit("")) for n in names]))
+    one = lambda name: F.nullif(F.get(F.filter("tags", lambda t: t["k"] == name), F.lit(0))["v"], F.lit(""))
+    first = lambda *names: decode_entities(F.coalesce(*map(one, names)))
     found = held.select(
         "page_id", *_source("meta"), first("product:retailer_item_id").alias("sku"), first("product:gtin", "product:ean").alias("gtin"), first("og:title").alias("name"), first("product:brand", "og:brand").alias("brand"),
         first("product:price:amount", "og:price:amount").alias("price"), first("product:price:currency", "og:price:currency").alias("currency"), first("product:availability", "og:availability").alias("availability"),

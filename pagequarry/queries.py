@@ -121,7 +121,8 @@ def extract(spark, sf_dir):
 def extract_stream_query(spark, sf_dir):
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
     at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    for query in extract_stream(spark, f"{sf_dir}/pages.parquet", f"{at}/out", f"{at}/checkpoint"):
+    pages = f"{sf_dir}/[p]ages.parquet"  # a pattern may name a file or a folder, a plain path only a folder
+    for query in extract_stream(spark, pages, f"{at}/out", f"{at}/checkpoint"):
         query.awaitTermination()
     return spark.read.schema("page_id long, title string, h1 string, lang string").parquet(f"{at}/out/pages")
 
