@@ -8,15 +8,17 @@ fingerprints, so that most suffixes need not be written out one by one:
    is alone in the corpus drops out.
 2. The context, all bytes that the run's suffixes see. Where all runs of an anchor have one context, or a
    context occurs twice, every suffix of the run is repeated and needs no further pass.
-3. The suffix's own ``threshold`` bytes, for one run of each remaining context. Equal groups of this
-   last pass are exactly the repeated strings.
+3. The bytes that all suffixes of a quarter see. Suffixes are in a quarter by how far the anchor is from their start, so what
+   those of one quarter see in common is most of the threshold. Quarters that no other context shares drop out.
+4. The suffix's own ``threshold`` bytes, for one run of each remaining context. Equal groups of this
+   last pass are exactly the repeated strings. They travel packed, about ten bytes each.
 
-Digits are compared by 64 bits of hash.
+The anchor, the context and the last digit are compared by 64 bits of hash, quarters by 32.
 """
 
 from __future__ import annotations
 
-import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,9 @@ from .hashing import BUFFER, BUFFER_BITS, Substrings, mix
 
 THRESHOLD = 200
 GRAM = 32
+QUARTERS = 4
+SUFFIXES_PER_BUCKET = 1 << 20
+FLUSH_SUFFIXES = 1 << 20
 
 
 def buffers(texts: list[bytes], threshold: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
@@ -62,7 +67,8 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, segments: list[tuple[int, int, int, int]], threshold: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of a buffer: each run's segment, first start in the segment, number of starts less one, anchor and context."""
+    """Of a buffer: each run's segment, first start in the segment, number of starts less one, distance from
+    the first start to the anchor, anchor, context, and two longs of two quarters each (0 where the run has none)."""
     subs = Substrings(data)
     grams = subs.every(gram)
     low = np.uint64(BUFFER - 1)
@@ -77,7 +83,18 @@ def runs(data: np.ndarray, segments: list[tuple[int, int, int, int]], threshold:
     last = np.concatenate([new[1:], [len(starts)]]) - 1
     lo, hi, at = starts[new], starts[last], anchors[new]
     context = mix(subs.of(lo, hi + threshold) ^ mix(((at - lo).astype(np.uint64) << np.uint64(BUFFER_BITS + 1)) | (hi - lo).astype(np.uint64)))
-    return of[new], lo - firsts[of[new]], hi - lo, grams[at], context
+    width = quarter_width(threshold, gram)
+    quarters = []
+    for q in range(QUARTERS):
+        met = (at - lo >= width * q) & (at - hi < width * (q + 1))
+        first = np.where(met, at - width * q, 0)
+        quarters.append(np.where(met, subs.of(first, first + np.where(met, threshold - width + 1, 0)) >> np.uint64(32), np.uint64(0)))
+    pairs = [(quarters[i] << np.uint64(32)) | quarters[i + 1] for i in (0, 2)]
+    return of[new], lo - firsts[of[new]], hi - lo, at - lo, grams[at], context, *pairs
+
+
+def quarter_width(threshold: int, gram: int) -> int:
+    return -(-(threshold - gram + 1) // QUARTERS)
 
 
 def _signed(a: np.ndarray) -> pa.Array:
@@ -85,7 +102,7 @@ def _signed(a: np.ndarray) -> pa.Array:
 
 
 def first_pass(keyed: DataFrame, threshold: int, gram: int) -> DataFrame:
-    """``key, anchor, context, start, more`` of every run of suffixes of ``keyed`` (key, text)."""
+    """``key, anchor, context, start, more, back, qa, qb`` of every run of suffixes of ``keyed`` (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,65 +110,128 @@ def first_pass(keyed: DataFrame, threshold: int, gram: int) -> DataFrame:
                 key = part.column(0).to_numpy(zero_copy_only=False)
                 texts = [(t or "").encode() for t in part.column(1).to_pylist()]
                 for data, segments in buffers(texts, threshold):
-                    of, start, more, anchor, context = runs(data, segments, threshold, gram)
+                    of, start, more, back, anchor, context, qa, qb = runs(data, segments, threshold, gram)
                     text = np.array([s[0] for s in segments])[of]
                     base = np.array([s[1] for s in segments])[of]
-                    yield pa.record_batch([pa.array(key[text]), _signed(anchor), _signed(context), pa.array(start + base), pa.array(more.astype(np.int32))], names=["key", "anchor", "context", "start", "more"])
+                    yield pa.record_batch([pa.array(key[text]), _signed(anchor), _signed(context), pa.array(start + base), pa.array(more.astype(np.int32)), pa.array(back.astype(np.int32)), _signed(qa), _signed(qb)], names=_RUN)
+
+    return keyed.mapInArrow(run, "key long, anchor long, context long, start long, more int, back int, qa long, qb long")
+
+
+_RUN = ["key", "anchor", "context", "start", "more", "back", "qa", "qb"]
 
-    return keyed.mapInArrow(run, "key long, anchor long, context long, start long, more int")
 
+PACKED = "bucket int, digits binary, starts binary, once binary, counts binary, keys binary"
+_PACKED = pa.schema([("bucket", pa.int32()), *[(n, pa.binary()) for n in ("digits", "starts", "once", "counts", "keys")]])
 
-def last_pass(held: DataFrame, threshold: int) -> DataFrame:
-    """``digit, key, start, once`` of the suffixes in the runs of ``held`` (key, text, runs)."""
+
+def last_pass(held: DataFrame, threshold: int, buckets: int) -> DataFrame:
+    """The suffixes in the ranges of ``held`` (key, text, ranges), packed by bucket: digits, starts (by byte plane), whether the
+    suffix's context occurs once, and how many suffixes each key has."""
+
+    def flush(digits: list, starts: list, once: list, keys: list) -> Iterator[pa.RecordBatch]:
+        digit, start, single = np.concatenate(digits), np.concatenate(starts), np.concatenate(once)
+        text = np.repeat(np.arange(len(keys)), [len(d) for d in digits])
+        bucket = (digit >> np.uint64(40)).astype(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b, (x, y) in enumerate(itertools.pairwise(cuts.tolist())):
+            if x < y:
+                own = order[x:y]
+                texts, counts = np.unique(text[own], return_counts=True)
+                planes = start[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T
+                row = (digit[own].tobytes(), planes.tobytes(), np.packbits(single[own]).tobytes(), counts.astype("<u4").tobytes(), np.array(keys, np.int64)[texts].tobytes())
+                yield pa.record_batch([pa.array([b], pa.int32()), *[pa.array([v], pa.binary()) for v in row]], schema=_PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: tuple[list, list, list, list] = ([], [], [], [])
+        size = 0
         for batch in batches:
             for part in common.slices(batch, "text"):
                 for key, text, own in zip(*[part.column(i).to_pylist() for i in range(3)], strict=True):
-                    raw = (text or "").encode()
-                    lo = np.array([r["start"] for r in own])
-                    n = np.array([r["more"] + 1 for r in own])
-                    once = np.repeat(np.array([r["once"] for r in own]), n)
-                    starts = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    digit = np.zeros(len(starts), np.uint64)
-                    step = BUFFER - threshold
-                    for at in range(0, len(raw), step):
-                        inside = np.flatnonzero((starts >= at) & (starts < at + step))
-                        if len(inside):
-                            subs = Substrings(np.frombuffer(raw[at : at + BUFFER], np.uint8))
-                            digit[inside] = subs.of(starts[inside] - at, starts[inside] - at + threshold)
-                    yield pa.record_batch([_signed(digit), pa.array(np.full(len(starts), key)), pa.array(starts), pa.array(once)], names=["digit", "key", "start", "once"])
-
-    return held.mapInArrow(run, "digit long, key long, start long, once boolean")
+                    digit, start, single = _suffixes((text or "").encode(), own, threshold)
+                    for held_part, new in zip(parts, (digit, start, single, key), strict=True):
+                        held_part.append(new)
+                    size += len(digit)
+                    if size >= FLUSH_SUFFIXES:
+                        yield from flush(*parts)
+                        parts, size = ([], [], [], []), 0
+        if size:
+            yield from flush(*parts)
+
+    return held.mapInArrow(run, PACKED)
+
+
+def _suffixes(raw: bytes, ranges: list[dict], threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = np.array([r["n"] for r in ranges])
+    once = np.repeat(np.array([r["once"] for r in ranges]), n)
+    starts = np.repeat(np.array([r["start"] for r in ranges]), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    digit = np.zeros(len(starts), np.uint64)
+    step = BUFFER - threshold
+    for at in range(0, len(raw), step):
+        inside = np.flatnonzero((starts >= at) & (starts < at + step))
+        if len(inside):
+            subs = Substrings(np.frombuffer(raw[at : at + BUFFER], np.uint8))
+            digit[inside] = subs.of(starts[inside] - at, starts[inside] - at + threshold)
+    return digit, starts, once
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """Of a bucket: the starts of suffixes that occur again and are not known to yet, by key."""
+    digits, starts, once, keys = [], [], [], []
+    for row in table.to_pylist():
+        digit = np.frombuffer(row["digits"], np.uint64)
+        wide = np.zeros((len(digit), 8), np.uint8)
+        wide[:, :5] = np.frombuffer(row["starts"], np.uint8).reshape(5, -1).T
+        digits.append(digit)
+        starts.append(wide.view("<i8").ravel())
+        once.append(np.unpackbits(np.frombuffer(row["once"], np.uint8))[: len(digit)].astype(bool))
+        keys.append(np.repeat(np.frombuffer(row["keys"], np.int64), np.frombuffer(row["counts"], "<u4")))
+    _, back, n = np.unique(np.concatenate(digits), return_inverse=True, return_counts=True)
+    again = (n[back] > 1) & np.concatenate(once)
+    start, key = np.concatenate(starts)[again], np.concatenate(keys)[again]
+    order = np.lexsort((start, key))
+    own, first = np.unique(key[order], return_index=True)
+    offsets = pa.array(np.append(first, len(key)).astype(np.int32))
+    return pa.table({"key": pa.array(own, pa.int64()), "starts": pa.ListArray.from_arrays(offsets, pa.array(start[order], pa.int64()))})
 
 
 def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
-    """``key, spans``: for each document (by ``common.doc_key``) with any, its spans of repeated strings, as they
-    were found, overlapping."""
+    """``key, starts, ends, late``: for each document (by ``common.doc_key``) with any, its spans of repeated strings as they
+    were found, overlapping, and starts of further ones that are as long as the threshold."""
     keyed = docs.select(common.doc_key().alias("key"), "text")
     passed = first_pass(keyed, threshold, gram)
     groups = passed.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
     groups = groups.filter("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
     met = common.written(passed.join(groups, "anchor"), "anchors")
-    end = F.col("start") + F.col("more") + threshold
+    end = (F.col("start") + F.col("more") + threshold).alias("end")
 
     mixed = met.filter("mixed")
-    contexts = mixed.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "more")).alias("one"))
-    contexts = common.written(contexts, "contexts")
-    spans = [
-        met.filter("NOT mixed").select("key", "start", end.alias("end")),
-        mixed.join(contexts.filter("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("key", "start", end.alias("end")),
-    ]
-
-    one = F.struct("one.start", "one.more", (F.col("n") == 1).alias("once"))
-    chosen = common.written(contexts.groupBy("one.key").agg(F.collect_list(one).alias("runs")), "runs")
-    texts = common.split_by(keyed, chosen.select("key"), "key")[0]
-    suffixes = common.written(last_pass(texts.join(chosen, "key").select("key", "text", "runs"), threshold), "suffixes")
-    again = suffixes.groupBy("digit").agg(F.count("*").alias("n")).filter("n > 1").select("digit")
-    spans.append(suffixes.filter("once").join(again, "digit", "left_semi").select("key", "start", (F.col("start") + threshold).alias("end")))
-
-    every = functools.reduce(DataFrame.unionByName, spans)
-    return common.written(every.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    contexts = mixed.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "more", "back", "qa", "qb")).alias("one"))
+    contexts = common.written(contexts.select("anchor", "context", (F.col("n") == 1).alias("once"), "one.*"), "contexts")
+    sure = met.filter("NOT mixed").select("key", "start", end)
+    sure = sure.unionByName(mixed.join(contexts.filter("NOT once").select("anchor", "context"), ["anchor", "context"], "left_semi").select("key", "start", end))
+    sure = sure.groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+
+    # quarters that another context of the anchor shares; distances run from back - more to back
+    width = quarter_width(threshold, gram)
+    digits = F.array(F.shiftrightunsigned("qa", 32), F.col("qa").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("qb", 32), F.col("qb").bitwiseAND(F.lit(0xFFFFFFFF)))
+    quarters = contexts.select("anchor", "key", "start", "more", "back", "once", F.posexplode(digits).alias("quarter", "digit"))
+    near, far = F.greatest(F.col("back") - F.col("more"), F.col("quarter") * width), F.least(F.col("back"), F.col("quarter") * width + (width - 1))
+    quarters = quarters.withColumns({"n": far - near + 1, "from": F.col("start") + F.col("back") - far}).filter("n > 0")
+    shared = quarters.groupBy("anchor", "quarter", "digit").agg(F.count("*").alias("of"), F.bool_or("once").alias("open")).filter("of > 1 AND open").select("anchor", "quarter", "digit")
+    one = F.struct(F.col("from").alias("start"), "n", "once")
+    open_ = quarters.join(shared, ["anchor", "quarter", "digit"], "left_semi").groupBy("key").agg(F.collect_list(one).alias("ranges"), F.sum("n").alias("n"))
+    open_ = common.written(open_, "ranges")
+
+    total = open_.agg(F.sum("n")).first()[0] or 0
+    buckets = 1 << max(3, (total // SUFFIXES_PER_BUCKET).bit_length())
+    texts = common.split_by(keyed, open_.select("key"), "key")[0]
+    packed = last_pass(texts.join(open_, "key").select("key", "text", "ranges"), threshold, buckets)
+    last = packed.groupBy("bucket").applyInArrow(_repeated, "key long, starts array<long>")
+    last = last.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("late"))
+    spans = sure.join(last, "key", "full_outer")
+    return common.written(spans.select("key", F.coalesce("starts", F.array().cast("array<long>")).alias("starts"), F.coalesce("ends", F.array().cast("array<long>")).alias("ends"), F.coalesce("late", F.array().cast("array<long>")).alias("late")), "spans")
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,9 +253,10 @@ def _removed(docs: DataFrame, threshold: int, gram: int) -> DataFrame:
         for batch in batches:
             for part in common.slices(batch, "row"):
                 kept, cut, left = [], [], []
-                for text, own in zip(part.column(0).field("text").to_pylist(), part.column(1).to_pylist(), strict=True):
+                texts = part.column(0).field("text").to_pylist()
+                for text, starts, ends, late in zip(texts, *[part.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
                     raw = text.encode()
-                    a, b = merged(np.array([s["start"] for s in own]), np.array([s["end"] for s in own]))
+                    a, b = merged(np.array(starts + late), np.array(ends + [x + threshold for x in late]))
                     a, b = a.tolist(), b.tolist()
                     kept.append(_without(raw, a, b))
                     cut.append([{"start": x, "end": y} for x, y in zip(a, b, strict=True)])
@@ -184,7 +265,7 @@ def _removed(docs: DataFrame, threshold: int, gram: int) -> DataFrame:
 
     kind = "array<struct<start: long, end: long>>"
     out = T.StructType([rows.schema["row"], T.StructField("kept", T.BinaryType()), T.StructField("spans", _SPANS_TYPE), T.StructField("text", T.StringType())])
-    changed = hit.join(spans, "key").select("row", "spans").mapInArrow(run, out)
+    changed = hit.join(spans, "key").select("row", "starts", "ends", "late").mapInArrow(run, out)
     same = rest.select("row", F.coalesce("row.text", F.lit("")).cast("binary").alias("kept"), F.array().cast(kind).alias("spans"), F.col("row.text").alias("text"))
     return changed.unionByName(same)
 
