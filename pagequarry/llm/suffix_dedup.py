@@ -19,7 +19,7 @@ The anchor, the context and the last digit are compared by 64 bits of hash, quar
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -139,8 +139,7 @@ def last_pass(held: DataFrame, threshold: int, buckets: int) -> DataFrame:
             if x < y:
                 own = order[x:y]
                 texts, counts = np.unique(text[own], return_counts=True)
-                planes = start[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T
-                row = (digit[own].tobytes(), planes.tobytes(), np.packbits(single[own]).tobytes(), counts.astype("<u4").tobytes(), np.array(keys, np.int64)[texts].tobytes())
+                row = (digit[own].tobytes(), _planes(start[own]), np.packbits(single[own]).tobytes(), counts.astype("<u4").tobytes(), np.array(keys, np.int64)[texts].tobytes())
                 yield pa.record_batch([pa.array([b], pa.int32()), *[pa.array([v], pa.binary()) for v in row]], schema=_PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,24 +175,57 @@ def _suffixes(raw: bytes, ranges: list[dict], threshold: int) -> tuple[np.ndarra
     return digit, starts, once
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """Of a bucket: the starts of suffixes that occur again and are not known to yet, by key."""
-    digits, starts, once, keys = [], [], [], []
-    for row in table.to_pylist():
-        digit = np.frombuffer(row["digits"], np.uint64)
-        wide = np.zeros((len(digit), 8), np.uint8)
-        wide[:, :5] = np.frombuffer(row["starts"], np.uint8).reshape(5, -1).T
-        digits.append(digit)
-        starts.append(wide.view("<i8").ravel())
-        once.append(np.unpackbits(np.frombuffer(row["once"], np.uint8))[: len(digit)].astype(bool))
-        keys.append(np.repeat(np.frombuffer(row["keys"], np.int64), np.frombuffer(row["counts"], "<u4")))
-    _, back, n = np.unique(np.concatenate(digits), return_inverse=True, return_counts=True)
-    again = (n[back] > 1) & np.concatenate(once)
-    start, key = np.concatenate(starts)[again], np.concatenate(keys)[again]
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers below 2**40 by byte plane, which packs well."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(5, -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, :5] = planes.T
+    return wide.view("<i8").ravel()
+
+
+FOUND = "bucket int, keys binary, counts binary, starts binary"
+
+
+def _repeated(buckets: int) -> Callable[[pa.Table], pa.Table]:
+    """Of a bucket: the starts of suffixes that occur again and are not known to yet, packed by buckets of their keys."""
+
+    def run(table: pa.Table) -> pa.Table:
+        digits, starts, once, keys = [], [], [], []
+        for row in table.to_pylist():
+            digit = np.frombuffer(row["digits"], np.uint64)
+            digits.append(digit)
+            starts.append(_from_planes(row["starts"]))
+            once.append(np.unpackbits(np.frombuffer(row["once"], np.uint8))[: len(digit)].astype(bool))
+            keys.append(np.repeat(np.frombuffer(row["keys"], np.int64), np.frombuffer(row["counts"], "<u4")))
+        _, back, n = np.unique(np.concatenate(digits), return_inverse=True, return_counts=True)
+        again = (n[back] > 1) & np.concatenate(once)
+        start, key = np.concatenate(starts)[again], np.concatenate(keys)[again]
+        to = (mix(key.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % buckets
+        order = np.lexsort((start, key, to))
+        start, key, to = start[order], key[order], to[order]
+        rows = []
+        for own in np.split(np.arange(len(to)), np.flatnonzero(to[1:] != to[:-1]) + 1) if len(to) else []:
+            texts, counts = np.unique(key[own], return_counts=True)
+            rows.append((int(to[own[0]]), texts.tobytes(), counts.astype("<u4").tobytes(), _planes(start[own])))
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bucket", "keys", "counts", "starts"])
+
+    return run
+
+
+def _by_key(table: pa.Table) -> pa.Table:
+    """Of a bucket of keys: ``key, late``."""
+    rows = table.to_pylist()
+    key = np.concatenate([np.repeat(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["counts"], "<u4")) for r in rows])
+    start = np.concatenate([_from_planes(r["starts"]) for r in rows])
     order = np.lexsort((start, key))
     own, first = np.unique(key[order], return_index=True)
     offsets = pa.array(np.append(first, len(key)).astype(np.int32))
-    return pa.table({"key": pa.array(own, pa.int64()), "starts": pa.ListArray.from_arrays(offsets, pa.array(start[order], pa.int64()))})
+    return pa.table({"key": pa.array(own, pa.int64()), "late": pa.ListArray.from_arrays(offsets, pa.array(start[order], pa.int64()))})
 
 
 def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
@@ -202,7 +234,8 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
     keyed = docs.select(common.doc_key().alias("key"), "text")
     passed = first_pass(keyed, threshold, gram)
     groups = passed.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
-    groups = groups.filter("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
+    # written, so that both sides of the join come from shuffles of their own and a hot anchor can be split
+    groups = common.written(groups.filter("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "repeated")
     met = common.written(passed.join(groups, "anchor"), "anchors")
     end = (F.col("start") + F.col("more") + threshold).alias("end")
 
@@ -228,8 +261,8 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
     buckets = 1 << max(3, (total // SUFFIXES_PER_BUCKET).bit_length())
     texts = common.split_by(keyed, open_.select("key"), "key")[0]
     packed = last_pass(texts.join(open_, "key").select("key", "text", "ranges"), threshold, buckets)
-    last = packed.groupBy("bucket").applyInArrow(_repeated, "key long, starts array<long>")
-    last = last.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("late"))
+    last = packed.groupBy("bucket").applyInArrow(_repeated(buckets), FOUND)
+    last = last.groupBy("bucket").applyInArrow(_by_key, "key long, late array<long>")
     spans = sure.join(last, "key", "full_outer")
     return common.written(spans.select("key", F.coalesce("starts", F.array().cast("array<long>")).alias("starts"), F.coalesce("ends", F.array().cast("array<long>")).alias("ends"), F.coalesce("late", F.array().cast("array<long>")).alias("late")), "spans")
 
