@@ -76,8 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Of the others: a BPE encoder, a trained classifier, a packer whose sequence numbers are free, an approximate index,
-#: a parser of licence expressions, a free assignment to shards and byte-level suffixes have no SQL; tests hold them
-#: against brute force.
+#: a parser of licence expressions and a free assignment to shards have no SQL; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_bitsliced_topk": """
 WITH v AS (
@@ -120,4 +119,5 @@ SELECT w.doc_id, CAST(coalesce(len(t.grams), 0) AS BIGINT) AS n_shingles,
 FROM w LEFT JOIN t ON t.class = w.class LEFT JOIN c ON c.class = w.class LEFT JOIN d ON d.class = w.class
 """,
     "op8_line_dedup": line_dedup.ORACLE_SQL,
+    "op9_suffix_dedup": suffix_dedup.ORACLE_SQL,
 }

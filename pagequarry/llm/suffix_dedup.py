@@ -344,3 +344,30 @@ def _down(raw: bytes, at: int) -> int:
     while 0 < at < len(raw) and raw[at] & 0xC0 == 0x80:
         at -= 1
     return at
+
+
+ORACLE_SQL = """
+WITH h AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), p AS (
+  SELECT doc_id, unnest(range(0, greatest(n - 199, 0))) AS s FROM h
+), w AS (
+  SELECT p.doc_id, p.s, md5(substr(h.x, 2 * p.s + 1, 400)) AS digest FROM p JOIN h ON h.doc_id = p.doc_id
+), r AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY digest) AS c FROM w) WHERE c > 1
+), m AS (
+  SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run
+  FROM (SELECT doc_id, s, CASE WHEN s > coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s), -1000) + 200 THEN 1 ELSE 0 END AS fresh FROM r)
+), t AS (
+  SELECT doc_id, run, min(s) AS a, max(s) + 200 AS b FROM m GROUP BY doc_id, run
+), g AS (
+  SELECT t.doc_id, t.run, t.a, t.b, coalesce(lag(t.b) OVER (PARTITION BY t.doc_id ORDER BY t.run), 0) AS z FROM t
+), k AS (
+  SELECT g.doc_id, count(*) AS spans, sum(g.b - g.a) AS removed,
+         string_agg(substr(h.x, 2 * g.z + 1, 2 * (g.a - g.z)), '' ORDER BY g.run) || substr(any_value(h.x), 2 * max(g.b) + 1) AS kept
+  FROM g JOIN h ON h.doc_id = g.doc_id GROUP BY g.doc_id
+)
+SELECT h.doc_id, CAST(h.n AS BIGINT) AS n_bytes, CAST(coalesce(k.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k.kept, h.x))) AS kept_sha256
+FROM h LEFT JOIN k ON k.doc_id = h.doc_id
+"""

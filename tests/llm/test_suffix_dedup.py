@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -64,10 +65,11 @@ def test_odd_rows(odd):
     assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
 
 
-def test_query_matches_brute_force(spark, sf_dir):
+def test_query_matches_brute_force_and_sql(spark, sf_dir):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
-    want = brute([t for _, t in docs], 200)
-    for r in queries.op9_suffix_dedup(spark, sf_dir).collect():
-        kept, spans, removed = want[r.doc_id]
-        assert (r.n_bytes, r.n_removed, r.n_spans) == (len((docs[r.doc_id][1] or "").encode()), removed, spans)
-        assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
+    want = {i: (len((t or "").encode()), removed, spans, hashlib.sha256(kept).hexdigest()) for (i, t), (kept, spans, removed) in zip(docs, brute([t for _, t in docs], 200), strict=True)}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op9_suffix_dedup(spark, sf_dir).collect()}
+    assert got == want
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    assert {r[0]: r[1:] for r in con.sql(queries.ORACLE_SQL["op9_suffix_dedup"]).fetchall()} == got
