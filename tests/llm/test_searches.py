@@ -110,3 +110,19 @@ def test_odd_vectors(spark, operator):
         ids = np.array(sorted(used))
         assert got == brute(ids, np.array([np.dot(used[i], used[query]) for i in ids.tolist()]), query, 10)
     assert run(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_default_parameters_reach_the_recall_on_hard_vectors():
+    """Directions without any clusters, far more rows than are reranked."""
+    rng = np.random.default_rng(7)
+    rows = rng.normal(size=(16_000, 64))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    points = permutation_ann.lifted(rows[: permutation_ann.PIVOTS], 1.0)
+    files = permutation_ann.InvertedFiles(permutation_ann.order_of(permutation_ann.lifted(rows, 1.0), points, permutation_ann.PREFIX), len(points))
+    keep = max(permutation_ann.LEAST_RERANKED, int(permutation_ann.RERANKED * len(rows)))
+    hits = 0
+    for query in rows[-60:]:
+        order = permutation_ann.order_of(np.append(query, 0)[None], points, permutation_ann.PREFIX)[0]
+        near = set(np.argpartition(files.footrule(order), keep - 1)[:keep].tolist())
+        hits += len(near & set(np.argsort(-(rows @ query))[:20].tolist()))
+    assert hits / 1200 >= 0.9
