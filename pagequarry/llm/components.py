@@ -14,7 +14,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
     Each round hangs every node on the smallest one it sees; the number of rounds grows with the logarithm of
     the longest path. Every round is written to the shared folder. A node with very many links is met by partial
-    aggregation and a join, never gathered.
+    aggregation and a join, never gathered; what a join takes from an aggregation is written first, so that adaptive execution can split such a node.
     """
     edges = common.written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
@@ -22,10 +22,11 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     while True:
         # large star: larger neighbours of a node move to the smallest it knows
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+        low = common.written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")), name)
         edges = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
         # small star: smaller neighbours of a node, and it, move to the smallest of them
-        low = edges.groupBy("a").agg(F.min("b").alias("low"))
+        edges = common.written(edges, name)
+        low = common.written(edges.groupBy("a").agg(F.min("b").alias("low")), name)
         edges = edges.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low).filter("a <> b").distinct()
         edges = common.written(edges, name)
         now = tuple(edges.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("a", "b"), 20))).first())

@@ -190,8 +190,8 @@ def similar_groups(texts: DataFrame, size: int, num: int, den: int) -> tuple[Dat
     back = sent.groupBy("bucket").applyInArrow(_gather(buckets), PACKED)
     lists = common.written(back.groupBy("bucket").applyInArrow(_lists(num, den), LISTS), "lists")
 
-    groups = lists.groupBy("group").agg(F.min("class").alias("class"))
-    heads = lists.join(groups, ["group", "class"])
+    # one member speaks for its group; the join is by class, so that a large group meets no single task
+    heads = lists.join(lists.groupBy("group").agg(F.min("class").alias("class")).select("class"), "class", "left_semi")
     at = F.posexplode(F.slice("shingles", 1, F.col("prefix")))
     posts = heads.select("group", "n", "m", "bitmap", at.alias("at", "shingle"))
     a, b = posts.alias("a"), posts.alias("b")
@@ -231,17 +231,18 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     sizes, members, links = similar_groups(texts, size, num, den)
     sizes = sizes.distinct()
 
-    roots = components(links)
+    # what is joined by group or root is written first: both sides then have shuffles of their own, and a hot key can be split
+    roots = common.written(components(links), "roots")
     grouped = members.join(roots.withColumnRenamed("node", "group"), "group", "left").select("class", "group", F.coalesce("root", F.col("class")).alias("root"), F.col("root").isNotNull().alias("linked"))
     # a class that no link reaches stands for itself; roots are groups, so the two are kept apart
     grouped = common.written(grouped, "grouped")
-    named = classes.select("class", "first").join(grouped, "class").groupBy("linked", "root").agg(F.min("first").alias("name"))
+    named = common.written(classes.select("class", "first").join(grouped, "class").groupBy("linked", "root").agg(F.min("first").alias("name")), "named")
     weight = grouped.groupBy("group").agg(F.count("*").alias("members"))
     ends = links.filter("a <> b")
     ends = ends.union(ends.select("b", "a"))
     degree = ends.join(weight.withColumnRenamed("group", "b"), "b").groupBy(F.col("a").alias("group")).agg(F.sum("members").alias("others"))
     own = links.filter("a = b").select(F.col("a").alias("group"), F.lit(True).alias("alike")).join(weight, "group")
-    per_group = weight.select("group").join(degree, "group", "left").join(own, "group", "left").select("group", (F.coalesce("others", F.lit(0)) + F.coalesce(F.col("members") - 1, F.lit(0))).alias("n_links"))
+    per_group = common.written(weight.select("group").join(degree, "group", "left").join(own, "group", "left").select("group", (F.coalesce("others", F.lit(0)) + F.coalesce(F.col("members") - 1, F.lit(0))).alias("n_links")), "per_group")
     known = grouped.join(named, ["linked", "root"]).join(per_group, "group").select("class", "name", "n_links")
     # an unlinked group's members are alike only if the group links with itself, so here each keeps its own name
     per_class = common.written(classes.join(sizes, "class", "left").join(known, "class", "left").select("class", "first", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("name", "first").alias("name"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "per_class")
