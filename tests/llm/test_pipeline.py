@@ -10,7 +10,7 @@ from test_suffix_dedup import brute as brute_suffixes
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pagequarry.llm import quality
+from pagequarry.llm import common, quality
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -31,7 +31,12 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
             assert seen[-1].columns == docs.columns
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    good = {r.doc_id for r in quality.score(docs, labels).filter("keep").collect()}
+    # the stage tells rows apart by id and text, and so do its folds
+    key = common.doc_key()
+    keyed = docs.select(key.alias("doc_id"), "text", "lang", "source", "n_chars")
+    names = docs.select("doc_id", key.alias("key"))
+    scored = quality.score(keyed, labels.join(names, "doc_id").drop("doc_id").withColumnRenamed("key", "doc_id")).filter("keep").withColumnRenamed("doc_id", "key")
+    good = {r.doc_id for r in names.join(scored, "key").collect()}
     assert rows(seen[1]) == [r for r in rows(docs) if r[0] in good]
     clean = {r.doc_id for r in labels.filter("quality = 1").collect()}
     assert len(clean & good) >= 0.97 * len(clean)
