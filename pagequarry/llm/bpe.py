@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
 LONG_WORD = 200
 SHORT_WORD = 32
 

@@ -39,6 +39,7 @@ def slices(batch: pa.RecordBatch, text: str | None = None) -> Iterator[pa.Record
         rows = max(1, min(rows, int(SLICE_BYTES / max(mean, 1))))
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # workers live on between stages; what Arrow keeps would add up
 
 
 def columns(batch: pa.RecordBatch) -> dict[str, list]:

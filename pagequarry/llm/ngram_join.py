@@ -31,8 +31,8 @@ from . import common
 from .components import components
 from .hashing import mix, shingles
 
-CLASSES_PER_BUCKET = 4000
-FLUSH_SHINGLES = 1 << 20
+CLASSES_PER_BUCKET = 2000
+FLUSH_SHINGLES = 1 << 19
 FLUSH_TEXTS = 1 << 15
 HOT_SHARE = 256
 LEAST_HOT = 64

@@ -33,8 +33,8 @@ from .hashing import BUFFER, BUFFER_BITS, Substrings, mix
 THRESHOLD = 200
 GRAM = 32
 QUARTERS = 4
-SUFFIXES_PER_BUCKET = 1 << 20
-FLUSH_SUFFIXES = 1 << 20
+SUFFIXES_PER_BUCKET = 1 << 19
+FLUSH_SUFFIXES = 1 << 19
 
 
 def buffers(texts: list[bytes], threshold: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
