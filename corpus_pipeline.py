@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import line_dedup, ngram_join, packing, quality, suffix_dedup
+from pagequarry.llm import common, line_dedup, ngram_join, packing, quality, suffix_dedup
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, packed into sequences of 1024 tokens."""
+    """The documents' pieces with their ids, packed into sequences of 1024 tokens."""
     return packing.pack(docs)
 
 
@@ -51,8 +52,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, out: str | None = None) -> DataFrame:
+    """Each stage's output is written to ``out`` (default: a new folder in the shared one) under the stage's name and
+    read from there by the next. So the texts that the pieces' places refer to stay at hand."""
+    out = out or f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        df = stage(spark, docs, sf_dir)
+        df.write.option("compression", "zstd").parquet(f"{out}/{name}")
+        docs = spark.read.schema(df.schema).parquet(f"{out}/{name}")
     return docs

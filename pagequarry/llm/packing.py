@@ -6,12 +6,11 @@ per length, at most ``capacity`` numbers whatever its size. The packer places th
 first: open sequences in the same state form one group, a group is chosen by its residual vector
 under every constraint, and each group takes one piece per sequence. Every step splits one group
 at most, so the plan has a few rows a length. Spark then gives each piece its rank among the pieces of its
-length, and the rank says where it goes. No piece passes through the driver.
+length, and the rank says where it goes. No piece passes through the driver; each carries its ids to its place.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import pairwise
@@ -21,7 +20,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import common
@@ -77,7 +75,7 @@ def _cut(held: list, skip: int) -> list:
     return [(length, rank + skip, offset) for length, rank, offset in held]
 
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
+PIECES = "doc_id long, piece int, start long, length long, ids binary, part int, rank long"
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int | None = END_ID, tokenizer: str | None = None) -> DataFrame:
@@ -98,7 +96,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int | None = END_I
                     n = len(ids) // 4
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n else []
                     for k, (a, b) in enumerate(pairwise(cuts)):
-                        rows.append((doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), part, seen[b - a]))
+                        rows.append((doc_id, k, a, b - a, ids[4 * a : 4 * b], part, seen[b - a]))
                         seen[b - a] += 1
                 if rows:
                     yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
@@ -107,7 +105,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int | None = END_I
 
 
 _NAMES = [x.split()[0] for x in PIECES.split(", ")]
-_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
 
 
 def pack(
@@ -119,46 +117,32 @@ def pack(
     end_id: int | None = END_ID,
     tokenizer: str | None = None,
 ) -> DataFrame:
-    """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
+    """One row per piece: ``doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset``; ``ids`` are the
+    piece's tokens, four bytes each, little-endian, so a sequence is its pieces' ids in order of offset.
 
     Sequences hold at most ``capacity`` tokens, ``max_docs`` pieces (default: capacity) and an attention
     cost of ``max_attention`` (default: capacity squared, that of one full piece). Null and empty texts are
     the end id alone; without an end id they give no row. Repeated rows are packed as often as they
     occur; a null id stays null. Equal lengths are interchangeable: which of them goes where follows from
     the order of the scan. An empty table gives an empty result. Other columns are ignored.
+    The ids are written once with their pieces and not shuffled while there are at most ``common.BROADCAST_KEYS``
+    pairs of a length and a task; beyond that they go through one shuffle.
     """
     spark = docs.sparkSession
     max_docs, max_attention = max_docs or capacity, max_attention or capacity * capacity
     found = common.written(pieces(docs, capacity, end_id, tokenizer), "pieces")
     per_part = found.groupBy("length", "part").agg(F.count("*").alias("n"))
-    counts = {r.length: r.n for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    rows = plan(counts, capacity, max_docs, max_attention, rule)
+    lengths = per_part.groupBy("length").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).collect()  # at most `capacity` rows
+    rows = plan({r.length: r.n for r in lengths}, capacity, max_docs, max_attention, rule)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = per_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = found.join(base, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("base"))
+    held = F.broadcast(base) if sum(r.parts for r in lengths) <= common.BROADCAST_KEYS else base
+    ranked = found.join(held, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("base"))
+    table = spark.createDataFrame(rows, "length long, first_rank long, n long, first_sequence long, offset long")
+    shift = F.col("rank") - F.col("first_rank")
+    # a few thousand rows whatever the input; of a length's rows one holds the rank
+    placed = ranked.join(F.broadcast(table), "length").filter((shift >= 0) & (shift < F.col("n")))
+    return placed.withColumns({"ids_crc32": F.crc32("ids"), "sequence_id": F.col("first_sequence") + shift}).select(*RESULT)
 
-    by_length: dict[int, np.ndarray] = {}
-    for length in counts:
-        by_length[length] = np.array([r[1:] for r in rows if r[0] == length], dtype=np.int64)
-    table = spark.sparkContext.broadcast(by_length)  # at most a few thousand rows, whatever the input
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table.value
-        for batch in batches:
-            length, rank = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            for one in np.unique(length):
-                at = np.flatnonzero(length == one)
-                own = known[int(one)]
-                k = np.searchsorted(own[:, 0], rank[at], "right") - 1
-                sequence[at], offset[at] = own[k, 2] + rank[at] - own[k, 0], own[k, 3]
-            yield pa.record_batch([*[batch.column(i) for i in range(2, 6)], batch.column(0), pa.array(sequence), pa.array(offset)], names=_PLACED)
-
-    out = "doc_id long, piece int, start long, ids_crc32 long, length long, sequence_id long, offset long"
-    if not counts:
-        return spark.createDataFrame([], T._parse_datatype_string(out)).select(*RESULT)
-    return ranked.select("length", "rank", "doc_id", "piece", "start", "ids_crc32").mapInArrow(place, out).select(*RESULT)
-
-
-_PLACED = ["doc_id", "piece", "start", "ids_crc32", "length", "sequence_id", "offset"]
-RESULT = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+RESULT = ["doc_id", "piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset"]

@@ -68,3 +68,17 @@ def test_pack_on_odd_rows(odd):
     got = [(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert packing.pack(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("keys", [500_000, 0])
+def test_sequences_hold_the_ids_of_their_pieces(odd, monkeypatch, keys):
+    monkeypatch.setattr(packing.common, "BROADCAST_KEYS", keys)
+    rows = packing.pack(odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), capacity=64).collect()
+    sequences = defaultdict(bytes)
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert len(sequences[r.sequence_id]) == 4 * r.offset and len(r.ids) == 4 * r.length
+        sequences[r.sequence_id] += r.ids
+    for d in odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect():
+        own = sorted((r for r in rows if r.doc_id == d.doc_id), key=lambda r: r.piece)
+        held = b"".join(sequences[r.sequence_id][4 * r.offset : 4 * (r.offset + r.length)] for r in own)
+        assert np.frombuffer(held, "<u4").tolist() == [*LIBRARY.encode(d.text or "", add_special_tokens=False).ids, 2]

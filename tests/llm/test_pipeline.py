@@ -65,3 +65,13 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
 
 def test_run_is_all_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_run_keeps_every_stage_and_its_ids(spark, sf_dir, tmp_path):
+    packed = corpus_pipeline.run(spark, sf_dir, str(tmp_path)).collect()
+    texts = dict(rows(spark.read.parquet(str(tmp_path / "suffix_array_dedup"))))
+    assert all((tmp_path / name).is_dir() for name, _ in corpus_pipeline.STAGES)
+    for i, text in texts.items():
+        own = sorted((r.piece, bytes(r.ids)) for r in packed if r.doc_id == i)
+        want = [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 2]
+        assert np.frombuffer(b"".join(ids for _, ids in own), "<u4").tolist() == want
