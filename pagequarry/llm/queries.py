@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced_topk, bpe, licenses, line_dedup, ngram_join, packing, permutation_ann, quality, resharding, suffix_dedup
+from . import bitsliced_topk, bpe, common, licenses, line_dedup, ngram_join, packing, permutation_ann, quality, resharding, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +68,19 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = resharding.reshard(table(spark, sf_dir, "documents"), shards=16)
-    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+    placed = common.written(resharding.reshard(table(spark, sf_dir, "documents"), shards=16), "placed")
+    resharding.rewrite(placed, f"{common.shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    text = F.coalesce("row.text", F.lit(""))
+    return placed.select(
+        "row.doc_id",
+        (F.octet_length(text).cast("long") + 1).alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        "old_shard",
+        "shard",
+        "slot",
+        F.lit("bytes").alias("law"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

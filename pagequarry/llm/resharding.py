@@ -70,14 +70,14 @@ def place_big(units: list[tuple[int, int, int, int]], load: list[int], target: l
 
 
 def reshard(docs: DataFrame, shards: int = 16, old_shards: int = 12, old: Column | None = None) -> DataFrame:
-    """``doc_id, size, text_crc32, old_shard, shard, slot`` of every row: shards of near equal bytes,
-    reached from the old ones by moving the fewest.
+    """``doc_id, size, text_crc32, row, old_shard, shard, slot`` of every row: shards of near equal bytes,
+    reached from the old ones by moving the fewest. ``row`` holds all columns of ``docs``, for ``rewrite``.
 
     ``old``: the shard that a row is in now, an expression over ``docs`` with values from 0 to
     ``old_shards - 1`` (default: by hash of the text). A row's size is its text's bytes plus one; null counts as empty. Rows
     of equal text in one old shard go to one shard together, unless the group alone is so large that sizes
     could not be near equal; then it is cut into as few parts as needed. Repeated rows count and are placed
-    each; null ids are placed like others; an empty table gives an empty result; other columns are ignored.
+    each; null ids are placed like others; an empty table gives an empty result; other columns are only carried.
     To the driver come sums over ``old_shards * BLOCKS`` blocks and fewer than ``shards * BIG_SHARE`` groups.
     """
     spark = docs.sparkSession
@@ -85,12 +85,13 @@ def reshard(docs: DataFrame, shards: int = 16, old_shards: int = 12, old: Column
     hashed = F.xxhash64(text)
     base = docs.select(
         "doc_id",
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text).alias("text_crc32"),
         hashed.alias("group"),
         (F.pmod(hashed, F.lit(old_shards)) if old is None else old).cast("int").alias("old_shard"),
     )
-    base = common.written(base.withColumn("uid", F.monotonically_increasing_id()), "sizes")
+    base = common.written(base.withColumn("uid", F.monotonically_increasing_id()), "rows")
     base = base.withColumn("block", F.pmod(F.shiftright("group", 24), F.lit(BLOCKS)).cast("int"))
     groups = base.groupBy("old_shard", "block", "group").agg(F.sum("size").alias("size"))
     total = base.agg(F.sum("size")).first()[0] or 0
@@ -138,7 +139,7 @@ def reshard(docs: DataFrame, shards: int = 16, old_shards: int = 12, old: Column
     r, d = ranges_df.alias("r"), _with_sub(base, parts_df).alias("d")
     d = d.join(F.broadcast(big_df), ["group", "sub", "old_shard"], "left").alias("d")
     inside = (F.col("r.old_shard") == F.col("d.old_shard")) & (F.col("r.block") == F.col("d.block")) & F.col("d.group").between(F.col("r.low"), F.col("r.high")) & F.col("d.to_big").isNull()
-    out = d.join(F.broadcast(r), inside, "left").select("d.doc_id", "d.size", "d.text_crc32", "d.old_shard", F.coalesce("d.to_big", "r.to_range").alias("shard"), "d.uid")
+    out = d.join(F.broadcast(r), inside, "left").select("d.doc_id", "d.size", "d.text_crc32", "d.row", "d.old_shard", F.coalesce("d.to_big", "r.to_range").alias("shard"), "d.uid")
     return _slots(out)
 
 
@@ -192,12 +193,26 @@ def _slots(out: DataFrame) -> DataFrame:
     before = Window.partitionBy("shard").orderBy("part", "chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("shard", "part", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     rank = F.row_number().over(Window.partitionBy("shard", "part", "chunk").orderBy("uid"))
-    return out.withColumn("rank", rank).join(base, ["shard", "part", "chunk"]).select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("rank") - 1 + F.col("base")).alias("slot"))
+    return out.withColumn("rank", rank).join(base, ["shard", "part", "chunk"]).select("doc_id", "size", "text_crc32", "row", "old_shard", "shard", (F.col("rank") - 1 + F.col("base")).alias("slot"))
 
 
-def rewrite(docs_with_shards: DataFrame, path: str) -> None:
-    """Write the shards that gain or lose a row, a folder each; the others' files stay as they are."""
-    moved = docs_with_shards.filter(F.col("shard") != F.col("old_shard"))
-    touched = moved.select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()  # as many rows as shards
-    affected = docs_with_shards.join(F.broadcast(touched), "shard", "left_semi")
-    affected.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+def rewrite(placed: DataFrame, path: str) -> dict[int, str]:
+    """Write the shards that gain or lose a row to the new folder ``path``, whole rows with the columns they came
+    with, and return each one's folder. A shard that keeps no row gets an empty file. So the folders returned
+    replace the shards' old ones, and shards not named stay as they are. ``placed`` (what ``reshard`` gives, best written
+    first) is read three times, the rows once; its old files are not touched.
+    """
+    moved = placed.filter(F.col("shard") != F.col("old_shard"))
+    touched = sorted(r.s for r in moved.select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct().collect())  # as many rows as shards
+    columns = placed.schema["row"].dataType
+    name = "shard"
+    while name in {c.lower() for c in columns.names}:
+        name += "_"
+    affected = placed.filter(F.col("shard").isin(touched))
+    filled = {r.shard for r in affected.select("shard").distinct().collect()}
+    affected.select(F.col("shard").alias(name), "slot", "row").sortWithinPartitions(name, "slot").select("row.*", name).write.option("compression", "zstd").partitionBy(name).parquet(path)
+    folders = {j: f"{path}/{name}={j}" for j in touched}
+    for j in touched:
+        if j not in filled:
+            placed.sparkSession.createDataFrame([], columns).write.parquet(folders[j])
+    return folders

@@ -68,3 +68,22 @@ def test_a_group_of_a_third_of_all_rows_is_cut(documents):
 def test_odd_rows(odd, n):
     docs = odd.limit(n)
     whole(resharding.reshard(docs, shards=5, old_shards=3, old=F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3))), docs, 5)
+
+
+@pytest.mark.parametrize(("olds", "news"), [(4, 6), (6, 4), (3, 3)])
+def test_rewritten_shards_hold_every_row_once(spark, documents, tmp_path, olds, news):
+    texts = ["x" * 30] * 600 if olds == news else [f"{i} " + "x" * (i % 7) for i in range(1200)]
+    docs = documents(texts).withColumn("shard", F.lit("a column of the table"))
+    old = F.pmod("doc_id", F.lit(olds)).cast("int")
+    docs.withColumn("at", old).write.partitionBy("at").parquet(str(tmp_path / "old"))
+    placed = resharding.reshard(docs, shards=news, old_shards=olds, old=old)
+    folders = resharding.rewrite(placed, str(tmp_path / "new"))
+    want = {j: [] for j in range(max(olds, news))}
+    for r in placed.select("shard", "row").collect():
+        want[r.shard].append(tuple(r.row))
+    for j, rows in want.items():
+        found = spark.read.parquet(folders.get(j, str(tmp_path / "old" / f"at={j}")))
+        assert found.columns == docs.columns
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(rows, key=str)
+    assert sum(map(len, want.values())) == len(texts) and all(not want[j] for j in range(news, olds))
+    assert olds == news or set(folders) == set(range(max(olds, news)))
