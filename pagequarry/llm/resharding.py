@@ -2,7 +2,8 @@
 
 Old shard sizes are supplies, new shards are capacities, staying costs nothing and moving costs a byte a
 byte. The flow says how many bytes go from where to where; blocks of documents carry them out, and the
-few blocks that a boundary falls into are cut inside. Texts that are equal stay together.
+few blocks that a boundary falls into are cut inside. Groups of equal texts too large for that are rounded
+to the arcs of a flow over all bytes; what they leave is levelled by a second flow over the rest. Texts that are equal stay together.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +20,7 @@ from . import common
 
 BLOCKS = 256
 BIG_SHARE = 512
+CUT = 64
 TOLERANCE = 0.005
 CHUNK_BITS = 16
 
@@ -59,14 +62,65 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]])
     return flow
 
 
-def place_big(units: list[tuple[int, int, int, int]], load: list[int], target: list[int]) -> dict[tuple[int, int, int], int]:
-    """Groups too large for a cut, largest first: where they are if there is room, else where most room is."""
-    out = {}
-    for text, sub, old, size in sorted(units, key=lambda u: (-u[3], u[0], u[1])):
-        j = old if old < len(load) and load[old] + size <= target[old] else min(range(len(load)), key=lambda j: (load[j] - target[j], j))
+def place_big(units: list[tuple[int, int, int, int]], arcs: dict[int, list[int]], target: list[int]) -> tuple[dict[tuple[int, int, int], int], list[int]]:
+    """Groups too large for a block, rounded to the flow's arcs: largest first, each to an arc of its old shard that
+    holds it, staying before moving. The few that fit no arc go where the most of one is left and the target isn't
+    exceeded, else where most room is. Returns places and loads."""
+    left = {o: list(row) for o, row in arcs.items()}
+    load, out, over = [0] * len(target), {}, []
+
+    def put(unit: tuple[int, int, int, int], j: int) -> None:
+        text, sub, old, size = unit
+        left[old][j] = max(0, left[old][j] - size)
         load[j] += size
         out[text, sub, old] = j
-    return out
+
+    for unit in sorted(units, key=lambda u: (-u[3], u[0], u[1])):
+        old, size = unit[2:]
+        own = left[old]
+        fits = [j for j, room in enumerate(own) if room >= size]
+        if not fits:
+            over.append(unit)
+        else:
+            put(unit, old if old in fits else max(fits, key=lambda j: (own[j], -j)))
+    for unit in over:
+        own, size = left[unit[2]], unit[3]
+        fits = [j for j in range(len(load)) if load[j] + size <= target[j]]
+        put(unit, max(fits, key=lambda j: (own[j], target[j] - load[j], -j)) if fits else max(range(len(load)), key=lambda j: (target[j] - load[j], -j)))
+    _even(units, out, load, target)
+    return out, load
+
+
+def _even(units: list[tuple[int, int, int, int]], out: dict[tuple[int, int, int], int], load: list[int], target: list[int]) -> None:
+    """While few large units leave shards above their targets, move one from the fullest shard to another, or swap two,
+    counting a byte of stay lost as a hundredth of a byte of level."""
+    held: list[list] = [[((0, 0, j), 0)] for j in range(len(load))]  # the first is no unit: a swap with it is a move
+    for text, sub, old, size in units:
+        held[out[text, sub, old]].append(((text, sub, old), size))
+    for _ in range(20 * len(load)):
+        over = [x - t for x, t in zip(load, target, strict=True)]
+        hi = over.index(max(over))
+        if sum(x for x in over if x > 0) <= 4 * TOLERANCE * max(target) and max(over) <= TOLERANCE * min(target):
+            return
+        size, best = [np.array([x for _, x in h], dtype=float) for h in held], (np.inf, 0, 0, 0)
+        for k in range(len(load)):
+            gain = [np.array([x * ((key[2] == i) - (key[2] == j)) for key, x in held[i]], dtype=float) for i, j in ((hi, k), (k, hi))]
+            d = size[hi][:, None] - size[k][None, :]
+            worst = np.maximum(over[hi] - d, over[k] + d)
+            score = np.where((d > 0) & (worst < over[hi]), worst + (gain[0][:, None] + gain[1][None, :]) / 100, np.inf)
+            a, b = np.unravel_index(score.argmin(), score.shape)
+            best = min(best, (score[a, b], k, int(a), int(b)))
+        if best[0] == np.inf:
+            return
+        _, lo, a, b = best
+        for at, j, k in ((a, hi, lo), (b, lo, hi)):
+            if at:
+                key, x = held[j][at]
+                out[key] = k
+                load[j], load[k] = load[j] - x, load[k] + x
+        moved, back = held[hi][a], held[lo][b]
+        held[hi] = [u for i, u in enumerate(held[hi]) if not i or i != a] + ([back] if b else [])
+        held[lo] = [u for i, u in enumerate(held[lo]) if not i or i != b] + ([moved] if a else [])
 
 
 def reshard(docs: DataFrame, shards: int = 16, old_shards: int = 12, old: Column | None = None) -> DataFrame:
@@ -76,9 +130,10 @@ def reshard(docs: DataFrame, shards: int = 16, old_shards: int = 12, old: Column
     ``old``: the shard that a row is in now, an expression over ``docs`` with values from 0 to
     ``old_shards - 1`` (default: by hash of the text). A row's size is its text's bytes plus one; null counts as empty. Rows
     of equal text in one old shard go to one shard together, unless the group alone is so large that sizes
-    could not be near equal; then it is cut into as few parts as needed. Repeated rows count and are placed
+    could not be near equal; then it is cut, into few shards. Repeated rows count and are placed
     each; null ids are placed like others; an empty table gives an empty result; other columns are only carried.
-    To the driver come sums over ``old_shards * BLOCKS`` blocks and fewer than ``shards * BIG_SHARE`` groups.
+    To the driver come sums over ``old_shards * BLOCKS`` blocks and fewer than ``shards * BIG_SHARE`` groups and about
+    as many parts.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -94,22 +149,25 @@ def reshard(docs: DataFrame, shards: int = 16, old_shards: int = 12, old: Column
     base = common.written(base.withColumn("uid", F.monotonically_increasing_id()), "rows")
     base = base.withColumn("block", F.pmod(F.shiftright("group", 24), F.lit(BLOCKS)).cast("int"))
     groups = base.groupBy("old_shard", "block", "group").agg(F.sum("size").alias("size"))
-    total = base.agg(F.sum("size")).first()[0] or 0
+    supply = {r.old_shard: r.size for r in groups.groupBy("old_shard").agg(F.sum("size").alias("size")).collect()}
+    total = sum(supply.values())
     target = [total * (j + 1) // shards - total * j // shards for j in range(shards)]
     limit = max(1, total // (shards * BIG_SHARE))
     big = [(r.group, r.old_shard, r.size) for r in groups.filter(F.col("size") > limit).collect()]
 
-    parts: dict[tuple[int, int], int] = {}
+    # all bytes are supply, so that what other rows need in order to stay counts against a big group's move
+    full = min_cost_flow([supply[o] for o in sorted(supply)], target, [[int(o != j) for j in range(shards)] for o in sorted(supply)])
+    arcs = dict(zip(sorted(supply), full, strict=True))
     most = total // shards
     while True:
+        # a group to be cut is cut fine enough to follow the arcs; its parts mostly meet again in the shards they go to
+        parts = {(g, o): math.ceil(size / max(limit, most // CUT)) for g, o, size in big if size > most}
         units = _units(base, big, parts)
-        load = [0] * shards
-        placed = place_big(units, load, target)
+        placed, load = place_big(units, arcs, target)
         small = total - sum(u[3] for u in units)
         if not units or max(load) <= (1 + TOLERANCE) * total / shards or most <= limit:
             break
         most = max(limit, most // 2)
-        parts = {(g, o): math.ceil(size / most) for g, o, size in big if size > most}
     room = _level(load, target, small)
 
     gone = spark.createDataFrame([(g, o) for g, o, _ in big], "group long, old_shard int")
@@ -144,7 +202,7 @@ def reshard(docs: DataFrame, shards: int = 16, old_shards: int = 12, old: Column
 
 
 def _with_sub(base: DataFrame, parts: DataFrame) -> DataFrame:
-    """The part of a cut group that a row is in; 0 for others. Fewer than twice as many groups as shards are cut at first."""
+    """The part of a cut group that a row is in; 0 for others. Fewer groups than shards are cut at first."""
     return base.join(F.broadcast(parts), ["group", "old_shard"], "left").withColumn("sub", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("uid"), F.col("parts"))).cast("int")).drop("parts")
 
 

@@ -87,3 +87,16 @@ def test_rewritten_shards_hold_every_row_once(spark, documents, tmp_path, olds,
         assert sorted(map(tuple, found.collect()), key=str) == sorted(rows, key=str)
     assert sum(map(len, want.values())) == len(texts) and all(not want[j] for j in range(news, olds))
     assert olds == news or set(folders) == set(range(max(olds, news)))
+
+
+@pytest.mark.parametrize("kind", ["hot", "long", "both"])
+def test_big_groups_move_no_more_than_needed(documents, kind):
+    hot = ["the same text again"] * 2000 if kind != "long" else []
+    some = [f"{i} " + "long text " * (1 + i % 40) for i in range(1500)] if kind != "hot" else [f"another text {i}" for i in range(4000)]
+    docs = documents(hot + some)
+    rows = whole(resharding.reshard(docs), docs, 16)
+    total = sum(r.size for r in rows)
+    old = [sum(r.size for r in rows if r.old_shard == j) for j in range(12)]
+    moved = sum(r.size for r in rows if r.shard != r.old_shard)
+    assert moved <= sum(max(0, s - total / 16) for s in old) + 0.02 * total
+    assert max(sum(r.size for r in rows if r.shard == j) for j in range(16)) <= 1.02 * total / 16
