@@ -65,8 +65,10 @@ PERMISSION = [
 UNKNOWN = 0.5
 
 TAG = "spdx license identifier"
-TAG_LINE = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)")
+TAG_LINE = re.compile(r"spdx-license-identifier[ \t]*:")
 TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]{0,63}")
+TAG_TOKEN = re.compile(rf"[ \t]*({TOKEN.pattern})")
+LINE_END = re.compile(r"[ \t]*(?:[\r\n]|\Z)")
 OPERATORS = {"or": 1, "and": 2, "with": 3}
 #: Between two notices, words that let them join into one expression; the operator among them decides.
 JOINERS = {"or", "and", "with", "the", "a", "either", "both", "under", "licensed", "of", "terms", "at", "your", "option"}
@@ -111,6 +113,28 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
     return out + stack[::-1]
 
 
+def tag_tokens(text: str, at: int) -> list[str]:
+    """The expression that follows a tag on its line: its longest well-formed prefix of tokens parted by blanks only, up to an
+    operand after an operand. Where the line ends before the expression does, all its tokens."""
+    tokens: list[str] = []
+    depth = whole = 0
+    operand_next = True
+    while m := TAG_TOKEN.match(text, at):
+        t = m[1].rstrip(".:-")  # a sentence may end here
+        if operand_next == (t in OPERATORS or t == ")") or (t == ")" and not depth):
+            return tokens[:whole] or tokens
+        depth += (t == "(") - (t == ")")
+        operand_next = t == "(" or t in OPERATORS
+        tokens.append(t)
+        at = m.end()
+        if not operand_next and not depth:
+            whole = len(tokens)
+        if t != m[1]:
+            break
+    ended = LINE_END.match(text, at)
+    return tokens if ended else tokens[:whole] or tokens
+
+
 def permission(label: str) -> float:
     return next((p for prefix, p in PERMISSION if label.startswith(prefix)), UNKNOWN)
 
@@ -163,13 +187,14 @@ def scan_text(text: str | None, matcher: ahocorasick.Automaton) -> dict:
 
     # notices: at each stretch of words the longest match speaks; tags bring the expression that follows
     labels = set(out["base_labels"])
-    tags = iter(TAG_LINE.findall(raw.translate(_LOWER).decode("utf-8", "replace")) if any(p[2] == "tag" for p in places) else [])
+    lower = raw.translate(_LOWER).decode("utf-8", "replace") if any(p[2] == "tag" for p in places) else ""
+    tags = (tag_tokens(lower, m.end()) for m in TAG_LINE.finditer(lower))
     terms: list[list[str]] = []
     ends: list[tuple[int, int]] = []
     reach = -1
     for at, after, kind, label in sorted(places, key=lambda p: (p[0], -p[1], p[2])):
         if kind == "tag":
-            tokens = TOKEN.findall(next(tags, ""))
+            tokens = next(tags, [])
             ids = [t for t in tokens if t not in OPERATORS and t not in "()"]
             postfix = to_postfix(tokens)
             # an exception's name after "with" is no licence
@@ -208,7 +233,7 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, notices: dict[str,
 
     Null text counts as empty: no words, no labels, null places, score 0. Texts are scanned whole.
     Repeated rows give repeated results; null ids stay; an empty table gives an empty result; other
-    columns are ignored. Phrases may overlap, and every place counts. A tag whose expression is malformed
+    columns are ignored. Phrases may overlap, and every place counts. Words after a tag's expression don't belong to it. A tag whose expression is malformed
     gives its identifiers as labels and no value. No shuffle.
     """
     key = tuple((BASE if base is None else base).items()), tuple((NOTICES if notices is None else notices).items())

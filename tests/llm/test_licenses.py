@@ -57,3 +57,18 @@ def test_query_matches_brute_force(spark, sf_dir, documents):
     texts = ["cc by nc by nc cc BY-NC under the mit license under the MIT license version 2", "apache license version 2 apache license version 2", "ccé by nc"]
     for r, t in zip(sorted(licenses.scan(documents(texts)).collect(), key=lambda r: r.doc_id), texts, strict=True):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute(t)
+
+
+@pytest.mark.parametrize(
+    ("text", "labels", "score"),
+    [
+        ("SPDX-License-Identifier: MIT Copyright 2020 Foo", {"mit"}, 0.9),
+        ("see SPDX-License-Identifier: (MIT OR GPL-3.0-only) and then more words follow", {"mit", "gpl-3.0-only", "then"}, 0.5),
+        ("SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception This file is free", {"gpl-2.0"}, 0.75),
+        ("SPDX-License-Identifier: MIT. Copyright", {"mit"}, 0.9),
+        ("/* SPDX-License-Identifier: MIT */ SPDX-License-Identifier: GPL-3.0-only text", {"mit", "gpl-3.0-only"}, 0.5),
+    ],
+)
+def test_words_after_a_tag_are_not_its_expression(text, labels, score):
+    found = licenses.scan_text(text, MATCH)
+    assert (set(found["labels"]), found["score"]) == (labels, pytest.approx(score))
