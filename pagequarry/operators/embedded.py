@@ -139,7 +139,8 @@ def microdata_nested(pages: DataFrame) -> DataFrame:
 
 
 def meta_products(pages: DataFrame) -> DataFrame:
-    """Candidates of ``og:`` and ``product:`` meta tags; of a repeated property the first counts."""
+    """Candidates of ``og:`` and ``product:`` meta tags; of a repeated property the first counts. A page needs a price or
+    any ``product:`` property with a value; plain ``og:`` pages give none."""
     tags = F.transform(
         F.regexp_extract_all("html", F.lit(META), F.lit(0)),
         lambda t: F.struct(
@@ -150,11 +151,12 @@ def meta_products(pages: DataFrame) -> DataFrame:
     held = pages.select("page_id", tags.alias("tags"))
     one = lambda name: F.nullif(F.get(F.filter("tags", lambda t: t["k"] == name), F.lit(0))["v"], F.lit(""))
     first = lambda *names: decode_entities(F.coalesce(*map(one, names)))
+    stated = F.exists("tags", lambda t: t["k"].startswith("product:") & (t["v"] != ""))
     found = held.select(
-        "page_id", *_source("meta"), first("product:retailer_item_id").alias("sku"), first("product:gtin", "product:ean").alias("gtin"), first("og:title").alias("name"), first("product:brand", "og:brand").alias("brand"),
+        "page_id", stated.alias("stated"), *_source("meta"), first("product:retailer_item_id").alias("sku"), first("product:gtin", "product:ean").alias("gtin"), first("og:title").alias("name"), first("product:brand", "og:brand").alias("brand"),
         first("product:price:amount", "og:price:amount").alias("price"), first("product:price:currency", "og:price:currency").alias("currency"), first("product:availability", "og:availability").alias("availability"),
     )
-    return found.filter("price IS NOT NULL")
+    return found.filter("stated OR price IS NOT NULL").drop("stated")
 
 
 def fallback_products(fallback: DataFrame) -> DataFrame:

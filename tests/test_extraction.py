@@ -135,3 +135,20 @@ def test_plan_reads_only_what_it_needs(spark, sf_dir):
 
     explained = queries.url_key(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "html" not in explained.split("ReadSchema")[-1]
+
+
+def test_meta_tags_without_a_price_count(spark):
+    from pagequarry.plans.extract import extract as extract_products
+
+    tag = lambda k, v: f'<meta property="{k}" content="{v}">'
+    jsonld = '<script type="application/ld+json">{"@type": "Product", "sku": "a2", "name": "N", "offers": {"price": "5", "priceCurrency": "EUR"}}</script>'
+    html = [
+        tag("og:title", "Gone") + tag("product:retailer_item_id", "a1") + tag("product:availability", "sold out"),
+        jsonld + tag("product:brand", "Acme"),
+        tag("og:title", "An article"),
+    ]
+    pages = spark.createDataFrame([(i, f"https://shop.example/{i}", f"<html><head>{h}</head></html>") for i, h in enumerate(html)], "page_id long, url string, html string")
+    found = {r.url_key[-1]: r for r in extract_products(pages).collect()}
+    assert set(found) == {"0", "1"}
+    assert (found["0"].sku, found["0"].price, found["0"].availability) == ("a1", None, "OUT_OF_STOCK")
+    assert (found["1"].sku, found["1"].brand) == ("a2", "Acme")
