@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,20 +16,52 @@ SLICE_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one of our own only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset, a temporary one on a local master; on a cluster an
+    error, as executors share no folder of the driver."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Tables:
+    """Tables of one run in the shared folder: what is ``written`` goes when the run ends, what is ``kept`` for the
+    result, which is read later, when the session ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            held, system = self._file(path)
+            system.delete(held, True)
+
+    def _file(self, path: str):
+        held = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return held, held.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and read it back: lineage ends, and lost executors cost nothing."""
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        return self._write(df, path)
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        held, system = self._file(path)
+        df = self._write(df, path)
+        system.deleteOnExit(held)
+        return df
 
 
 def slices(batch: pa.RecordBatch, text: str | None = None) -> Iterator[pa.RecordBatch]:
@@ -56,11 +89,6 @@ def plain(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-BROADCAST_KEYS = 500_000
-
-
-def split_by(docs: DataFrame, keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``docs`` whose key is among ``keys`` (distinct, written) and the others. Up to ``BROADCAST_KEYS``
-    64-bit keys, 8 MB, are broadcast, so that no text is shuffled to find out; more are joined by shuffle."""
-    held = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    return docs.join(held, name, "left_semi"), docs.join(held, name, "left_anti")
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """A table of ``Tables.kept`` by itself."""
+    return Tables(df.sparkSession).kept(df, name)

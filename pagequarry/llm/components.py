@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
+def components(links: DataFrame, tables: common.Tables) -> DataFrame:
     """``node, root`` of every node of ``links`` (a long, b long): the smallest node it is linked with, over any
     number of steps. Self-links and repeated links are welcome.
 
@@ -16,19 +16,19 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     the longest path. Every round is written to the shared folder. A node with very many links is met by partial
     aggregation and a join, never gathered; what a join takes from an aggregation is written first, so that adaptive execution can split such a node.
     """
-    edges = common.written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    edges = tables.written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     before = None
     while True:
         # large star: larger neighbours of a node move to the smallest it knows
         both = edges.union(edges.select("b", "a"))
-        low = common.written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")), name)
+        low = tables.written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")), "components")
         edges = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
         # small star: smaller neighbours of a node, and it, move to the smallest of them
-        edges = common.written(edges, name)
-        low = common.written(edges.groupBy("a").agg(F.min("b").alias("low")), name)
+        edges = tables.written(edges, "components")
+        low = tables.written(edges.groupBy("a").agg(F.min("b").alias("low")), "components")
         edges = edges.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low).filter("a <> b").distinct()
-        edges = common.written(edges, name)
+        edges = tables.written(edges, "components")
         now = tuple(edges.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("a", "b"), 20))).first())
         if now == before:
             break

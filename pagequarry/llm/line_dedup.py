@@ -31,7 +31,7 @@ def _marked(docs: DataFrame, window: int) -> DataFrame:
     place = F.struct("id", "print", "at")
     first = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     # written, so that both sides of the join come from shuffles of their own and a hot window can be split
-    first = common.written(first, "windows")
+    first = common.kept(first, "windows")
     later = windows.join(first, ["a", "b"]).filter(place != F.col("first"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set("at"), lambda p: F.sequence(p, p + (window - 1))))))
     gone = later.groupBy("id", "print").agg(covered.alias("gone"))

@@ -2,16 +2,17 @@
 
 Documents are sets of word shingles. Shingles that occur in one text only can never be shared, so all that matters
 of a set is its size and its shared shingles, ordered from rare to frequent. Two sets that are similar enough
-share one of the first few of that order (the prefix). Texts with the same size and shared
-shingles, and so the same prefix, form one group; groups that meet in a prefix are filtered by size,
-position and a bitmap of their shingles, and the pairs left are verified once for all their members.
-
-The steps and what they shuffle:
-
-* equal texts become one class (two hashes a row);
-* shingles go, packed 6 bytes each, to a bucket by hash, where those of one text only fall out;
-* the shared ones go back to their class, again packed, and give the lists;
-* prefixes of the lists meet in a join, and the pairs that pass the filters fetch their lists.
+share one of the first few of that order (the prefix). Texts with the same prefix and size form one group.
+
+* Equal texts are one class; shingles go, packed 6 bytes each, to a bucket by hash, where those of one class
+  fall out; the shared ones go back to their class, again packed, and give the lists.
+* Leaders: of every group the first member, of every prefix shingle's groups the one with the fewest unshared shingles.
+  Members are verified against their group's leader, groups against their shingle's. That is a pair or two a
+  row, and joins nearly all that belong together.
+* Group pairs: what is left to find are links between texts not yet connected. Only prefix shingles whose groups lie in
+  several components are joined, and of those only pairs with a group outside the shingle's largest component; they are filtered by size,
+  position and bitmap, expanded to members, and verified on whole lists. So a large group of near copies isn't joined all against all, and
+  no link that would connect two texts is lost.
 
 Shingles that a ``1 / HOT_SHARE`` part of all texts hold are found beforehand by local counts and never sent to
 one bucket: their frequency is known, so they go straight to their class. Shingles are compared by 48 bits of hash.
@@ -24,14 +25,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
 from .hashing import mix, shingles
 
-CLASSES_PER_BUCKET = 2000
+SHINGLES_PER_BUCKET = 1 << 19
 FLUSH_SHINGLES = 1 << 19
 FLUSH_TEXTS = 1 << 15
 HOT_SHARE = 256
@@ -73,21 +74,24 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
 
 
 def _units(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """Classes, set sizes and sets of a bounded number of texts at a time."""
-    classes: list[int] = []
-    sets: list[np.ndarray] = []
-    held = 0
+    """Classes, set sizes and sets of a bounded number of texts at a time, each class once."""
+    held: dict[int, np.ndarray] = {}
+    n = 0
     for batch in batches:
         for part in common.slices(batch, "text"):
-            classes += part.column(0).to_pylist()
-            new = [shingles(t, size) for t in part.column(1).to_pylist()]
-            sets += new
-            held += sum(map(len, new))
-            if held >= FLUSH_SHINGLES or len(sets) >= FLUSH_TEXTS:
-                yield np.array(classes, np.int64), np.array([len(s) for s in sets], np.int64), [s >> np.uint64(16) for s in sets]
-                classes, sets, held = [], [], 0
-    if sets:
-        yield np.array(classes, np.int64), np.array([len(s) for s in sets], np.int64), [s >> np.uint64(16) for s in sets]
+            for own, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if own not in held:
+                    held[own] = shingles(text, size)
+                    n += len(held[own])
+            if n >= FLUSH_SHINGLES or len(held) >= FLUSH_TEXTS:
+                yield _unit(held)
+                held, n = {}, 0
+    if held:
+        yield _unit(held)
+
+
+def _unit(held: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    return np.array(list(held), np.int64), np.array([len(s) for s in held.values()], np.int64), [s >> np.uint64(16) for s in held.values()]
 
 
 def _survey(texts: DataFrame, size: int) -> DataFrame:
@@ -130,6 +134,10 @@ def _gather(buckets: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         token, classes, sizes, count = _unpack(table)
         if table.column("bucket")[0].as_py() >= 0:
+            order = np.lexsort((classes, token))
+            token, classes, sizes = token[order], classes[order], sizes[order]
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (classes[1:] != classes[:-1])])[: len(token)]  # copies of a text count once
+            token, classes, sizes = token[new], classes[new], sizes[new]
             _, back, n = np.unique(token, return_inverse=True, return_counts=True)
             shared = n[back] > 1
             token, classes, sizes, count = token[shared], classes[shared], sizes[shared], n[back][shared]
@@ -164,8 +172,8 @@ def _lists(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
                 bit = (mix(own) >> np.uint64(40)) % np.uint64(64 * BITMAP_WORDS)
                 odd = np.bincount(bit.astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
                 bitmap = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
-                whole = int(mix(np.array([mix(own ^ np.uint64(n)).sum()], np.uint64)).view(np.int64)[0])
-                rows.append((int(classes[a]), n, m, own.astype(np.int64), prefix, bitmap, whole))
+                group = int(mix(np.array([mix(own[:prefix] ^ np.uint64(n)).sum()], np.uint64)).view(np.int64)[0])
+                rows.append((int(classes[a]), n, m, own.astype(np.int64), prefix, bitmap, group))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()), pa.int64()]
         names = ["class", "n", "m", "shingles", "prefix", "bitmap", "group"]
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
@@ -173,95 +181,117 @@ def _lists(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def similar_groups(texts: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of ``texts`` (class, text; a row a class): ``class, n`` of all, ``class, group`` of those that can have
-    partners, and the links ``a, b`` between groups, or a group and itself, whose members are
-    similar: ``den * intersection >= num * union``. No link is lost."""
-    spark = texts.sparkSession
-    survey = common.written(_survey(texts, size), "survey")
-    sizes = survey.filter("class IS NOT NULL").select("class", "n")
-    total = sizes.count()
-    buckets = 1 << max(3, (max(1, total) // CLASSES_PER_BUCKET).bit_length())
+def _lists_of(texts: DataFrame, size: int, num: int, den: int, tables: common.Tables) -> tuple[DataFrame, DataFrame]:
+    """``class, n`` of every class of ``texts`` (class, text), and the lists of those that can have partners."""
+    survey = tables.written(_survey(texts, size), "survey")
+    sizes = survey.filter("class IS NOT NULL").select("class", "n").distinct()
+    total, volume = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    buckets = 1 << max(3, (volume // SHINGLES_PER_BUCKET).bit_length())
     hot = survey.filter("class IS NULL").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(LEAST_HOT, total // HOT_SHARE))
     known = hot.orderBy(F.desc("n"), "shingle").limit(MOST_HOT).toPandas().sort_values("shingle")
-    held = spark.sparkContext.broadcast((known["shingle"].to_numpy(np.int64).astype(np.uint64), known["n"].to_numpy(np.int64)))  # 4 MB at most
+    held = texts.sparkSession.sparkContext.broadcast((known["shingle"].to_numpy(np.int64).astype(np.uint64), known["n"].to_numpy(np.int64)))  # 4 MB at most
 
     sent = _scatter(texts, size, buckets, held)
     back = sent.groupBy("bucket").applyInArrow(_gather(buckets), PACKED)
-    lists = common.written(back.groupBy("bucket").applyInArrow(_lists(num, den), LISTS), "lists")
+    return tables.written(sizes, "sizes"), tables.written(back.groupBy("bucket").applyInArrow(_lists(num, den), LISTS), "lists")
+
 
-    # one member speaks for its group; the join is by class, so that a large group meets no single task
-    heads = lists.join(lists.groupBy("group").agg(F.min("class").alias("class")).select("class"), "class", "left_semi")
-    at = F.posexplode(F.slice("shingles", 1, F.col("prefix")))
-    posts = heads.select("group", "n", "m", "bitmap", at.alias("at", "shingle"))
-    a, b = posts.alias("a"), posts.alias("b")
+def _may_link(num: int, den: int) -> Column:
+    """Whether the set sizes and the places of a shared prefix shingle leave room for a link between ``a`` and ``b``."""
     need = F.lit(num) * (F.col("a.n") + F.col("b.n"))
+    room = F.least(F.col("a.m") - F.col("a.at"), F.col("b.m") - F.col("b.at"))
+    return (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num) & (room * (den + num) >= need)
+
+
+def _bits_agree(num: int, den: int) -> Column:
+    """Whether the bitmaps leave room for it: each odd bit of difference is a shingle that one set lacks."""
     differing = sum((F.bit_count(F.col("a.bitmap")[i].bitwiseXOR(F.col("b.bitmap")[i])) for i in range(1, BITMAP_WORDS)), F.bit_count(F.col("a.bitmap")[0].bitwiseXOR(F.col("b.bitmap")[0])))
-    near = (
-        (F.col("a.shingle") == F.col("b.shingle"))
-        & (F.col("a.group") < F.col("b.group"))
-        & (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num)
-        & (F.least(F.col("a.m") - F.col("a.at"), F.col("b.m") - F.col("b.at")) * (den + num) >= need)
-        & ((F.col("a.m") + F.col("b.m") - differing) * (den + num) >= 2 * need)
-    )
-    pairs = a.join(b, near).select(F.col("a.group").alias("a"), F.col("b.group").alias("b")).distinct()
-    left = heads.select(F.col("group").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("of_a"))
-    right = heads.select(F.col("group").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("of_b"))
+    return (F.col("a.m") + F.col("b.m") - differing) * (den + num) >= 2 * num * (F.col("a.n") + F.col("b.n"))
+
+
+def _verified(pairs: DataFrame, lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Of ``pairs`` (a, b) those whose whole lists are similar enough."""
+    left = lists.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("of_a"))
+    right = lists.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b")).cast("long")
-    links = pairs.join(left, "a").join(right, "b").filter(both * (den + num) >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-    alike = heads.filter(F.col("m") * (den + num) >= 2 * num * F.col("n")).select(F.col("group").alias("a"), F.col("group").alias("b"))
-    return sizes, lists.select("class", "group"), common.written(links.unionByName(alike), "links")
+    return pairs.join(left, "a").join(right, "b").filter(both * (den + num) >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def similar(texts: DataFrame, size: int, num: int, den: int, tables: common.Tables) -> tuple[DataFrame, DataFrame]:
+    """Of ``texts`` (class, text): ``class, n`` of all, and ``a, b``: verified links between classes,
+    ``den * intersection >= num * union``, enough of them to connect all classes that any links connect."""
+    sizes, lists = _lists_of(texts, size, num, den, tables)
+    heads = tables.written(lists.groupBy("group").agg(F.min("class").alias("class")), "heads")
+    slot = F.posexplode(F.slice("shingles", 1, F.col("prefix")))
+    posts = lists.join(heads.select("class"), "class", "left_semi").select("group", "class", "n", "m", "bitmap", slot.alias("at", "shingle"))
+
+    # leaders; the fewest unshared shingles stand nearest to what near copies have in common
+    near_all = F.struct(((F.col("n") - F.col("m")) / F.col("n")).alias("unshared"), "group")
+    leaders = posts.groupBy("shingle").agg(F.count("*").alias("of"), F.min_by(F.struct("class", "n", "m", "bitmap", "at"), near_all).alias("b")).filter("of > 1").select("shingle", "b")
+    leaders = tables.written(leaders, "leaders")
+    met = posts.select("shingle", F.struct("class", "n", "m", "bitmap", "at").alias("a")).join(leaders, "shingle")
+    to_leader = met.filter((F.col("a.class") != F.col("b.class")) & _may_link(num, den) & _bits_agree(num, den)).select(F.col("a.class").alias("a"), F.col("b.class").alias("b"))
+    own = lists.select("group", "class").join(heads.withColumnRenamed("class", "head"), "group").filter(F.col("class") != F.col("head")).select(F.col("class").alias("a"), F.col("head").alias("b"))
+    first = tables.written(_verified(tables.written(to_leader.unionByName(own).distinct(), "pairs"), lists, num, den), "links")
+
+    # groups of texts not yet connected
+    roots = tables.written(components(first, tables).select(F.col("node").alias("class"), F.col("root").alias("comp")), "connected")
+    members = tables.written(lists.select("class", "group", "n", "m", "bitmap").join(roots, "class", "left").withColumn("comp", F.coalesce("comp", "class")), "members")
+    groups = tables.written(members.groupBy("group").agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")), "groups")
+    placed = posts.drop("class").join(groups, "group")
+    shares = placed.groupBy("shingle", "low").agg(F.count("*").alias("of"), F.max("high").alias("high"))
+    mixed = shares.groupBy("shingle").agg(F.min("low").alias("from"), F.max("high").alias("to"), F.max_by("low", "of").alias("top"))
+    mixed = tables.written(mixed.filter(F.col("from") != F.col("to")).select("shingle", "top"), "mixed")
+    outside = (F.col("low") != F.col("high")) | (F.col("low") != F.col("top"))
+    open_ = tables.written(placed.join(mixed, "shingle").withColumn("outside", outside).drop("top"), "open")
+    a, b = open_.filter("outside").alias("a"), open_.alias("b")
+    apart = (F.col("a.low") != F.col("b.low")) | (F.col("a.low") != F.col("a.high")) | (F.col("b.low") != F.col("b.high"))
+    single = (F.col("a.members") == 1) & (F.col("b.members") == 1)  # a bitmap is its member's
+    once = ~F.col("b.outside") | (F.col("a.group") < F.col("b.group"))
+    pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.group") != F.col("b.group")) & once & apart & _may_link(num, den) & (~single | _bits_agree(num, den)))
+    pairs = pairs.select(F.least("a.group", "b.group").alias("one"), F.greatest("a.group", "b.group").alias("other"))
+    pairs = pairs.unionByName(groups.filter("low <> high").select(F.col("group").alias("one"), F.col("group").alias("other"))).distinct()
+    pairs = tables.written(pairs, "pairs")
+
+    expanded = pairs.join(members.select(F.col("group").alias("one"), F.struct("class", "comp", "n", "m", "bitmap").alias("a")), "one")
+    expanded = expanded.join(members.select(F.col("group").alias("other"), F.struct("class", "comp", "n", "m", "bitmap").alias("b")), "other")
+    expanded = expanded.filter((F.col("a.comp") != F.col("b.comp")) & ((F.col("one") != F.col("other")) | (F.col("a.class") < F.col("b.class"))) & _bits_agree(num, den))
+    rest = _verified(expanded.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")), lists, num, den)
+    return sizes, first.unionByName(tables.written(rest, "links"))
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links, class, key`` of every row (class: a hash of the text, key: of id and text).
+    """``doc_id, n_shingles, component_id, class, key`` of every row (class: a hash of the text, key: of id and text).
 
     Words are what spaces and \\t to \\r part, A-Z in lower case; a set holds the distinct shingles of ``size`` words, or
     the whole sequence if it is shorter. Two documents link when ``den * intersection >= num * union``.
-    ``component_id`` is the smallest ``doc_id`` reachable by links; ``n_links`` counts the other classes of equal texts that the row's
-    class links with. Null texts, empty texts and texts without words have no shingles, link with nothing and keep their own
+    ``component_id`` is the smallest ``doc_id`` reachable by links. Links between texts that others connect already are not
+    counted, as their number grows with the square of a group. Null texts, empty texts and texts without words have no shingles, link with nothing and keep their own
     ``doc_id``. Rows without a ``doc_id`` take part, but give no component its name (null if it has no other). Repeated rows are
     copies of each other. An empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("class"), common.doc_key().alias("key"))
-    classes = common.written(rows.groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
-    copies = rows.select("class", "doc_id", "key").join(classes.filter("copies > 1"), "class").filter(F.col("doc_id") != F.col("first"))
-    copies = common.written(copies.select("key").distinct(), "copies")
-    texts = common.split_by(rows.select("key", "class", "text").filter("text IS NOT NULL"), copies, "key")[1].select("class", "text")
-    sizes, members, links = similar_groups(texts, size, num, den)
-    sizes = sizes.distinct()
-
-    # what is joined by group or root is written first: both sides then have shuffles of their own, and a hot key can be split
-    roots = common.written(components(links), "roots")
-    grouped = members.join(roots.withColumnRenamed("node", "group"), "group", "left").select("class", "group", F.coalesce("root", F.col("class")).alias("root"), F.col("root").isNotNull().alias("linked"))
-    # a class that no link reaches stands for itself; roots are groups, so the two are kept apart
-    grouped = common.written(grouped, "grouped")
-    named = common.written(classes.select("class", "first").join(grouped, "class").groupBy("linked", "root").agg(F.min("first").alias("name")), "named")
-    weight = grouped.groupBy("group").agg(F.count("*").alias("members"))
-    ends = links.filter("a <> b")
-    ends = ends.union(ends.select("b", "a"))
-    degree = ends.join(weight.withColumnRenamed("group", "b"), "b").groupBy(F.col("a").alias("group")).agg(F.sum("members").alias("others"))
-    own = links.filter("a = b").select(F.col("a").alias("group"), F.lit(True).alias("alike")).join(weight, "group")
-    per_group = common.written(weight.select("group").join(degree, "group", "left").join(own, "group", "left").select("group", (F.coalesce("others", F.lit(0)) + F.coalesce(F.col("members") - 1, F.lit(0))).alias("n_links")), "per_group")
-    known = grouped.join(named, ["linked", "root"]).join(per_group, "group").select("class", "name", "n_links")
-    # an unlinked group's members are alike only if the group links with itself, so here each keeps its own name
-    per_class = common.written(classes.join(sizes, "class", "left").join(known, "class", "left").select("class", "first", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("name", "first").alias("name"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "per_class")
+    with common.Tables(docs.sparkSession) as tables:
+        sizes, links = similar(rows.filter("text IS NOT NULL").select("class", "text"), size, num, den, tables)
+        # what is joined by root is written first: both sides then have shuffles of their own, and a hot root can be split
+        roots = components(links, tables).withColumnRenamed("node", "class")
+        classes = rows.groupBy("class").agg(F.min("doc_id").alias("first"))
+        rooted = tables.written(classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")), "rooted")
+        named = tables.written(rooted.groupBy("root").agg(F.min("first").alias("name")), "named")
+        per_class = tables.kept(rooted.join(named, "root").join(sizes, "class", "left").select("class", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "name"), "per_class")
     found = rows.select("doc_id", "class", "key").join(per_class, "class")
-    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("name")).alias("component_id"), F.col("n_links").cast("long").alias("n_links"), "class", "key")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("name")).alias("component_id"), "class", "key")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` with all their columns, but of each component only the one with the smallest ``doc_id``.
 
     Rows that repeat id and text come out once. Documents without words all stay. A row without an id goes where its
-    component has a row with one, and stays otherwise. An empty table gives an empty result.
+    component has a row with one, and stays otherwise. An empty table gives an empty result. One shuffle of the texts.
     """
     found = jaccard_components(docs, size, num, den)
-    gone = common.written(found.filter("component_id IS NOT NULL AND (doc_id IS NULL OR doc_id <> component_id)").select("key").distinct(), "gone")
-    again = common.written(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "again")
-    # the row travels as one struct, so no column of the table can clash with the key
-    rows = docs.select(F.struct("*").alias("row"), common.doc_key().alias("key"))
-    kept = common.split_by(rows, gone, "key")[1]
-    repeated, single = common.split_by(kept, again, "key")
-    out = single.unionByName(repeated.dropDuplicates(["key"]))
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    with common.Tables(docs.sparkSession) as tables:
+        gone = tables.kept(found.filter("component_id IS NOT NULL AND (doc_id IS NULL OR doc_id <> component_id)").select("key").distinct(), "gone")
+    # the row travels as one struct, so no column of the table can clash with the key; repeated rows meet in each task first
+    rows = docs.select(F.struct("*").alias("row"), common.doc_key().alias("key")).dropDuplicates(["key"])
+    return rows.join(gone, "key", "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

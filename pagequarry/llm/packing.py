@@ -27,6 +27,7 @@ from .bpe import bpe
 
 CAPACITY = 1024
 END_ID = 2
+BROADCAST_ROWS = 500_000
 
 
 def plan(counts: dict[int, int], capacity: int, max_docs: int, max_attention: int, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.01, 0.01)) -> list[tuple[int, int, int, int, int]]:
@@ -125,18 +126,18 @@ def pack(
     the end id alone; without an end id they give no row. Repeated rows are packed as often as they
     occur; a null id stays null. Equal lengths are interchangeable: which of them goes where follows from
     the order of the scan. An empty table gives an empty result. Other columns are ignored.
-    The ids are written once with their pieces and not shuffled while there are at most ``common.BROADCAST_KEYS``
+    The ids are written once with their pieces and not shuffled while there are at most ``BROADCAST_ROWS``
     pairs of a length and a task; beyond that they go through one shuffle.
     """
     spark = docs.sparkSession
     max_docs, max_attention = max_docs or capacity, max_attention or capacity * capacity
-    found = common.written(pieces(docs, capacity, end_id, tokenizer), "pieces")
+    found = common.kept(pieces(docs, capacity, end_id, tokenizer), "pieces")
     per_part = found.groupBy("length", "part").agg(F.count("*").alias("n"))
     lengths = per_part.groupBy("length").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).collect()  # at most `capacity` rows
     rows = plan({r.length: r.n for r in lengths}, capacity, max_docs, max_attention, rule)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = per_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    held = F.broadcast(base) if sum(r.parts for r in lengths) <= common.BROADCAST_KEYS else base
+    held = F.broadcast(base) if sum(r.parts for r in lengths) <= BROADCAST_ROWS else base
     ranked = found.join(held, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("base"))
     table = spark.createDataFrame(rows, "length long, first_rank long, n long, first_sequence long, offset long")
     shift = F.col("rank") - F.col("first_rank")

@@ -188,7 +188,7 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_la
     others, rows that repeat are scored alike, null ids stay, other columns are ignored, an empty table
     gives an empty result.
     """
-    found = common.written(features(docs), "features")
+    found = common.kept(features(docs), "features")
     votes = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.avg(F.col(label_col).cast("double")).alias("vote"))
     votes = votes.select("doc_id", (F.col("vote") >= 0.5).cast("double").alias("y"))
     share = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / F.lit(1 << 20)
@@ -236,5 +236,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     ids = docs.select(common.doc_key().alias("doc_id"), "text", "lang", "source", "n_chars")
     names = docs.select("doc_id", common.doc_key().alias("key"))
     mapped = labels.join(names, "doc_id").select(F.col("key").alias("doc_id"), *[c for c in labels.columns if c != "doc_id"])
-    rejected = common.written(score(ids, mapped, **how).filter(~F.col("keep")).select(F.col("doc_id").alias("key")).distinct(), "rejected")
-    return common.split_by(rows, rejected, "key")[1].select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    rejected = common.kept(score(ids, mapped, **how).filter(~F.col("keep")).select(F.col("doc_id").alias("key")).distinct(), "rejected")
+    return rows.join(rejected, "key", "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -35,7 +35,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
-    return found.select("doc_id", "n_shingles", "component_id", "n_links")
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = common.written(resharding.reshard(table(spark, sf_dir, "documents"), shards=16), "placed")
+    placed = common.kept(resharding.reshard(table(spark, sf_dir, "documents"), shards=16), "placed")
     resharding.rewrite(placed, f"{common.shared_dir(spark)}/shards-{uuid.uuid4().hex}")
     text = F.coalesce("row.text", F.lit(""))
     return placed.select(
@@ -123,12 +123,10 @@ WITH RECURSIVE w AS (
   SELECT class, min(doc_id) AS first FROM w GROUP BY class
 ), c AS (
   SELECT r.src AS class, min(f.first) AS component_id FROM r JOIN f ON f.class = r.dst GROUP BY r.src
-), d AS (
-  SELECT a AS class, count(*) AS n_links FROM s GROUP BY a
 )
 SELECT w.doc_id, CAST(coalesce(len(t.grams), 0) AS BIGINT) AS n_shingles,
-       coalesce(c.component_id, w.doc_id) AS component_id, CAST(coalesce(d.n_links, 0) AS BIGINT) AS n_links
-FROM w LEFT JOIN t ON t.class = w.class LEFT JOIN c ON c.class = w.class LEFT JOIN d ON d.class = w.class
+       coalesce(c.component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN t ON t.class = w.class LEFT JOIN c ON c.class = w.class
 """,
     "op8_line_dedup": line_dedup.ORACLE_SQL,
     "op9_suffix_dedup": suffix_dedup.ORACLE_SQL,

@@ -146,7 +146,7 @@ def reshard(docs: DataFrame, shards: int = 16, old_shards: int = 12, old: Column
         hashed.alias("group"),
         (F.pmod(hashed, F.lit(old_shards)) if old is None else old).cast("int").alias("old_shard"),
     )
-    base = common.written(base.withColumn("uid", F.monotonically_increasing_id()), "rows")
+    base = common.kept(base.withColumn("uid", F.monotonically_increasing_id()), "rows")
     base = base.withColumn("block", F.pmod(F.shiftright("group", 24), F.lit(BLOCKS)).cast("int"))
     groups = base.groupBy("old_shard", "block", "group").agg(F.sum("size").alias("size"))
     supply = {r.old_shard: r.size for r in groups.groupBy("old_shard").agg(F.sum("size").alias("size")).collect()}

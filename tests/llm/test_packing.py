@@ -72,7 +72,7 @@ def test_pack_on_odd_rows(odd):
 
 @pytest.mark.parametrize("keys", [500_000, 0])
 def test_sequences_hold_the_ids_of_their_pieces(odd, monkeypatch, keys):
-    monkeypatch.setattr(packing.common, "BROADCAST_KEYS", keys)
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", keys)
     rows = packing.pack(odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), capacity=64).collect()
     sequences = defaultdict(bytes)
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
