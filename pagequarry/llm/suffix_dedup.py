@@ -1,24 +1,25 @@
 """Suffix-array dedup to a limited depth: which strings of ``threshold`` bytes start more than once.
 
-Suffixes are told apart by most-significant-digit passes and never beyond the threshold. The digits are
-fingerprints, so that most suffixes need not be written out one by one:
+Suffixes are sorted by most-significant-digit passes over their bytes and never beyond the threshold. Prefilters that lose
+nothing first take out what needs no sorting:
 
 1. The anchor, the smallest hash of ``GRAM`` bytes inside the suffix's first ``threshold`` bytes. Neighbouring
-   suffixes share it, so a run of them is one row; equal suffixes have equal anchors. A run whose anchor
-   is alone in the corpus drops out.
-2. The context, all bytes that the run's suffixes see. Where all runs of an anchor have one context, or a
-   context occurs twice, every suffix of the run is repeated and needs no further pass.
-3. The bytes that all suffixes of a quarter see. Suffixes are in a quarter by how far the anchor is from their start, so what
-   those of one quarter see in common is most of the threshold. Quarters that no other context shares drop out.
-4. The suffix's own ``threshold`` bytes, for one run of each remaining context. Equal groups of this
-   last pass are exactly the repeated strings. They travel packed, about ten bytes each.
-
-The anchor, the context and the last digit are compared by 64 bits of hash, quarters by 32.
+   suffixes share it, so a run of them is one row; equal suffixes have equal anchors, at the same distance. A run
+   whose anchor is alone in the corpus drops out.
+2. The context, all bytes that the run's suffixes see. Where all runs of an anchor have one context, or a context occurs
+   twice, every suffix of the run is repeated. Of such contexts one run stays, to be compared with others.
+3. The bytes that all suffixes of a quarter of the distances see. Quarters that no other context shares drop out.
+
+The runs left travel once, with their bytes, to a bucket of their anchor. There the radix sort runs: each pass tells
+suffixes of a group apart by their next eight bytes and drops those that are alone. Equal groups of the last pass are
+exactly the repeated strings. An anchor with more suffixes than a bucket should hold is first split over the cluster, by ever narrower
+slices of the distance and the bytes common to a slice; a slice as narrow as one distance has all ``threshold`` of them.
+
+Anchors, contexts and slices are compared by 64 bits of hash, quarters by 32, suffixes in buckets by their bytes.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ from .hashing import BUFFER, BUFFER_BITS, Substrings, mix
 THRESHOLD = 200
 GRAM = 32
 QUARTERS = 4
-SUFFIXES_PER_BUCKET = 1 << 19
-FLUSH_SUFFIXES = 1 << 19
+BUCKET_SUFFIXES = 1 << 18
+SLICES = (15, 5, 1)
 
 
 def buffers(texts: list[bytes], threshold: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
@@ -121,154 +122,141 @@ def first_pass(keyed: DataFrame, threshold: int, gram: int) -> DataFrame:
 _RUN = ["key", "anchor", "context", "start", "more", "back", "qa", "qb"]
 
 
-PACKED = "bucket int, digits binary, starts binary, once binary, counts binary, keys binary"
-_PACKED = pa.schema([("bucket", pa.int32()), *[(n, pa.binary()) for n in ("digits", "starts", "once", "counts", "keys")]])
-
-
-def last_pass(held: DataFrame, threshold: int, buckets: int) -> DataFrame:
-    """The suffixes in the ranges of ``held`` (key, text, ranges), packed by bucket: digits, starts (by byte plane), whether the
-    suffix's context occurs once, and how many suffixes each key has."""
-
-    def flush(digits: list, starts: list, once: list, keys: list) -> Iterator[pa.RecordBatch]:
-        digit, start, single = np.concatenate(digits), np.concatenate(starts), np.concatenate(once)
-        text = np.repeat(np.arange(len(keys)), [len(d) for d in digits])
-        bucket = (digit >> np.uint64(40)).astype(np.int64) % buckets
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b, (x, y) in enumerate(itertools.pairwise(cuts.tolist())):
-            if x < y:
-                own = order[x:y]
-                texts, counts = np.unique(text[own], return_counts=True)
-                row = (digit[own].tobytes(), _planes(start[own]), np.packbits(single[own]).tobytes(), counts.astype("<u4").tobytes(), np.array(keys, np.int64)[texts].tobytes())
-                yield pa.record_batch([pa.array([b], pa.int32()), *[pa.array([v], pa.binary()) for v in row]], schema=_PACKED)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: tuple[list, list, list, list] = ([], [], [], [])
-        size = 0
-        for batch in batches:
-            for part in common.slices(batch, "text"):
-                for key, text, own in zip(*[part.column(i).to_pylist() for i in range(3)], strict=True):
-                    digit, start, single = _suffixes((text or "").encode(), own, threshold)
-                    for held_part, new in zip(parts, (digit, start, single, key), strict=True):
-                        held_part.append(new)
-                    size += len(digit)
-                    if size >= FLUSH_SUFFIXES:
-                        yield from flush(*parts)
-                        parts, size = ([], [], [], []), 0
-        if size:
-            yield from flush(*parts)
-
-    return held.mapInArrow(run, PACKED)
-
-
-def _suffixes(raw: bytes, ranges: list[dict], threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = np.array([r["n"] for r in ranges])
-    once = np.repeat(np.array([r["once"] for r in ranges]), n)
-    starts = np.repeat(np.array([r["start"] for r in ranges]), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    digit = np.zeros(len(starts), np.uint64)
-    step = BUFFER - threshold
-    for at in range(0, len(raw), step):
-        inside = np.flatnonzero((starts >= at) & (starts < at + step))
-        if len(inside):
-            subs = Substrings(np.frombuffer(raw[at : at + BUFFER], np.uint8))
-            digit[inside] = subs.of(starts[inside] - at, starts[inside] - at + threshold)
-    return digit, starts, once
-
-
-def _planes(values: np.ndarray) -> bytes:
-    """Numbers below 2**40 by byte plane, which packs well."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
-
-
-def _from_planes(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(5, -1)
-    wide = np.zeros((planes.shape[1], 8), np.uint8)
-    wide[:, :5] = planes.T
-    return wide.view("<i8").ravel()
-
-
-FOUND = "bucket int, keys binary, counts binary, starts binary"
-
-
-def _repeated(buckets: int) -> Callable[[pa.Table], pa.Table]:
-    """Of a bucket: the starts of suffixes that occur again and are not known to yet, packed by buckets of their keys."""
+PIECE = ["node", "key", "start", "n", "back", "once"]
+
+
+def radix_repeated(data: bytes, places: np.ndarray, groups: np.ndarray, depth: int) -> np.ndarray:
+    """Which of the suffixes at ``places`` have their first ``depth`` bytes in common with another of their group. Passes
+    from the most significant eight bytes on; a pass sorts only groups that it tells apart."""
+    words = np.ndarray((len(data),), ">u8", data + bytes(8), strides=(1,))
+    order = np.argsort(groups, kind="stable")
+    new = np.concatenate([[True], np.diff(groups[order]) != 0])[: len(order)]
+    for at in range(0, depth + 8, 8):
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(order)))
+        several = np.repeat(size > 1, size)
+        order, new = order[several], new[several]
+        if at >= depth or not len(order):
+            break
+        first, size = np.flatnonzero(new), size[size > 1]
+        digit = words[places[order] + at].astype(np.uint64) >> np.uint64(8 * max(0, at + 8 - depth))
+        differs = np.logical_or.reduceat(digit != np.repeat(digit[first], size), first)
+        held = np.flatnonzero(np.repeat(differs, size))
+        if len(held):
+            by = held[np.lexsort((digit[held], np.repeat(first, size)[held]))]
+            order[held], digit[held] = order[by], digit[by]
+            new[1:] |= digit[1:] != digit[:-1]
+    out = np.zeros(len(places), bool)
+    out[order] = True
+    return out
+
+
+def _sorted_bucket(threshold: int) -> Callable[[pa.Table], pa.Table]:
+    """Of a bucket of pieces: the spans of suffixes that occur again in their node, for pieces whose context occurs once."""
 
     def run(table: pa.Table) -> pa.Table:
-        digits, starts, once, keys = [], [], [], []
-        for row in table.to_pylist():
-            digit = np.frombuffer(row["digits"], np.uint64)
-            digits.append(digit)
-            starts.append(_from_planes(row["starts"]))
-            once.append(np.unpackbits(np.frombuffer(row["once"], np.uint8))[: len(digit)].astype(bool))
-            keys.append(np.repeat(np.frombuffer(row["keys"], np.int64), np.frombuffer(row["counts"], "<u4")))
-        _, back, n = np.unique(np.concatenate(digits), return_inverse=True, return_counts=True)
-        again = (n[back] > 1) & np.concatenate(once)
-        start, key = np.concatenate(starts)[again], np.concatenate(keys)[again]
-        to = (mix(key.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % buckets
-        order = np.lexsort((start, key, to))
-        start, key, to = start[order], key[order], to[order]
-        rows = []
-        for own in np.split(np.arange(len(to)), np.flatnonzero(to[1:] != to[:-1]) + 1) if len(to) else []:
-            texts, counts = np.unique(key[own], return_counts=True)
-            rows.append((int(to[own[0]]), texts.tobytes(), counts.astype("<u4").tobytes(), _planes(start[own])))
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bucket", "keys", "counts", "starts"])
+        n, start, once = (table.column(c).to_numpy() for c in ("n", "start", "once"))
+        size = n + threshold - 1
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        of = np.repeat(np.arange(len(n)), n)
+        again = radix_repeated(b"".join(table.column("bytes").to_pylist()), np.repeat(np.cumsum(size) - size, n) + within, np.unique(table.column("node").to_numpy(), return_inverse=True)[1][of], threshold)
+        hit = np.flatnonzero(again & once[of])
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(of[hit]) != 0)])[: len(hit)])
+        last = np.append(new[1:], len(hit)) - 1 if len(hit) else new
+        low, high = hit[new], hit[last]
+        return pa.table({"key": pa.array(table.column("key").to_numpy()[of[low]]), "start": pa.array(start[of[low]] + within[low]), "end": pa.array(start[of[high]] + within[high] + threshold)})
 
     return run
 
 
-def _by_key(table: pa.Table) -> pa.Table:
-    """Of a bucket of keys: ``key, late``."""
-    rows = table.to_pylist()
-    key = np.concatenate([np.repeat(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["counts"], "<u4")) for r in rows])
-    start = np.concatenate([_from_planes(r["starts"]) for r in rows])
-    order = np.lexsort((start, key))
-    own, first = np.unique(key[order], return_index=True)
-    offsets = pa.array(np.append(first, len(key)).astype(np.int32))
-    return pa.table({"key": pa.array(own, pa.int64()), "late": pa.ListArray.from_arrays(offsets, pa.array(start[order], pa.int64()))})
-
-
-def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
-    """``key, starts, ends, late``: for each document (by ``common.doc_key``) with any, its spans of repeated strings as they
-    were found, overlapping, and starts of further ones that are as long as the threshold."""
+def _narrower(pieces: DataFrame, width: int, threshold: int) -> DataFrame:
+    """``pieces`` cut at multiples of ``width`` in the distance to the anchor; a node is then a slice of one with the same
+    common bytes. With each: ``total`` suffixes of its node and whether all its pieces are ``alike``. Nodes of one piece drop out."""
+    cut = pieces.select("*", F.explode(F.expr(f"sequence((back - n + 1) div {width}, back div {width})")).alias("slice"))
+    far, near = F.least("back", F.col("slice") * width + (width - 1)), F.greatest(F.col("back") - F.col("n") + 1, F.col("slice") * width)
+    cut = cut.withColumns({"far": far, "near": near})
+    own = F.expr(f"substring(bytes, cast(back - far + 1 as int), cast(far - near + {threshold} as int))")
+    cut = cut.select("node", "slice", "key", (F.col("start") + F.col("back") - F.col("far")).alias("start"), (F.col("far") - F.col("near") + 1).alias("n"), F.col("far").alias("back"), "once", own.alias("bytes"))
+    digit = F.expr(f"xxhash64(node, slice, substring(bytes, cast(back - slice * {width} + 1 as int), {threshold - width + 1}))")
+    cut = cut.withColumn("node", digit).drop("slice")
+    whole = F.xxhash64("n", "back", "bytes")
+    nodes = cut.groupBy("node").agg(F.count("*").alias("of"), F.bool_or("once").alias("open"), F.sum("n").alias("total"), (F.min(whole) == F.max(whole)).alias("alike"))
+    return cut.join(nodes.filter("of > 1 AND open").select("node", "total", "alike"), "node")
+
+
+def repeated_spans(docs: DataFrame, threshold: int, gram: int, tables: common.Tables) -> DataFrame:
+    """``key, spans``: for documents (by ``common.doc_key``) with repeated anchors, their spans by kind: 0 a run of suffixes, all
+    repeated unless the same run comes again as kind 1; 2 the spans of repeated suffixes in such a run."""
     keyed = docs.select(common.doc_key().alias("key"), "text")
     passed = first_pass(keyed, threshold, gram)
-    groups = passed.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
+    anchors = passed.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
     # written, so that both sides of the join come from shuffles of their own and a hot anchor can be split
-    groups = common.written(groups.filter("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "repeated")
-    met = common.written(passed.join(groups, "anchor"), "anchors")
-    end = (F.col("start") + F.col("more") + threshold).alias("end")
-
-    mixed = met.filter("mixed")
-    contexts = mixed.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "more", "back", "qa", "qb")).alias("one"))
-    contexts = common.written(contexts.select("anchor", "context", (F.col("n") == 1).alias("once"), "one.*"), "contexts")
-    sure = met.filter("NOT mixed").select("key", "start", end)
-    sure = sure.unionByName(mixed.join(contexts.filter("NOT once").select("anchor", "context"), ["anchor", "context"], "left_semi").select("key", "start", end))
-    sure = sure.groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    anchors = tables.written(anchors.filter("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "repeated")
+    met = tables.written(passed.join(anchors, "anchor"), "anchors")
+    contexts = met.filter("mixed").groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "more", "back", "qa", "qb")).alias("one"))
+    contexts = tables.written(contexts.select("anchor", (F.col("n") == 1).alias("once"), "one.*"), "contexts")
 
     # quarters that another context of the anchor shares; distances run from back - more to back
     width = quarter_width(threshold, gram)
     digits = F.array(F.shiftrightunsigned("qa", 32), F.col("qa").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("qb", 32), F.col("qb").bitwiseAND(F.lit(0xFFFFFFFF)))
     quarters = contexts.select("anchor", "key", "start", "more", "back", "once", F.posexplode(digits).alias("quarter", "digit"))
     near, far = F.greatest(F.col("back") - F.col("more"), F.col("quarter") * width), F.least(F.col("back"), F.col("quarter") * width + (width - 1))
-    quarters = quarters.withColumns({"n": far - near + 1, "from": F.col("start") + F.col("back") - far}).filter("n > 0")
+    quarters = quarters.withColumns({"near": near, "far": far}).filter("near <= far")
     shared = quarters.groupBy("anchor", "quarter", "digit").agg(F.count("*").alias("of"), F.bool_or("once").alias("open")).filter("of > 1 AND open").select("anchor", "quarter", "digit")
-    one = F.struct(F.col("from").alias("start"), "n", "once")
-    open_ = quarters.join(shared, ["anchor", "quarter", "digit"], "left_semi").groupBy("key").agg(F.collect_list(one).alias("ranges"), F.sum("n").alias("n"))
-    open_ = common.written(open_, "ranges")
+    shared = tables.written(shared, "quarters")
+    left = quarters.join(shared, ["anchor", "quarter", "digit"], "left_semi").groupBy("anchor", "key", "start", "back", "once").agg(F.min("near").alias("near"), F.max("far").alias("far"))
+    left = left.select(F.col("anchor").alias("node"), "key", (F.col("start") + F.col("back") - F.col("far")).alias("start"), (F.col("far") - F.col("near") + 1).cast("long").alias("n"), F.col("far").cast("long").alias("back"), "once")
+    left = tables.written(left, "left")
+    totals = left.groupBy("node").agg(F.sum("n").alias("total"))
+    left = left.join(totals, "node")
+
+    # the runs fetch their bytes; of repeated rows one speaks
+    wanted = left.groupBy("key").agg(F.collect_list(F.struct(*PIECE, "total")).alias("pieces"))
+    named = ", ".join(f"p.{c} AS {c}" for c in (*PIECE, "total"))
+    taken = f"transform(pieces, p -> struct({named}, substring(raw, cast(p.start + 1 as int), cast(p.n + {threshold - 1} as int)) AS bytes))"
+    texts = keyed.dropDuplicates(["key"]).join(wanted, "key").select("pieces", F.col("text").cast("binary").alias("raw"))
+    pieces = tables.written(texts.select(F.explode(F.expr(taken)).alias("p")).select("p.*"), "pieces")
+
+    # nodes too large for a bucket are split until they are not, or are alike
+    small, done, large = [pieces.filter(F.col("total") <= BUCKET_SUFFIXES)], [], pieces.filter(F.col("total") > BUCKET_SUFFIXES)
+    for width in (quarter_width(threshold, gram), *SLICES):
+        if large.isEmpty():
+            break
+        cut = tables.written(_narrower(large.select(*PIECE, "bytes"), width, threshold), "slices")
+        done.append(cut.filter("alike AND once"))
+        small.append(cut.filter((F.col("total") <= BUCKET_SUFFIXES) & ~F.col("alike")).drop("alike"))
+        large = cut.filter((F.col("total") > BUCKET_SUFFIXES) & ~F.col("alike"))
+    total = sum(part.agg(F.sum("n")).first()[0] or 0 for part in small)
+    buckets = 1 << max(3, (total // BUCKET_SUFFIXES).bit_length())
+    bucketed = [part.select(F.pmod(F.xxhash64("node"), F.lit(buckets)).alias("bucket"), *PIECE, "bytes") for part in small]
+    end = F.col("start") + F.col("n") + (threshold - 1)
+    late = _union(bucketed).groupBy("bucket").applyInArrow(_sorted_bucket(threshold), "key long, start long, end long")
+    late = _union([late, *[part.select("key", "start", end.alias("end")) for part in done]])
+
+    end = (F.col("start") + F.col("more") + threshold).alias("end")
+    own = [met.select("key", "start", end, F.lit(0).alias("kind")), contexts.filter("once").select("key", "start", end, F.lit(1).alias("kind")), late.withColumn("kind", F.lit(2))]
+    spans = _union(own).distinct().groupBy("key").agg(F.collect_list(F.struct("start", "end", "kind")).alias("spans"))  # distinct: rows that repeat meet in each task first
+    return tables.kept(spans, "spans")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
 
-    total = open_.agg(F.sum("n")).first()[0] or 0
-    buckets = 1 << max(3, (total // SUFFIXES_PER_BUCKET).bit_length())
-    texts = common.split_by(keyed, open_.select("key"), "key")[0]
-    packed = last_pass(texts.join(open_, "key").select("key", "text", "ranges"), threshold, buckets)
-    last = packed.groupBy("bucket").applyInArrow(_repeated(buckets), FOUND)
-    last = last.groupBy("bucket").applyInArrow(_by_key, "key long, late array<long>")
-    spans = sure.join(last, "key", "full_outer")
-    return common.written(spans.select("key", F.coalesce("starts", F.array().cast("array<long>")).alias("starts"), F.coalesce("ends", F.array().cast("array<long>")).alias("ends"), F.coalesce("late", F.array().cast("array<long>")).alias("late")), "spans")
+def _settled(spans: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the spans that are repeated."""
+    start, end, kind = (np.array([s[c] for s in spans], np.int64) for c in ("start", "end", "kind"))
+    sure = (kind == 2) | ((kind == 0) & ~np.isin(start, start[kind == 1]))
+    return start[sure], end[sure]
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of what the spans cover."""
+    if not len(starts):
+        return starts, ends
     order = np.argsort(starts, kind="stable")
     starts, reach = starts[order], np.maximum.accumulate(ends[order])
     new = np.flatnonzero(np.concatenate([[True], starts[1:] > reach[:-1]]))
@@ -277,30 +265,25 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _removed(docs: DataFrame, threshold: int, gram: int) -> DataFrame:
     """``row`` (the whole input row), ``kept``, ``spans``, ``text``."""
-    spans = repeated_spans(docs, threshold, gram)
+    with common.Tables(docs.sparkSession) as tables:
+        spans = repeated_spans(docs, threshold, gram, tables)
     # the row travels as one struct, so no column of the table can clash with those used here
     rows = docs.select(F.struct("*").alias("row"), common.doc_key().alias("key"))
-    hit, rest = common.split_by(rows, spans.select("key"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "row"):
                 kept, cut, left = [], [], []
-                texts = part.column(0).field("text").to_pylist()
-                for text, starts, ends, late in zip(texts, *[part.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
-                    raw = text.encode()
-                    a, b = merged(np.array(starts + late), np.array(ends + [x + threshold for x in late]))
-                    a, b = a.tolist(), b.tolist()
+                for text, found in zip(part.column(0).field("text").to_pylist(), part.column(1).to_pylist(), strict=True):
+                    raw = (text or "").encode()
+                    a, b = (x.tolist() for x in merged(*_settled(found or [])))
                     kept.append(_without(raw, a, b))
                     cut.append([{"start": x, "end": y} for x, y in zip(a, b, strict=True)])
-                    left.append(_without(raw, [_up(raw, x) for x in a], [_down(raw, y) for y in b]).decode())
+                    left.append(_without(raw, [_up(raw, x) for x in a], [_down(raw, y) for y in b]).decode() if a else text)
                 yield pa.record_batch([part.column(0), pa.array(kept, pa.binary()), pa.array(cut, _SPANS), pa.array(left, pa.string())], names=["row", "kept", "spans", "text"])
 
-    kind = "array<struct<start: long, end: long>>"
     out = T.StructType([rows.schema["row"], T.StructField("kept", T.BinaryType()), T.StructField("spans", _SPANS_TYPE), T.StructField("text", T.StringType())])
-    changed = hit.join(spans, "key").select("row", "starts", "ends", "late").mapInArrow(run, out)
-    same = rest.select("row", F.coalesce("row.text", F.lit("")).cast("binary").alias("kept"), F.array().cast(kind).alias("spans"), F.col("row.text").alias("text"))
-    return changed.unionByName(same)
+    return rows.join(spans, "key", "left").select("row", "spans").mapInArrow(run, out)
 
 
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:

@@ -41,6 +41,42 @@ def test_matches_brute_force(documents, threshold):
     assert got == dict(enumerate(brute(texts, threshold)))
 
 
+def boilerplate():
+    """A passage in many different contexts, and near copies of one text."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 8)))
+    passage, base = " ".join(word() for _ in range(40)), [word() for _ in range(60)]
+    texts = [" ".join(word() for _ in range(rng.randint(3, 20))) + passage + " ".join(word() for _ in range(rng.randint(3, 20))) for _ in range(60)]
+    for _ in range(60):
+        own = list(base)
+        for k in rng.sample(range(60), 3):
+            own[k] = word()
+        texts.append(" ".join(own))
+    return texts
+
+
+@pytest.mark.parametrize("most", [1 << 18, 500, 1])
+def test_hot_anchors_are_split(documents, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_SUFFIXES", most)
+    texts = boilerplate()
+    got = result(suffix_dedup.remove_repeats(documents(texts), 64, gram=8))
+    assert got == dict(enumerate(brute(texts, 64)))
+
+
+@pytest.mark.parametrize("depth", [1, 8, 13, 24])
+def test_radix_passes(depth):
+    rng = np.random.default_rng(depth)
+    data = rng.integers(97, 99, 3000).astype(np.uint8).tobytes()
+    places = rng.choice(3000 - depth, 800, replace=False)
+    groups = rng.integers(0, 5, 800)
+    seen = {}
+    for p, g in zip(places.tolist(), groups.tolist(), strict=True):
+        seen.setdefault((g, data[p : p + depth]), []).append(p)
+    want = [len(seen[g, data[p : p + depth]]) > 1 for p, g in zip(places.tolist(), groups.tolist(), strict=True)]
+    assert suffix_dedup.radix_repeated(data, places, groups, depth).tolist() == want
+    assert suffix_dedup.radix_repeated(b"", places[:0], groups[:0], depth).tolist() == []
+
+
 def test_text_keeps_whole_characters(documents):
     texts = ["é" * 60 + "x", "zé" + "é" * 60 + "y"]
     for r in suffix_dedup.remove_repeats(documents(texts), 41, gram=8).collect():
