@@ -4,8 +4,8 @@ Documents are sets of word shingles. Shingles that occur in one text only can ne
 of a set is its size and its shared shingles, ordered from rare to frequent. Two sets that are similar enough
 share one of the first few of that order (the prefix). Texts with the same prefix and size form one group.
 
-* Equal texts are one class; shingles go, packed 6 bytes each, to a bucket by hash, where those of one class
-  fall out; the shared ones go back to their class, again packed, and give the lists.
+* Equal texts are one class. A task deals its texts into units of bounded size; their shingles go, packed 8 bytes each with their place
+  in the unit, to a bucket by hash, where those of one text fall out; the shared ones go back to their unit, which has its classes, and give the lists.
 * Leaders: of every group the first member, of every prefix shingle's groups the one with the fewest unshared shingles.
   Members are verified against their group's leader, groups against their shingle's. That is a pair or two a
   row, and joins nearly all that belong together.
@@ -21,6 +21,7 @@ one bucket: their frequency is known, so they go straight to their class. Shingl
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,45 +33,41 @@ from . import common
 from .components import components
 from .hashing import mix, shingles
 
-SHINGLES_PER_BUCKET = 1 << 19
-FLUSH_SHINGLES = 1 << 19
-FLUSH_TEXTS = 1 << 15
+SHINGLES_PER_BUCKET = 1 << 20
+UNIT_SHINGLES = 1 << 20
+UNIT_TEXTS = 1 << 15
 HOT_SHARE = 256
 LEAST_HOT = 64
 MOST_HOT = 250_000
 BITMAP_WORDS = 16
 
-PACKED = "bucket int, shingles binary, texts binary, classes binary, sizes binary, counts binary"
-_PACKED = pa.schema([("bucket", pa.int32()), *[(n, pa.binary()) for n in ("shingles", "texts", "classes", "sizes", "counts")]])
-
-
-def _pack(bucket: np.ndarray, token: np.ndarray, text: np.ndarray, classes: np.ndarray, sizes: np.ndarray, count: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """A row per bucket: 6-byte shingles by byte plane, each one's place among the bucket's classes, these, their set sizes."""
-    order = np.lexsort((token, bucket))
-    bucket, token, text = bucket[order], token[order], text[order]
-    count = None if count is None else count[order]
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(0, int)
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        own, place = np.unique(text[a:b], return_inverse=True)
-        planes = token[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T
-        row = (planes.tobytes(), place.astype("<u2" if len(own) <= 1 << 16 else "<u4").tobytes(), classes[own].tobytes(), sizes[own].astype("<i4").tobytes(), b"" if count is None else count[a:b].astype("<u4").tobytes())
-        yield pa.record_batch([pa.array([int(bucket[a])], pa.int32()), *[pa.array([x], pa.binary()) for x in row]], schema=_PACKED)
-
-
-def _unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """Shingles, classes, set sizes and counts of all rows of a bucket."""
-    tokens, classes, sizes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for row in table.select(["shingles", "texts", "classes", "sizes", "counts"]).to_pylist():
-        planes = np.frombuffer(row["shingles"], np.uint8).reshape(6, -1)
-        wide = np.zeros((planes.shape[1], 8), np.uint8)
-        wide[:, :6] = planes.T
-        tokens.append(wide.view("<u8").ravel())
-        place = np.frombuffer(row["texts"], "<u2" if len(row["texts"]) == 2 * planes.shape[1] else "<u4")
-        classes.append(np.frombuffer(row["classes"], "<i8")[place])
-        sizes.append(np.frombuffer(row["sizes"], "<i4")[place].astype(np.int64))
-        if row["counts"]:
-            counts.append(np.frombuffer(row["counts"], "<u4").astype(np.int64))
-    return tuple(np.concatenate(x) for x in (tokens, classes, sizes, counts))
+PACKED = "bucket int, unit long, classes binary, data binary"
+_PACKED = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("classes", pa.binary()), ("data", pa.binary())])
+
+
+def _packed(bucket: list[int], unit: list[int], classes: list[bytes], data: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(bucket, pa.int32()), pa.array(unit, pa.int64()), pa.array(classes, pa.binary()), pa.array(data, pa.binary())], schema=_PACKED)
+
+
+def _pack(token: np.ndarray, place: np.ndarray, count: np.ndarray | None = None) -> bytes:
+    """6-byte shingles by byte plane, the place of each one's text in its unit, and how many texts have it."""
+    planes = token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T
+    return planes.tobytes() + place.astype("<u2").tobytes() + (b"" if count is None else count.astype("<u4").tobytes())
+
+
+def _unpack(data: bytes, width: int) -> tuple[np.ndarray, ...]:
+    n = len(data) // width
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8, 6 * n).reshape(6, -1).T
+    return wide.view("<u8").ravel(), np.frombuffer(data, "<u2", n, 6 * n).astype(np.int64), np.frombuffer(data, "<u4", -1, 8 * n).astype(np.int64)
+
+
+def _cuts(values: np.ndarray) -> list[tuple[int, int]]:
+    """From where to where each stretch of equal values goes."""
+    if not len(values):
+        return []
+    edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return list(pairwise(edges))
 
 
 def _units(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
@@ -83,7 +80,7 @@ def _units(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.nd
                 if own not in held:
                     held[own] = shingles(text, size)
                     n += len(held[own])
-            if n >= FLUSH_SHINGLES or len(held) >= FLUSH_TEXTS:
+            if n >= UNIT_SHINGLES or len(held) >= UNIT_TEXTS:
                 yield _unit(held)
                 held, n = {}, 0
     if held:
@@ -108,44 +105,49 @@ def _survey(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "class long, shingle long, n long")
 
 
+def _home(unit: int, buckets: int) -> int:
+    """The bucket of a unit, below zero; those of shingles are not."""
+    return -1 - int(mix(np.array([unit], np.uint64))[0] % np.uint64(buckets))
+
+
 def _scatter(texts: DataFrame, size: int, buckets: int, hot) -> DataFrame:
-    """Every text's shingles to their buckets (0 and up); hot ones on the way back already (-1 and down)."""
+    """Every unit's shingles to their buckets; its classes, set sizes and hot shingles to its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = hot.value
         part = TaskContext.get().partitionId()
         for at, (classes, sizes, sets) in enumerate(_units(batches, size)):
-            token = np.concatenate(sets)
-            text = np.repeat(np.arange(len(sets)), sizes)
+            unit = part << 24 | at
+            token, text = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
             where = np.minimum(np.searchsorted(known, token), max(0, len(known) - 1))
             is_hot = known[where] == token if len(known) else np.zeros(len(token), bool)
-            cold = ~is_hot
-            yield from _pack((token[cold] >> np.uint64(32)).astype(np.int64) % buckets, token[cold], text[cold], classes, sizes)
-            if is_hot.any():
-                salt = np.full(int(is_hot.sum()), -1 - (part * 31 + at) % buckets)
-                yield from _pack(salt, token[is_hot], text[is_hot], classes, sizes, often[where[is_hot]])
+            yield _packed([_home(unit, buckets)], [unit], [classes.tobytes() + sizes.tobytes()], [_pack(token[is_hot], text[is_hot], often[where[is_hot]])])
+            token, text = token[~is_hot], text[~is_hot]
+            bucket = (token >> np.uint64(20)).astype(np.int64) % buckets
+            order = np.lexsort((token, bucket))
+            token, text, bucket = token[order], text[order], bucket[order]
+            cuts = _cuts(bucket)
+            yield _packed([int(bucket[a]) for a, _ in cuts], [unit] * len(cuts), [b""] * len(cuts), [_pack(token[a:b], text[a:b]) for a, b in cuts])
 
     return texts.mapInArrow(run, PACKED)
 
 
 def _gather(buckets: int) -> Callable[[pa.Table], pa.Table]:
-    """Of a bucket: the shingles that more than one class has, back to their classes, with how many have them."""
+    """Of a bucket: the shingles that more than one text has, back to their units, with how many have them."""
 
     def run(table: pa.Table) -> pa.Table:
-        token, classes, sizes, count = _unpack(table)
-        if table.column("bucket")[0].as_py() >= 0:
-            order = np.lexsort((classes, token))
-            token, classes, sizes = token[order], classes[order], sizes[order]
-            new = np.concatenate([[True], (token[1:] != token[:-1]) | (classes[1:] != classes[:-1])])[: len(token)]  # copies of a text count once
-            token, classes, sizes = token[new], classes[new], sizes[new]
-            _, back, n = np.unique(token, return_inverse=True, return_counts=True)
-            shared = n[back] > 1
-            token, classes, sizes, count = token[shared], classes[shared], sizes[shared], n[back][shared]
-        if not len(token):
-            return _PACKED.empty_table()
-        own, first, text = np.unique(classes, return_index=True, return_inverse=True)
-        to = (mix(own.view(np.uint64)) >> np.uint64(33)).astype(np.int64) % buckets
-        return pa.Table.from_batches(_pack(to[text], token, text, own, sizes[first], count), _PACKED)
+        if table.column("bucket")[0].as_py() < 0:
+            return table
+        units, rows = table.column("unit").to_numpy(), [_unpack(d, 8)[:2] for d in table.column("data").to_pylist()]
+        unit = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
+        token, place = (np.concatenate(x) for x in zip(*rows, strict=True))
+        _, back, n = np.unique(token, return_inverse=True, return_counts=True)
+        count = n[back]
+        shared = count > 1
+        token, place, count, unit = token[shared], place[shared], count[shared], unit[shared]
+        cuts = _cuts(unit)  # in the order of the rows, so already together
+        to = [int(units[unit[a]]) for a, _ in cuts]
+        return pa.Table.from_batches([_packed([_home(u, buckets) for u in to], to, [b""] * len(cuts), [_pack(token[a:b], place[a:b], count[a:b]) for a, b in cuts])], _PACKED)
 
     return run
 
@@ -157,23 +159,25 @@ def _lists(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
     """Of a bucket of classes: those whose prefix reaches a shared shingle, their shared shingles from rare to frequent."""
 
     def run(table: pa.Table) -> pa.Table:
-        token, classes, sizes, count = _unpack(table)
-        order = np.lexsort((token, count, classes))
-        token, classes, sizes = token[order], classes[order], sizes[order]
-        new = np.concatenate([[True], (classes[1:] != classes[:-1]) | (token[1:] != token[:-1])])  # a class met twice counts once
-        token, classes, sizes = token[new], classes[new], sizes[new]
-        cuts = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1], [True]]))
         rows = []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            n, m = int(sizes[a]), b - a
-            prefix = m - -(-num * n // den) + 1
-            if prefix > 0:
-                own = token[a:b]
-                bit = (mix(own) >> np.uint64(40)) % np.uint64(64 * BITMAP_WORDS)
-                odd = np.bincount(bit.astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
-                bitmap = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
-                group = int(mix(np.array([mix(own[:prefix] ^ np.uint64(n)).sum()], np.uint64)).view(np.int64)[0])
-                rows.append((int(classes[a]), n, m, own.astype(np.int64), prefix, bitmap, group))
+        table = table.sort_by("unit")
+        for low, high in _cuts(table.column("unit").to_numpy()):
+            own = table.slice(low, high - low)
+            names = np.frombuffer(b"".join(own.column("classes").to_pylist()), np.int64)
+            classes, sizes = names[: len(names) // 2], names[len(names) // 2 :]
+            token, place, count = (np.concatenate(x) for x in zip(*[_unpack(d, 12) for d in own.column("data").to_pylist()], strict=True))
+            order = np.lexsort((token, count, place))
+            token, place = token[order], place[order]
+            for a, b in _cuts(place):
+                n, m = int(sizes[place[a]]), b - a
+                prefix = m - -(-num * n // den) + 1
+                if prefix > 0:
+                    held = token[a:b]
+                    bit = (mix(held) >> np.uint64(40)) % np.uint64(64 * BITMAP_WORDS)
+                    odd = np.bincount(bit.astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+                    bitmap = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+                    group = int(mix(np.array([mix(held[:prefix] ^ np.uint64(n)).sum()], np.uint64)).view(np.int64)[0])
+                    rows.append((int(classes[place[a]]), n, m, held.astype(np.int64), prefix, bitmap, group))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()), pa.int64()]
         names = ["class", "n", "m", "shingles", "prefix", "bitmap", "group"]
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
@@ -186,14 +190,15 @@ def _lists_of(texts: DataFrame, size: int, num: int, den: int, tables: common.Ta
     survey = tables.written(_survey(texts, size), "survey")
     sizes = survey.filter("class IS NOT NULL").select("class", "n").distinct()
     total, volume = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    buckets = 1 << max(3, (volume // SHINGLES_PER_BUCKET).bit_length())
+    buckets = 8 + volume // SHINGLES_PER_BUCKET
     hot = survey.filter("class IS NULL").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(LEAST_HOT, total // HOT_SHARE))
     known = hot.orderBy(F.desc("n"), "shingle").limit(MOST_HOT).toPandas().sort_values("shingle")
     held = texts.sparkSession.sparkContext.broadcast((known["shingle"].to_numpy(np.int64).astype(np.uint64), known["n"].to_numpy(np.int64)))  # 4 MB at most
 
     sent = _scatter(texts, size, buckets, held)
     back = sent.groupBy("bucket").applyInArrow(_gather(buckets), PACKED)
-    return tables.written(sizes, "sizes"), tables.written(back.groupBy("bucket").applyInArrow(_lists(num, den), LISTS), "lists")
+    # a class that several units have gets its list from each, all the same
+    return tables.written(sizes, "sizes"), tables.written(back.groupBy("bucket").applyInArrow(_lists(num, den), LISTS).dropDuplicates(["class"]), "lists")
 
 
 def _may_link(num: int, den: int) -> Column:
@@ -223,27 +228,31 @@ def similar(texts: DataFrame, size: int, num: int, den: int, tables: common.Tabl
     sizes, lists = _lists_of(texts, size, num, den, tables)
     heads = tables.written(lists.groupBy("group").agg(F.min("class").alias("class")), "heads")
     slot = F.posexplode(F.slice("shingles", 1, F.col("prefix")))
-    posts = lists.join(heads.select("class"), "class", "left_semi").select("group", "class", "n", "m", "bitmap", slot.alias("at", "shingle"))
+    posts = lists.join(heads.select("class"), "class", "left_semi").select("group", "class", "n", "m", slot.alias("at", "shingle"))
+    bitmaps = lists.select("class", "n", "m", "bitmap")
 
     # leaders; the fewest unshared shingles stand nearest to what near copies have in common
     near_all = F.struct(((F.col("n") - F.col("m")) / F.col("n")).alias("unshared"), "group")
-    leaders = posts.groupBy("shingle").agg(F.count("*").alias("of"), F.min_by(F.struct("class", "n", "m", "bitmap", "at"), near_all).alias("b")).filter("of > 1").select("shingle", "b")
+    leaders = posts.groupBy("shingle").agg(F.count("*").alias("of"), F.min_by(F.struct("class", "n", "m", "at"), near_all).alias("b")).filter("of > 1").select("shingle", "b")
     leaders = tables.written(leaders, "leaders")
-    met = posts.select("shingle", F.struct("class", "n", "m", "bitmap", "at").alias("a")).join(leaders, "shingle")
-    to_leader = met.filter((F.col("a.class") != F.col("b.class")) & _may_link(num, den) & _bits_agree(num, den)).select(F.col("a.class").alias("a"), F.col("b.class").alias("b"))
+    met = posts.select("shingle", F.struct("class", "n", "m", "at").alias("a")).join(leaders, "shingle")
+    to_leader = met.filter((F.col("a.class") != F.col("b.class")) & _may_link(num, den)).select(F.col("a.class").alias("a"), F.col("b.class").alias("b"))
     own = lists.select("group", "class").join(heads.withColumnRenamed("class", "head"), "group").filter(F.col("class") != F.col("head")).select(F.col("class").alias("a"), F.col("head").alias("b"))
-    first = tables.written(_verified(tables.written(to_leader.unionByName(own).distinct(), "pairs"), lists, num, den), "links")
+    pairs = to_leader.unionByName(own).distinct().join(bitmaps.select(F.col("class").alias("a"), F.struct("n", "m", "bitmap").alias("of_a")), "a").join(bitmaps.select(F.col("class").alias("b"), F.struct("n", "m", "bitmap").alias("of_b")), "b")
+    pairs = pairs.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"), F.col("a").alias("one"), F.col("b").alias("other")).filter(_bits_agree(num, den)).select(F.col("one").alias("a"), F.col("other").alias("b"))
+    first = tables.written(_verified(tables.written(pairs, "pairs"), lists, num, den), "links")
 
     # groups of texts not yet connected
     roots = tables.written(components(first, tables).select(F.col("node").alias("class"), F.col("root").alias("comp")), "connected")
     members = tables.written(lists.select("class", "group", "n", "m", "bitmap").join(roots, "class", "left").withColumn("comp", F.coalesce("comp", "class")), "members")
     groups = tables.written(members.groupBy("group").agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")), "groups")
-    placed = posts.drop("class").join(groups, "group")
+    placed = posts.join(groups, "group")
     shares = placed.groupBy("shingle", "low").agg(F.count("*").alias("of"), F.max("high").alias("high"))
     mixed = shares.groupBy("shingle").agg(F.min("low").alias("from"), F.max("high").alias("to"), F.max_by("low", "of").alias("top"))
     mixed = tables.written(mixed.filter(F.col("from") != F.col("to")).select("shingle", "top"), "mixed")
     outside = (F.col("low") != F.col("high")) | (F.col("low") != F.col("top"))
-    open_ = tables.written(placed.join(mixed, "shingle").withColumn("outside", outside).drop("top"), "open")
+    open_ = placed.join(mixed, "shingle").withColumn("outside", outside).drop("top")
+    open_ = tables.written(open_.join(lists.select("class", "bitmap"), "class").drop("class"), "open")
     a, b = open_.filter("outside").alias("a"), open_.alias("b")
     apart = (F.col("a.low") != F.col("b.low")) | (F.col("a.low") != F.col("a.high")) | (F.col("b.low") != F.col("b.high"))
     single = (F.col("a.members") == 1) & (F.col("b.members") == 1)  # a bitmap is its member's

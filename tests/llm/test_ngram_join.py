@@ -37,7 +37,7 @@ def near_copies():
     return texts + [f"common words start here and then differ {i} times {i * 7}" for i in range(80)]
 
 
-@pytest.mark.parametrize(("size", "num"), [(4, 85), (5, 80), (2, 50), (1, 100)])
+@pytest.mark.parametrize(("size", "num"), [(4, 85), (2, 50)])
 def test_matches_brute_force(documents, size, num):
     texts = near_copies()
     got = result(ngram_join.jaccard_components(documents(texts), size, num, 100))
@@ -68,7 +68,7 @@ def drifting(steps):
     return texts + [" ".join([*base[:40], *own[:40]]), " ".join(base[:70]), " ".join(base) + " tail"]
 
 
-@pytest.mark.parametrize(("size", "num"), [(4, 85), (5, 80), (3, 60)])
+@pytest.mark.parametrize(("size", "num"), [(5, 80), (3, 60)])
 def test_large_group_of_near_copies(documents, size, num):
     texts = drifting(40)
     got = result(ngram_join.jaccard_components(documents(texts), size, num, 100))
