@@ -186,7 +186,8 @@ def _lists(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def _lists_of(texts: DataFrame, size: int, num: int, den: int, tables: common.Tables) -> tuple[DataFrame, DataFrame]:
-    """``class, n`` of every class of ``texts`` (class, text), and the lists of those that can have partners."""
+    """``class, n`` of every class of ``texts`` (class, text), and the lists of those that can have partners. A class that
+    several units have gets its list from each, all the same."""
     survey = tables.written(_survey(texts, size), "survey")
     sizes = survey.filter("class IS NOT NULL").select("class", "n").distinct()
     total, volume = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -197,8 +198,7 @@ def _lists_of(texts: DataFrame, size: int, num: int, den: int, tables: common.Ta
 
     sent = _scatter(texts, size, buckets, held)
     back = sent.groupBy("bucket").applyInArrow(_gather(buckets), PACKED)
-    # a class that several units have gets its list from each, all the same
-    return tables.written(sizes, "sizes"), tables.written(back.groupBy("bucket").applyInArrow(_lists(num, den), LISTS).dropDuplicates(["class"]), "lists")
+    return tables.written(sizes, "sizes"), tables.written(back.groupBy("bucket").applyInArrow(_lists(num, den), LISTS), "lists")
 
 
 def _may_link(num: int, den: int) -> Column:
@@ -215,21 +215,24 @@ def _bits_agree(num: int, den: int) -> Column:
 
 
 def _verified(pairs: DataFrame, lists: DataFrame, num: int, den: int) -> DataFrame:
-    """Of ``pairs`` (a, b) those whose whole lists are similar enough."""
-    left = lists.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("of_a"))
-    right = lists.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("of_b"))
-    both = F.size(F.array_intersect("of_a", "of_b")).cast("long")
-    return pairs.join(left, "a").join(right, "b").filter(both * (den + num) >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    """Of the distinct ``pairs`` (a, b) those whose whole lists are similar enough. The lists are shuffled once, only those asked for go on."""
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("class"))
+    held = ends.join(lists.select("class", "n", "shingles"), "class").select("a", "b", "n", *[F.when(F.col("class") == F.col(c), F.col("shingles")).alias(f"of_{c}") for c in "ab"])
+    both = held.groupBy("a", "b").agg(F.min("n").alias("low"), F.max("n").alias("high"), *[F.first(f"of_{c}", ignorenulls=True).alias(f"of_{c}") for c in "ab"])
+    return both.filter(F.size(F.array_intersect("of_a", "of_b")).cast("long") * (den + num) >= num * (F.col("low") + F.col("high"))).select("a", "b")
 
 
 def similar(texts: DataFrame, size: int, num: int, den: int, tables: common.Tables) -> tuple[DataFrame, DataFrame]:
     """Of ``texts`` (class, text): ``class, n`` of all, and ``a, b``: verified links between classes,
     ``den * intersection >= num * union``, enough of them to connect all classes that any links connect."""
     sizes, lists = _lists_of(texts, size, num, den, tables)
-    heads = tables.written(lists.groupBy("group").agg(F.min("class").alias("class")), "heads")
-    slot = F.posexplode(F.slice("shingles", 1, F.col("prefix")))
-    posts = lists.join(heads.select("class"), "class", "left_semi").select("group", "class", "n", "m", slot.alias("at", "shingle"))
-    bitmaps = lists.select("class", "n", "m", "bitmap")
+    nodes = lists.select("class", "group", "n", "m", "bitmap", F.slice("shingles", 1, F.col("prefix")).alias("prefix")).dropDuplicates(["class"])
+    nodes = tables.written(nodes, "nodes")
+    bitmaps = nodes.select("class", "n", "m", "bitmap")
+    heads = tables.written(nodes.groupBy("group").agg(F.min("class").alias("class")), "heads")
+    speakers = nodes.drop("bitmap").join(heads.select("class"), "class", "left_semi")
+    slot = F.posexplode("prefix").alias("at", "shingle")
+    posts = speakers.select("group", "class", "n", "m", slot)
 
     # leaders; the fewest unshared shingles stand nearest to what near copies have in common
     near_all = F.struct(((F.col("n") - F.col("m")) / F.col("n")).alias("unshared"), "group")
@@ -237,22 +240,22 @@ def similar(texts: DataFrame, size: int, num: int, den: int, tables: common.Tabl
     leaders = tables.written(leaders, "leaders")
     met = posts.select("shingle", F.struct("class", "n", "m", "at").alias("a")).join(leaders, "shingle")
     to_leader = met.filter((F.col("a.class") != F.col("b.class")) & _may_link(num, den)).select(F.col("a.class").alias("a"), F.col("b.class").alias("b"))
-    own = lists.select("group", "class").join(heads.withColumnRenamed("class", "head"), "group").filter(F.col("class") != F.col("head")).select(F.col("class").alias("a"), F.col("head").alias("b"))
+    own = nodes.select("group", "class").join(heads.withColumnRenamed("class", "head"), "group").filter(F.col("class") != F.col("head")).select(F.col("class").alias("a"), F.col("head").alias("b"))
     pairs = to_leader.unionByName(own).distinct().join(bitmaps.select(F.col("class").alias("a"), F.struct("n", "m", "bitmap").alias("of_a")), "a").join(bitmaps.select(F.col("class").alias("b"), F.struct("n", "m", "bitmap").alias("of_b")), "b")
     pairs = pairs.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"), F.col("a").alias("one"), F.col("b").alias("other")).filter(_bits_agree(num, den)).select(F.col("one").alias("a"), F.col("other").alias("b"))
     first = tables.written(_verified(tables.written(pairs, "pairs"), lists, num, den), "links")
 
     # groups of texts not yet connected
     roots = tables.written(components(first, tables).select(F.col("node").alias("class"), F.col("root").alias("comp")), "connected")
-    members = tables.written(lists.select("class", "group", "n", "m", "bitmap").join(roots, "class", "left").withColumn("comp", F.coalesce("comp", "class")), "members")
+    members = tables.written(nodes.drop("prefix").join(roots, "class", "left").withColumn("comp", F.coalesce("comp", "class")), "members")
     groups = tables.written(members.groupBy("group").agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")), "groups")
-    placed = posts.join(groups, "group")
+    placed = speakers.join(groups, "group").select("group", "class", "n", "m", "members", "low", "high", slot)
     shares = placed.groupBy("shingle", "low").agg(F.count("*").alias("of"), F.max("high").alias("high"))
     mixed = shares.groupBy("shingle").agg(F.min("low").alias("from"), F.max("high").alias("to"), F.max_by("low", "of").alias("top"))
     mixed = tables.written(mixed.filter(F.col("from") != F.col("to")).select("shingle", "top"), "mixed")
     outside = (F.col("low") != F.col("high")) | (F.col("low") != F.col("top"))
     open_ = placed.join(mixed, "shingle").withColumn("outside", outside).drop("top")
-    open_ = tables.written(open_.join(lists.select("class", "bitmap"), "class").drop("class"), "open")
+    open_ = tables.written(open_.join(bitmaps.select("class", "bitmap"), "class").drop("class"), "open")
     a, b = open_.filter("outside").alias("a"), open_.alias("b")
     apart = (F.col("a.low") != F.col("b.low")) | (F.col("a.low") != F.col("a.high")) | (F.col("b.low") != F.col("b.high"))
     single = (F.col("a.members") == 1) & (F.col("b.members") == 1)  # a bitmap is its member's
