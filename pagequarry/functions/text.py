@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ POINT_CURRENCIES = ["USD", "GBP", "JPY", "INR", "CAD", "AUD"]
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&euro;": "€", "&pound;": "£", "&amp;": "&"}
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def decode_entities(text: Column) -> Column:
     """The common named entities, ``&amp;`` last so that nothing is decoded twice."""
     for entity, char in ENTITIES.items():
@@ -44,21 +51,24 @@ def price(text: Column, lang: Column) -> Column:
     With both separators the later one is decimal. One separator before other than three digits is decimal. Before three
     digits the language decides, then the currency, else the price is ambiguous."""
     run = F.regexp_replace(F.regexp_extract(text, r"(\d[\d.,'’   ]*)", 1), r"['’   ]|[.,]$", "")
-    run = F.regexp_replace(run, r"[.,]+$", "")
+    return let(F.regexp_replace(run, r"[.,]+$", ""), lambda run: _number(run, text, lang))
+
+
+def _number(run: Column, text: Column, lang: Column) -> Column:
     comma, point = F.contains(run, F.lit(",")), F.contains(run, F.lit("."))
-    unit = currency(text)
-    comma_decimal = F.when(F.lower(F.substring(lang, 1, 2)).isin(COMMA_LANGS), F.lit(True)).when(lang.isNotNull() & (lang != ""), F.lit(False)).when(unit.isin(POINT_CURRENCIES), F.lit(False))
+    comma_decimal = F.when(F.lower(F.substring(lang, 1, 2)).isin(COMMA_LANGS), F.lit(True)).when(lang.isNotNull() & (lang != ""), F.lit(False)).when(currency(text).isin(POINT_CURRENCIES), F.lit(False))
     as_point = F.replace(run, F.lit(","), F.lit(""))
     as_comma = F.replace(F.replace(run, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     last_comma = F.length(run) - F.instr(F.reverse(run), ",")
     last_point = F.length(run) - F.instr(F.reverse(run), ".")
+    grouped = let(comma_decimal, lambda decimal: F.when(decimal, as_comma).when(~decimal, as_point))
     only = (
-        F.when(run.rlike(r"^\d+[.,]\d{3}$"), F.when(comma_decimal, as_comma).when(~comma_decimal, as_point))
+        F.when(run.rlike(r"^\d+[.,]\d{3}$"), grouped)
         .when(run.rlike(r"^\d{1,3}(?:[.,]\d{3}){2,}$"), F.regexp_replace(run, "[.,]", ""))
         .otherwise(F.replace(run, F.lit(","), F.lit(".")))
     )
     number = F.when(comma & point, F.when(last_comma > last_point, as_comma).otherwise(as_point)).when(comma | point, only).otherwise(run)
-    return F.when(number != "", number.try_cast(DECIMAL))
+    return let(number, lambda number: F.when(number != "", number.try_cast(DECIMAL)))
 
 
 def gtin_valid(code: Column) -> Column:

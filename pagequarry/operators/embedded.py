@@ -1,75 +1,125 @@
-"""Product data embedded in pages: JSON-LD, microdata, meta tags. Each operator gives candidates with the same columns."""
+"""Product data embedded in pages: JSON-LD, microdata, meta tags.
+
+Each source is an expression over the html that gives an array of candidates of one type, so that a plan reads each page once
+and takes all sources from it; the operators of the same names give them as rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagequarry.functions.text import decode_entities
+from pagequarry.functions.text import decode_entities, let
 
 BLOCK = r"""(?is)<script[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script"""
 META = r"(?is)<meta\s[^>]*>"
-CANDIDATE = ["page_id", "source", "source_rank", "sku", "gtin", "name", "brand", "price", "currency", "availability"]
+OFFER = "struct<price: string, currency: string, availability: string, condition: string>"
+CANDIDATE = f"struct<source: string, source_rank: int, pos: int, sku: string, gtin: string, name: string, brand: string, description: string, image_urls: array<string>, price: string, currency: string, availability: string, condition: string, offers: array<{OFFER}>>"
 RANKS = {"jsonld": 1, "microdata": 2, "meta": 3, "fallback": 4}
+TEXTS = ["sku", "gtin", "name", "brand", "description", "price", "currency", "availability", "condition"]
+
+
+def _candidate(source: str, pos: Column, offers: Column | None = None, images: Column | None = None, **fields: Column) -> Column:
+    """One candidate; without a list of offers, its price, currency, availability and condition are the one offer."""
+    texts = {name: fields.get(name, F.lit(None)).cast("string") for name in TEXTS}
+    one = F.struct(*[texts[n].alias(n) for n in ("price", "currency", "availability", "condition")])
+    offers = F.filter(F.array(one), lambda o: F.coalesce(o["price"], o["currency"], o["availability"], o["condition"]).isNotNull()) if offers is None else offers
+    images = F.array().cast("array<string>") if images is None else images
+    held = {"source": F.lit(source), "source_rank": F.lit(RANKS[source]), "pos": pos, **texts, "image_urls": images, "offers": offers}
+    order = [f.split(":")[0].strip() for f in ("source", "source_rank", "pos", "sku", "gtin", "name", "brand", "description", "image_urls", "price", "currency", "availability", "condition", "offers")]
+    return F.struct(*[held[n].alias(n) for n in order]).cast(CANDIDATE)
+
+
+def _rows(pages: DataFrame, found: Column) -> DataFrame:
+    return pages.select("page_id", F.explode(found).alias("c")).select("page_id", "c.*")
 
 
 def jsonld_blocks(pages: DataFrame) -> DataFrame:
     """``page_id, pos, block``: one row per JSON-LD script, in page order."""
-    return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(BLOCK), F.lit(1))).alias("pos", "block"))
+    return pages.select("page_id", F.posexplode(blocks_of(F.col("html"))).alias("pos", "block"))
+
+
+def blocks_of(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit(BLOCK), F.lit(1))
+
+
+def _nodes_of(block: Column) -> Column:
+    many = lambda v: F.coalesce(F.try_variant_get(v, '$["@graph"]', "array<variant>"), F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+    return let(F.try_parse_json(block), many)
+
+
+def _is_product(node: Column) -> Column:
+    types = F.try_variant_get(node, '$["@type"]', "array<string>")
+    return F.coalesce(F.array_contains(types, "Product"), F.try_variant_get(node, '$["@type"]', "string") == "Product", F.lit(False))
 
 
 def jsonld_nodes(blocks: DataFrame) -> DataFrame:
     """``page_id, pos, node_pos, node``: the product nodes of each block, still as VARIANT.
 
     A block may hold an object, an array or a graph, and a node one type or several. What isn't JSON gives no rows."""
-    parsed = blocks.select("page_id", "pos", F.try_parse_json("block").alias("v")).filter("v IS NOT NULL")
-    many = F.expr("""coalesce(try_variant_get(v, '$["@graph"]', 'array<variant>'), try_variant_get(v, '$', 'array<variant>'), array(v))""")
-    nodes = parsed.select("page_id", "pos", F.posexplode(many).alias("node_pos", "node"))
-    kind = F.expr("""coalesce(array_contains(try_variant_get(node, '$["@type"]', 'array<string>'), 'Product'), try_variant_get(node, '$["@type"]', 'string') = 'Product')""")
-    return nodes.filter(kind)
+    return blocks.select("page_id", "pos", F.posexplode(_nodes_of(F.col("block"))).alias("node_pos", "node")).filter(_is_product(F.col("node")))
+
+
+def _text(node: Column, path: str) -> Column:
+    return decode_entities(F.try_variant_get(node, path, "string"))
+
+
+def _offers_of(node: Column) -> Column:
+    many = F.coalesce(F.try_variant_get(node, "$.offers", "array<variant>"), F.array(F.try_variant_get(node, "$.offers", "variant")))
+    fields = {"price": "$.price", "currency": "$.priceCurrency", "availability": "$.availability", "condition": "$.itemCondition"}
+    return F.transform(F.filter(many, lambda o: o.isNotNull()), lambda o: F.struct(*[_text(o, path).alias(name) for name, path in fields.items()]))
 
 
 def offers(nodes: DataFrame) -> DataFrame:
-    """``page_id, pos, node_pos, offer_pos, price, currency, availability``: a row per offer, object or array."""
-    many = F.expr("coalesce(try_variant_get(node, '$.offers', 'array<variant>'), array(try_variant_get(node, '$.offers', 'variant')))")
-    rows = nodes.select("page_id", "pos", "node_pos", F.posexplode_outer(many).alias("offer_pos", "offer"))
-    text = lambda path: decode_entities(F.expr(f"try_variant_get(offer, '{path}', 'string')"))
-    return rows.select("page_id", "pos", "node_pos", "offer_pos", text("$.price").alias("price"), text("$.priceCurrency").alias("currency"), text("$.availability").alias("availability"))
+    """``page_id, pos, node_pos, offer_pos, price, currency, availability, condition``: a row per offer, object or array; one of nulls for a node without any."""
+    given = let(_offers_of(F.col("node")), lambda o: F.when(F.size(o) > 0, o).otherwise(F.array(F.lit(None).cast(OFFER))))
+    return nodes.select("page_id", "pos", "node_pos", F.posexplode(given).alias("offer_pos", "offer")).select("page_id", "pos", "node_pos", "offer_pos", "offer.*")
 
 
-def jsonld_products(pages: DataFrame) -> DataFrame:
-    """Candidates of all blocks; of several offers the first speaks. Each block is parsed once."""
-    text = lambda path: decode_entities(F.expr(f"try_variant_get(node, '{path}', 'string')"))
-    first = "coalesce(try_variant_get(node, '$.offers[0].{0}', 'string'), try_variant_get(node, '$.offers.{0}', 'string'))"
-    of_offer = lambda field: decode_entities(F.expr(first.format(field)))
-    gtin = F.coalesce(*[text(f"$.{g}") for g in ("gtin13", "gtin14", "gtin12", "gtin8", "gtin")])
-    brand = F.coalesce(text("$.brand.name"), F.expr("CASE WHEN try_variant_get(node, '$.brand.name', 'string') IS NULL THEN try_variant_get(node, '$.brand', 'string') END"))
-    return jsonld_nodes(jsonld_blocks(pages)).select(
-        "page_id", *_source("jsonld"), text("$.sku").alias("sku"), gtin.alias("gtin"), text("$.name").alias("name"), brand.alias("brand"),
-        of_offer("price").alias("price"), of_offer("priceCurrency").alias("currency"), of_offer("availability").alias("availability"),
-    )
+def jsonld_candidates(html: Column) -> Column:
+    """Of all blocks; of several offers the first gives price, currency, availability and condition. Each block is parsed once."""
+
+    def one(node: Column, pos: Column, offers: Column) -> Column:
+        gtin = F.coalesce(*[_text(node, f"$.{g}") for g in ("gtin13", "gtin14", "gtin12", "gtin8", "gtin")])
+        named = _text(node, "$.brand.name")
+        images = F.coalesce(F.try_variant_get(node, "$.image", "array<string>"), F.filter(F.array(F.try_variant_get(node, "$.image", "string")), lambda i: i.isNotNull()))
+        first = F.get(offers, F.lit(0))
+        return _candidate("jsonld", pos, offers, images, sku=_text(node, "$.sku"), gtin=gtin, name=_text(node, "$.name"), brand=F.coalesce(named, F.when(named.isNull(), _text(node, "$.brand"))), description=_text(node, "$.description"), **{n: first[n] for n in ("price", "currency", "availability", "condition")})
 
+    nodes = F.filter(F.flatten(F.transform(blocks_of(html), _nodes_of)), _is_product)
+    return F.transform(nodes, lambda node, pos: let(_offers_of(node), lambda offers: one(node, pos, offers)))
 
-def _source(name: str) -> list[Column]:
-    return [F.lit(name).alias("source"), F.lit(RANKS[name]).alias("source_rank")]
+
+def jsonld_products(pages: DataFrame) -> DataFrame:
+    """Candidates of JSON-LD."""
+    return _rows(pages, jsonld_candidates(F.col("html")))
 
 
-def _item(field: str) -> Column:
+def _item(html: Column, field: str) -> Column:
     """The ``content`` of the tag with this itemprop, else the text that follows it."""
     tag = rf"""(?is)<[^>]*\bitemprop\s*=\s*["']?{field}\b["']?[^>]*>"""
-    content = F.regexp_extract(F.regexp_extract("html", tag, 0), r"""(?is)\bcontent\s*=\s*["']([^"']*)["']""", 1)
-    after = F.trim(F.regexp_extract("html", tag + "([^<]*)", 1))
-    return decode_entities(F.nullif(F.when(content != "", content).otherwise(after), F.lit("")))
+    content = F.regexp_extract(F.regexp_extract(html, tag, 0), r"""(?is)\bcontent\s*=\s*["']([^"']*)["']""", 1)
+    after = F.trim(F.regexp_extract(html, tag + "([^<]*)", 1))
+    return decode_entities(F.nullif(let(content, lambda c: F.when(c != "", c).otherwise(after)), F.lit("")))
+
+
+def _scopes(html: Column) -> Column:
+    return F.regexp_count(html, F.lit(r"(?i)\bitemscope\b"))
+
+
+def microdata_candidates(html: Column) -> Column:
+    """Of flat microdata, pages with one ``itemscope`` that is a product."""
+    fields = {"sku": "sku", "name": "name", "brand": "brand", "description": "description", "price": "price", "currency": "priceCurrency", "availability": "availability", "condition": "itemCondition"}
+    flat = F.filter(F.array(html), lambda h: (_scopes(h) == 1) & h.rlike(r"(?i)schema\.org/Product\b"))
+    return F.transform(flat, lambda h: _candidate("microdata", F.lit(0), gtin=F.coalesce(_item(h, "gtin13"), _item(h, "gtin")), **{n: _item(h, f) for n, f in fields.items()}))
 
 
 def microdata_products(pages: DataFrame) -> DataFrame:
-    """Candidates of flat microdata, pages with one ``itemscope`` that is a product."""
-    flat = pages.filter(F.expr("regexp_count(html, '(?i)\\\\bitemscope\\\\b') = 1") & F.col("html").rlike(r"(?i)schema\.org/Product\b"))
-    return flat.select("page_id", *_source("microdata"), _item("sku").alias("sku"), F.coalesce(_item("gtin13"), _item("gtin")).alias("gtin"), *[_item(f).alias(f) for f in ("name", "brand", "price")], _item("priceCurrency").alias("currency"), _item("availability").alias("availability"))
+    """Candidates of flat microdata."""
+    return _rows(pages, microdata_candidates(F.col("html")))
 
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -119,47 +169,74 @@ class _Items(HTMLParser):
             self.products[-1][path] = self.products[-1].get(path, "") + data
 
 
-def microdata_nested(pages: DataFrame) -> DataFrame:
-    """Candidates of pages with two or more ``itemscope``, where nesting decides what belongs to the product. The one
-    operator in Python: regular expressions can't follow nesting."""
-    paths = {"sku": ["sku"], "gtin": ["gtin13", "gtin"], "name": ["name"], "brand": ["brand.name", "brand"], "price": ["offers.price", "price"], "currency": ["offers.priceCurrency", "priceCurrency"], "availability": ["offers.availability", "availability"]}
+PATHS = {
+    "sku": ["sku"],
+    "gtin": ["gtin13", "gtin"],
+    "name": ["name"],
+    "brand": ["brand.name", "brand"],
+    "description": ["description"],
+    "price": ["offers.price", "price"],
+    "currency": ["offers.priceCurrency", "priceCurrency"],
+    "availability": ["offers.availability", "availability"],
+    "condition": ["offers.itemCondition", "itemCondition"],
+    "image": ["image"],
+}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for page_id, html in zip(batch["page_id"], batch["html"], strict=True):
-                parser = _Items()
-                parser.feed(html)
-                rows += [(page_id, *[next((p[k].strip() for k in keys if p.get(k, "").strip()), None) for keys in paths.values()]) for p in parser.products]
-            yield pd.DataFrame(rows, columns=["page_id", *paths])
 
-    nested = pages.filter(F.expr("regexp_count(html, '(?i)\\\\bitemscope\\\\b') > 1")).select("page_id", "html")
-    found = nested.mapInPandas(run, "page_id long, " + ", ".join(f"{k} string" for k in paths))
-    return found.select("page_id", *_source("microdata"), *paths)
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(name, T.StringType()) for name in PATHS])))
+def _nested_items(html: pd.Series) -> pd.Series:
+    def items(text: str | None) -> list[dict]:
+        if text is None:
+            return []
+        parser = _Items()
+        parser.feed(text)
+        return [{name: next((p[k].strip() for k in keys if p.get(k, "").strip()), None) for name, keys in PATHS.items()} for p in parser.products]
 
+    return html.map(items)
 
-def meta_products(pages: DataFrame) -> DataFrame:
-    """Candidates of ``og:`` and ``product:`` meta tags; of a repeated property the first counts. A page needs a price or
+
+def nested_candidates(html: Column) -> Column:
+    """Of pages with two or more ``itemscope``, where nesting decides what belongs to a product. The one source in
+    Python, as regular expressions can't follow nesting; other pages send it a null."""
+    found = _nested_items(F.when(_scopes(html) > 1, html))
+    images = lambda item: F.filter(F.array(item["image"]), lambda i: i.isNotNull())
+    return F.transform(found, lambda item, pos: _candidate("microdata", pos, images=images(item), **{n: item[n] for n in TEXTS}))
+
+
+def microdata_nested(pages: DataFrame) -> DataFrame:
+    """Candidates of nested microdata."""
+    return _rows(pages.filter(_scopes(F.col("html")) > 1), nested_candidates(F.col("html")))
+
+
+def meta_candidates(html: Column) -> Column:
+    """Of ``og:`` and ``product:`` meta tags; of a repeated property the first counts. A page needs a price or
     any ``product:`` property with a value; plain ``og:`` pages give none."""
     tags = F.transform(
-        F.regexp_extract_all("html", F.lit(META), F.lit(0)),
+        F.regexp_extract_all(html, F.lit(META), F.lit(0)),
         lambda t: F.struct(
             F.lower(F.regexp_extract(t, r"""(?is)\b(?:property|name)\s*=\s*["']([^"']*)["']""", 1)).alias("k"),
             F.coalesce(F.nullif(F.regexp_extract(t, r'(?is)\bcontent\s*=\s*"([^"]*)"', 1), F.lit("")), F.regexp_extract(t, r"(?is)\bcontent\s*=\s*'([^']*)'", 1)).alias("v"),
         ),
     )
-    held = pages.select("page_id", tags.alias("tags"))
-    one = lambda name: F.nullif(F.get(F.filter("tags", lambda t: t["k"] == name), F.lit(0))["v"], F.lit(""))
-    first = lambda *names: decode_entities(F.coalesce(*map(one, names)))
-    stated = F.exists("tags", lambda t: t["k"].startswith("product:") & (t["v"] != ""))
-    found = held.select(
-        "page_id", stated.alias("stated"), *_source("meta"), first("product:retailer_item_id").alias("sku"), first("product:gtin", "product:ean").alias("gtin"), first("og:title").alias("name"), first("product:brand", "og:brand").alias("brand"),
-        first("product:price:amount", "og:price:amount").alias("price"), first("product:price:currency", "og:price:currency").alias("currency"), first("product:availability", "og:availability").alias("availability"),
-    )
-    return found.filter("stated OR price IS NOT NULL").drop("stated")
-
-
-def fallback_products(fallback: DataFrame) -> DataFrame:
-    """Candidates of title and heading, to fill names that no other source gives."""
-    none = F.lit(None).cast("string")
-    return fallback.select("page_id", *_source("fallback"), none.alias("sku"), none.alias("gtin"), F.coalesce("h1", "title").alias("name"), *[none.alias(c) for c in ("brand", "price", "currency", "availability")])
+
+    def one(tags: Column) -> Column:
+        value = lambda name: F.nullif(F.get(F.filter(tags, lambda t: t["k"] == name), F.lit(0))["v"], F.lit(""))
+        first = lambda *names: decode_entities(F.coalesce(*map(value, names)))
+        images = F.filter(F.array(first("og:image")), lambda i: i.isNotNull())
+        return _candidate(
+            "meta", F.lit(0), images=images, sku=first("product:retailer_item_id"), gtin=first("product:gtin", "product:ean"), name=first("og:title"), brand=first("product:brand", "og:brand"), description=first("og:description"),
+            price=first("product:price:amount", "og:price:amount"), currency=first("product:price:currency", "og:price:currency"), availability=first("product:availability", "og:availability"), condition=first("product:condition"),
+        )
+
+    stated = lambda tags: F.exists(tags, lambda t: (t["k"].startswith("product:") | (t["k"] == "og:price:amount")) & (t["v"] != ""))
+    return F.transform(F.filter(F.array(tags), stated), one)
+
+
+def meta_products(pages: DataFrame) -> DataFrame:
+    """Candidates of meta tags."""
+    return _rows(pages, meta_candidates(F.col("html")))
+
+
+def fallback_candidates(title: Column, h1: Column) -> Column:
+    """Of title and heading, to fill a name that no other source gives."""
+    return F.array(_candidate("fallback", F.lit(0), name=F.coalesce(h1, title)))

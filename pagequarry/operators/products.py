@@ -20,7 +20,9 @@ AVAILABILITY = {
     "backorder": "BACK_ORDER",
     "discontinued": "DISCONTINUED",
 }
-FIELDS = ["sku", "gtin", "name", "brand", "price", "currency", "availability"]
+CONDITION = {"newcondition": "NEW", "new": "NEW", "usedcondition": "USED", "used": "USED", "refurbishedcondition": "REFURBISHED", "refurbished": "REFURBISHED", "damagedcondition": "DAMAGED"}
+FIELDS = ["sku", "gtin", "name", "brand", "description", "price", "currency", "availability", "condition"]
+LISTS = ["image_urls", "offers"]
 
 
 def enum_table(spark: SparkSession, values: dict[str, str] = AVAILABILITY) -> DataFrame:
@@ -34,9 +36,32 @@ def enum_norm(df: DataFrame, col: str, table: DataFrame) -> DataFrame:
     return df.join(F.broadcast(names), spelling == F.col("_spelling"), "left").withColumn(col, F.col("_code")).drop("_spelling", "_code")
 
 
+def code_of(spelling: Column, values: dict[str, str]) -> Column:
+    """``enum_norm`` of one value, where it stands inside an array."""
+    known = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return F.try_element_at(known, F.lower(F.trim(F.regexp_replace(spelling, r"^https?://schema\.org/", ""))))
+
+
+def with_items(found: Column) -> Column:
+    """A page's candidates with the ``item`` that each speaks of.
+
+    Where no source has more than one candidate, nor do two give different skus, all speak of one. Else an item is named by its
+    gtin, its sku, its name or, lacking all, its source and place; meta tags and fallback, which describe the page, are left out."""
+    count = lambda source: F.size(F.filter(found, lambda c: c["source"] == source))
+    skus = F.array_distinct(F.filter(F.transform(found, lambda c: c["sku"]), lambda s: s.isNotNull()))
+    several = (count("jsonld") > 1) | (count("microdata") > 1) | (F.size(skus) > 1)
+    part = lambda kind, value: F.concat(F.lit(kind), value)
+    named = lambda c: F.coalesce(part("g", c["gtin"]), part("s", c["sku"]), part("n", F.lower(c["name"])), F.concat_ws(":", c["source"], c["pos"]))
+    all_of = lambda items: F.transform(items, lambda c: F.struct(F.lit("").alias("item"), c.alias("c")))
+    each = F.transform(F.filter(found, lambda c: c["source"].isin("jsonld", "microdata")), lambda c: F.struct(named(c).alias("item"), c.alias("c")))
+    return F.when(several & (F.size(each) > 0), each).otherwise(all_of(found))
+
+
 def merge_sources(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key: of each field the value from the best-ranked source that has one, and the sources met."""
-    best = [F.expr(f"min_by({f}, source_rank) FILTER (WHERE {f} IS NOT NULL)").alias(f) for f in FIELDS]
+    """One row per key: of each field the value from the best-ranked source that has one (of equal ranks the first on the page, then the
+    smallest value), of lists the first that is not empty, and the sources met."""
+    best = [F.expr(f"min_by({f}, struct(source_rank, pos, {f})) FILTER (WHERE {f} IS NOT NULL)").alias(f) for f in FIELDS]
+    best += [F.expr(f"min_by({f}, struct(source_rank, pos, {f})) FILTER (WHERE size({f}) > 0)").alias(f) for f in LISTS]
     return candidates.groupBy(*keys).agg(*best, F.array_sort(F.collect_set("source")).alias("sources"))
 
 
@@ -49,6 +74,6 @@ def identity(products: DataFrame, rest: list[str]) -> Column:
 
 
 def product_dedup(products: DataFrame, key: Column, order: str) -> DataFrame:
-    """One product per key, the lowest ``order``. Partial aggregation meets a key that many products share."""
+    """One product per key, the lowest ``order`` (columns, parted by commas). Partial aggregation meets a key that many products share."""
     held = products.select(F.struct("*").alias("row"), key.alias("key"))
-    return held.groupBy("key").agg(F.min_by("row", f"row.{order}").alias("row")).select("row.*")
+    return held.groupBy("key").agg(F.min_by("row", F.struct(*[f"row.{c}" for c in order.split(",")])).alias("row")).select("row.*")

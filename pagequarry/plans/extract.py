@@ -2,29 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.functions.text import currency, price
+from pagequarry.functions.text import currency, let, price
 from pagequarry.operators import embedded, pages as page_ops, products
 
 
-def candidates(pages: DataFrame, with_fallback: bool = True) -> DataFrame:
-    """What all sources say of each page. The html ends here."""
-    found = embedded.jsonld_products(pages).unionByName(embedded.microdata_products(pages)).unionByName(embedded.microdata_nested(pages)).unionByName(embedded.meta_products(pages))
+OF_OFFER = ("price", "currency", "availability", "condition")
+
+
+def read_pages(pages: DataFrame, *more: str, with_fallback: bool = True) -> DataFrame:
+    """``page_id, title, h1, lang, found`` and the columns ``more``: one pass over the html, which ends here; ``found`` holds the
+    candidates of all sources, the fallback only where another source has any."""
+    html = F.col("html")
+    sources = F.concat(embedded.jsonld_candidates(html), embedded.microdata_candidates(html), embedded.nested_candidates(html), embedded.meta_candidates(html))
+    none = F.array().cast(f"array<{embedded.CANDIDATE}>")
+    held = pages.select("page_id", *more, *[c.alias(n) for n, c in page_ops.fallback_fields(html).items()], F.coalesce(sources, none).alias("found"))
     if not with_fallback:
-        return found
-    fallback = embedded.fallback_products(page_ops.page_fallback(pages)).join(found.select("page_id").distinct(), "page_id", "left_semi")
-    return found.unionByName(fallback)
+        return held
+    return held.withColumn("found", F.when(F.size("found") > 0, F.concat("found", embedded.fallback_candidates(F.col("title"), F.col("h1")))).otherwise(none))
+
+
+def candidates(pages: DataFrame, with_fallback: bool = True) -> DataFrame:
+    """``page_id, item`` and the fields of a candidate: a row for all that each source says of each item on a page."""
+    return _exploded(read_pages(pages, with_fallback=with_fallback), "page_id")
+
+
+def _exploded(held: DataFrame, *keys: str) -> DataFrame:
+    return held.select(*keys, F.explode(products.with_items(F.col("found"))).alias("i")).select(*keys, "i.item", "i.c.*")
+
+
+def _offer(offer: Column, lang: Column) -> Column:
+    text = F.concat_ws(" ", offer["price"], offer["currency"])
+    return F.struct(
+        price(text, lang).alias("price"),
+        F.coalesce(currency(text), offer["currency"]).alias("currency"),
+        products.code_of(offer["availability"], products.AVAILABILITY).alias("availability"),
+        products.code_of(offer["condition"], products.CONDITION).alias("condition"),
+    )
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``url_key, sku, gtin, name, brand, price, currency, availability, sources``: a row per product, the latest version of each page."""
-    latest = page_ops.page_latest(page_ops.with_url_key(pages))
-    keys = latest.select("page_id", "url_key", F.nullif(F.regexp_extract("html", r"""(?is)<html[^>]*\blang=["']?([A-Za-z-]+)""", 1), F.lit("")).alias("lang"))
-    merged = products.merge_sources(candidates(latest), ["page_id"]).join(keys, "page_id")
-    text = F.concat_ws(" ", "price", "currency")
-    normal = merged.withColumns({"price": price(text, F.col("lang")), "currency": F.coalesce(currency(text), "currency")})
-    coded = products.enum_norm(normal, "availability", products.enum_table(pages.sparkSession))
-    one = products.product_dedup(coded, products.identity(coded, ["name", "brand", "url_key"]), "page_id")
-    return one.select("url_key", *products.FIELDS, "sources")
+    """``url_key``, the fields, ``image_urls, offers, sources``: a row per product, the latest version of each page. Price, currency, availability and
+    condition are those of the first offer.
+
+    Pages are read once; what goes on is narrow. A page without a ``url_key`` is its own latest version."""
+    held = read_pages(page_ops.with_url_key(pages), "url_key")
+    latest = held.groupBy("url_key", F.when(F.col("url_key").isNull(), F.col("page_id")).alias("own")).agg(F.max_by(F.struct("page_id", "lang", "found"), "page_id").alias("p"))
+    rows = _exploded(latest.select("url_key", "p.*"), "url_key", "page_id", "lang")
+    merged = products.merge_sources(rows, ["url_key", "page_id", "lang", "item"])
+    lang = F.col("lang")
+    first = F.struct(*OF_OFFER)
+    merged = merged.withColumns({"first": let(first, lambda o: _offer(o, lang)), "offers": F.transform(F.coalesce("offers", F.array()), lambda o: _offer(o, lang)), "image_urls": F.coalesce("image_urls", F.array())})
+    coded = merged.select("url_key", "page_id", "item", *[f for f in products.FIELDS if f not in OF_OFFER], "first.*", *products.LISTS, "sources")
+    one = products.product_dedup(coded, products.identity(coded, ["name", "brand", "url_key"]), "page_id,item")
+    return one.select("url_key", *products.FIELDS, *products.LISTS, "sources")
+
+
+def quality(pages: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How complete ``found`` (``page_id, url`` and fields) is per host, and the pages that gave nothing."""
+    return page_ops.fill_rate(pages, found), page_ops.no_product_pages(pages, found)

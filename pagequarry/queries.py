@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions import text
 from pagequarry.operators import embedded, pages as page_ops, products
 from pagequarry.plans import extract as plan
-from pagequarry.sources.pages import gtin13, page_scan, rendered
+from pagequarry.sources.pages import gtin13, listings, page_scan, rendered
 from pagequarry.streaming.extract import extract_stream
 
 
@@ -44,7 +44,7 @@ def jsonld_blocks(spark, sf_dir):
 
 
 def jsonld_products(spark, sf_dir):
-    return embedded.jsonld_products(_rendered(spark, sf_dir, "jsonld")).select("page_id", "sku", "gtin", "name", "brand", _decimal("price"), "currency", "availability")
+    return embedded.jsonld_products(_rendered(spark, sf_dir, "jsonld")).select("page_id", "sku", "gtin", "name", "brand", "description", _decimal("price"), "currency", "availability", "condition", F.size("offers").alias("n_offers"), F.array_join("image_urls", ",").alias("images"))
 
 
 def microdata_products(spark, sf_dir):
@@ -88,7 +88,7 @@ def enum_norm(spark, sf_dir):
 
 
 def merge_sources(spark, sf_dir):
-    merged = products.merge_sources(plan.candidates(_rendered(spark, sf_dir, "mixed")), ["page_id"])
+    merged = products.merge_sources(plan.candidates(_rendered(spark, sf_dir, "mixed")), ["page_id", "item"])
     return merged.select("page_id", "sku", "name", "brand", _decimal("price"), "currency", F.array_join("sources", ",").alias("sources"))
 
 
@@ -113,22 +113,30 @@ def no_product_pages(spark, sf_dir):
     return page_ops.no_product_pages(pages.select("page_id", "url"), plan.candidates(pages, with_fallback=False))
 
 
+def _shown(found):
+    return found.select("url_key", "sku", "gtin", "name", "brand", "description", F.col("price").cast("double").alias("price"), "currency", "availability", "condition", F.size("offers").alias("n_offers"), F.array_join("image_urls", ",").alias("images"), F.array_join("sources", ",").alias("sources"))
+
+
 def extract(spark, sf_dir):
-    found = plan.extract(_rendered(spark, sf_dir, "jsonld").unionByName(page_scan(spark, sf_dir)))
-    return found.select("url_key", "sku", "gtin", "name", "brand", F.col("price").cast("double").alias("price"), "currency", "availability", F.array_join("sources", ",").alias("sources"))
+    return _shown(plan.extract(_rendered(spark, sf_dir, "jsonld").unionByName(page_scan(spark, sf_dir))))
+
+
+def extract_listings(spark, sf_dir):
+    return _shown(plan.extract(listings(_part(spark, sf_dir))))
 
 
 def extract_stream_query(spark, sf_dir):
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
     at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     pages = f"{sf_dir}/[p]ages.parquet"  # a pattern may name a file or a folder, a plain path only a folder
-    for query in extract_stream(spark, pages, f"{at}/out", f"{at}/checkpoint"):
-        query.awaitTermination()
-    return spark.read.schema("page_id long, title string, h1 string, lang string").parquet(f"{at}/out/pages")
+    extract_stream(spark, pages, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    held = spark.read.parquet(f"{at}/out")
+    return held.select("page_id", "title", "h1", "lang", F.size("found").alias("n_found"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "extract": extract,
+    "extract_listings": extract_listings,
     "page_scan": page_scan_query,
     "url_key": url_key,
     "page_latest": page_latest,
@@ -163,20 +171,23 @@ _FIELD = lambda pattern: f"replace(replace(replace(replace(replace(nullif(trim(r
 _FALLBACK = f"""SELECT page_id, {_FIELD("(?is)<title[^>]*>([^<]*)</title")} AS title, {_FIELD("(?is)<h1[^>]*>([^<]*)</h1")} AS h1,
   nullif(regexp_extract(html, '(?is)<html[^>]*lang=["'']?([A-Za-z-]+)', 1), '') AS lang FROM pages"""
 
-ORACLE_SQL: dict[str, str] = {
-    "extract": f"""
-WITH p AS (
-  SELECT *, {_GTIN} AS gtin FROM part
-)
-SELECT 'shop' || (p_partkey % 7) || '.example.com/p/' || p_partkey AS url_key, 'P' || p_partkey AS sku, gtin, p_name AS name, p_brand AS brand,
+_IMAGE = "'https://img.example/' || p_partkey"
+_EXTRACTED = f"""'P' || p_partkey AS sku, {_GTIN} AS gtin, p_name AS name, p_brand AS brand, 'A ' || p_type AS description,
   CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) AS price, 'USD' AS currency,
-  CASE WHEN p_size % 2 = 0 THEN 'IN_STOCK' ELSE 'OUT_OF_STOCK' END AS availability, 'fallback,jsonld' AS sources FROM p""",
+  CASE WHEN p_size % 2 = 0 THEN 'IN_STOCK' ELSE 'OUT_OF_STOCK' END AS availability, 'NEW' AS condition, {_IMAGE} AS images"""
+
+ORACLE_SQL: dict[str, str] = {
+    "extract": f"""SELECT 'shop' || (p_partkey % 7) || '.example.com/p/' || p_partkey AS url_key, {_EXTRACTED},
+  CASE WHEN p_partkey % 4 = 3 THEN 2 ELSE 1 END::INTEGER AS n_offers, 'fallback,jsonld' AS sources FROM part""",
+    "extract_listings": f"""SELECT 'shop.example.com/list/' || (p_partkey // 2) AS url_key, {_EXTRACTED},
+  1::INTEGER AS n_offers, CASE WHEN count(*) OVER (PARTITION BY p_partkey // 2) > 1 THEN 'jsonld' ELSE 'fallback,jsonld,meta' END AS sources FROM part""",
     "page_scan": "SELECT page_id, url FROM pages",
     "url_key": f"SELECT page_id, {_KEY} AS url_key FROM pages",
     "page_latest": f"SELECT url_key, max(page_id) AS page_id FROM (SELECT page_id, {_KEY} AS url_key FROM pages) GROUP BY url_key",
     "jsonld_blocks": "SELECT p_partkey AS page_id, CAST(pos AS INTEGER) AS pos, pos = 1 AS has_sku FROM part, (VALUES (0), (1)) AS v(pos)",
-    "jsonld_products": f"""SELECT p_partkey AS page_id, 'P' || p_partkey AS sku, {_GTIN} AS gtin, p_name AS name, p_brand AS brand,
-  CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) AS price, 'USD' AS currency, {_AVAILABLE} AS availability FROM part""",
+    "jsonld_products": f"""SELECT p_partkey AS page_id, 'P' || p_partkey AS sku, {_GTIN} AS gtin, p_name AS name, p_brand AS brand, 'A ' || p_type AS description,
+  CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) AS price, 'USD' AS currency, {_AVAILABLE} AS availability, 'https://schema.org/NewCondition' AS condition,
+  CASE WHEN p_partkey % 4 = 3 THEN 2 ELSE 1 END::INTEGER AS n_offers, {_IMAGE} AS images FROM part""",
     "microdata_products": "SELECT p_partkey AS page_id, p_name AS name, p_brand AS brand, CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) AS price FROM part",
     "microdata_nested": "SELECT p_partkey AS page_id, p_name AS name, p_brand AS brand, CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) AS price, 'USD' AS currency FROM part",
     "meta_products": "SELECT p_partkey AS page_id, p_name AS name, p_brand AS brand, CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) AS price FROM part",
@@ -191,10 +202,11 @@ SELECT 'shop' || (p_partkey % 7) || '.example.com/p/' || p_partkey AS url_key, '
   array_to_string(list_filter(['fallback', CASE WHEN p_partkey % 3 = 0 THEN 'jsonld' END, CASE WHEN p_partkey % 2 = 0 THEN 'meta' END, CASE WHEN p_partkey % 3 <= 1 THEN 'microdata' END], lambda x: x IS NOT NULL), ',') AS sources
 FROM part WHERE p_partkey % 3 <= 1 OR p_partkey % 2 = 0""",
     "product_dedup": "SELECT min(p_partkey) AS p_partkey, p_name, p_brand, p_type, p_size FROM part GROUP BY p_name, p_brand, p_type, p_size",
-    "fill_rate": f"SELECT {_HOST} AS host, count(*) AS pages, count(*) FILTER (WHERE NOT contains(lower(html), '</html>')) AS unclosed FROM pages GROUP BY 1",
-    "fill_rate_products": """SELECT 'shop' || (p_partkey % 7) || '.example.com' AS host, count(*) AS pages, 0::BIGINT AS unclosed,
+    "fill_rate": f"SELECT {_HOST} AS host, count(*) AS pages, count(*) FILTER (WHERE NOT contains(lower(html), '</html>')) AS unclosed, 0::BIGINT AS broken_blocks FROM pages GROUP BY 1",
+    "fill_rate_products": """SELECT 'shop' || (p_partkey % 7) || '.example.com' AS host, count(*) AS pages, 0::BIGINT AS unclosed, 0::BIGINT AS broken_blocks,
   count(*) FILTER (WHERE p_partkey % 3 = 0) AS with_sku, count(*) FILTER (WHERE p_partkey % 3 <= 1 OR p_partkey % 2 = 0) AS with_name,
-  count(*) FILTER (WHERE p_partkey % 3 <= 1 OR p_partkey % 2 = 0) AS with_price FROM part GROUP BY 1""",
+  count(*) FILTER (WHERE p_partkey % 3 <= 1 OR p_partkey % 2 = 0) AS with_price,
+  count(*) FILTER (WHERE p_partkey % 3 = 0) / CAST(count(*) FILTER (WHERE p_partkey % 3 <= 1 OR p_partkey % 2 = 0) AS DOUBLE) AS share_sku, 1.0::DOUBLE AS share_name, 1.0::DOUBLE AS share_price FROM part GROUP BY 1""",
     "no_product_pages": "SELECT page_id, url FROM pages",
-    "extract_stream": _FALLBACK,
+    "extract_stream": f"SELECT *, 0::INTEGER AS n_found FROM ({_FALLBACK})",
 }

@@ -38,12 +38,13 @@ def _offer(price: Column) -> Column:
         price.alias("price"),
         F.lit("USD").alias("priceCurrency"),
         F.when(F.col("p_size") % 2 == 0, "https://schema.org/InStock").otherwise("out of stock").alias("availability"),
+        F.lit("https://schema.org/NewCondition").alias("itemCondition"),
     )
 
 
 def _product(kind: Column, offers: Column) -> Column:
     brand = F.struct(F.lit("Brand").alias("@type"), F.col("p_brand").alias("name"))
-    return F.struct(kind.alias("@type"), F.concat(F.lit("P"), "p_partkey").alias("sku"), gtin13(F.col("p_partkey")).alias("gtin13"), F.col("p_name").alias("name"), brand.alias("brand"), offers.alias("offers"))
+    return F.struct(kind.alias("@type"), F.concat(F.lit("P"), "p_partkey").alias("sku"), gtin13(F.col("p_partkey")).alias("gtin13"), F.col("p_name").alias("name"), brand.alias("brand"), F.concat(F.lit("A "), "p_type").alias("description"), F.concat(F.lit("https://img.example/"), "p_partkey").alias("image"), offers.alias("offers"))
 
 
 def rendered(part: DataFrame, kind: str) -> DataFrame:
@@ -79,3 +80,12 @@ def rendered(part: DataFrame, kind: str) -> DataFrame:
     head = F.concat(F.lit('<html lang="en"><head><title>Shop: '), "p_name", F.lit("</title></head><body><h1>"), "p_type", F.lit("</h1>"))
     url = F.concat(F.lit("https://www.shop"), F.col("p_partkey") % 7, F.lit(".example.com/p/"), F.col("p_partkey"), F.lit(".html?utm_source=feed"))
     return part.select(F.col("p_partkey").alias("page_id"), url.alias("url"), F.concat(head, body, F.lit("</body></html>")).alias("html"))
+
+
+def listings(part: DataFrame, per_page: int = 2) -> DataFrame:
+    """``page_id, url, html``: pages that list several parts, as one JSON-LD array, under meta tags that speak of the page."""
+    block = F.to_json(_product(F.lit("Product"), _offer(_price())))
+    pages = part.select(F.expr(f"p_partkey div {per_page}").alias("page_id"), block.alias("block")).groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list("block")), ",").alias("blocks"))
+    head = '<html lang="en"><head><title>All we have</title><meta property="og:title" content="A list"><meta property="product:price:amount" content="1"></head><body><script type="application/ld+json">['
+    url = F.concat(F.lit("https://www.shop.example.com/list/"), F.col("page_id"))
+    return pages.select("page_id", url.alias("url"), F.concat(F.lit(head), "blocks", F.lit("]</script></body></html>")).alias("html"))

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from pagequarry.operators import pages as page_ops
-from pagequarry.plans.extract import candidates
+from pagequarry.plans.extract import read_pages
 from pagequarry.sources.pages import page_stream
 
 
-def extract_stream(spark: SparkSession, source: str, sink: str, checkpoint: str) -> tuple[StreamingQuery, StreamingQuery]:
-    """Two queries over the files in ``source``, until all are read: candidates of embedded data to ``sink``/candidates, page fields to ``sink``/pages."""
-    pages = page_stream(spark, source)
-    start = lambda df, name: df.writeStream.format("parquet").option("path", f"{sink}/{name}").option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
-    return start(candidates(pages, with_fallback=False), "candidates"), start(page_ops.page_fallback(pages), "pages")
+def extract_stream(spark: SparkSession, source: str, sink: str, checkpoint: str) -> StreamingQuery:
+    """One query over the files in ``source``, until all are read: ``page_id, title, h1, lang, found`` (the candidates) to ``sink``."""
+    found = read_pages(page_stream(spark, source), with_fallback=False)
+    return found.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

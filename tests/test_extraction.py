@@ -110,8 +110,9 @@ def test_latest_page_wins_and_nameless_pages_stay(spark):
 
 
 def test_sources_by_rank_and_identity(spark):
-    columns = "page_id long, source string, source_rank int, sku string, gtin string, name string, brand string, price string, currency string, availability string"
-    df = spark.createDataFrame([(1, "meta", 3, "m", None, "meta name", None, "3", None, None), (1, "jsonld", 1, None, "bad", "json name", None, None, None, None)], columns)
+    columns = "page_id long, source string, source_rank int, pos int, sku string, gtin string, name string, brand string, description string, price string, currency string, availability string, condition string, image_urls array<string>, offers array<string>"
+    none = (None, None, None, None, None)
+    df = spark.createDataFrame([(1, "meta", 3, 0, "m", None, "meta name", None, None, "3", *none), (1, "jsonld", 1, 0, None, "bad", "json name", None, None, None, *none), (1, "jsonld", 1, 1, None, "later", "b", None, None, None, *none)], columns)
     (r,) = products.merge_sources(df, ["page_id"]).collect()
     assert (r.sku, r.gtin, r.name, r.price, r.sources) == ("m", "bad", "json name", "3", ["jsonld", "meta"])
     rows = spark.createDataFrame([(1, "4006381333931", None, None, "x"), (2, "04006381333931", "b", "s", "y"), (3, None, "b", "s", "z"), (4, "4006381333932", "b", "s", "w"), (5, None, None, None, "x")], "id long, gtin string, brand string, sku string, name string")
@@ -119,6 +120,34 @@ def test_sources_by_rank_and_identity(spark):
     assert sorted(r.id for r in kept) == [1, 3, 5]
 
 
+def test_several_products_on_a_page_stay_apart(spark):
+    lamp = '{"@type":"Product","name":"Lamp","sku":"A","offers":{"price":"10","priceCurrency":"USD"}}'
+    chair = '{"@type":"Product","name":"Chair","sku":"B","brand":"X","description":"sits","image":["u","v"],"offers":[{"price":"99","priceCurrency":"USD","itemCondition":"UsedCondition"},{"price":"90"}]}'
+    tags = '<meta property="product:brand" content="Site"><meta property="og:title" content="All">'
+    flat = '<div itemscope itemtype="https://schema.org/Product"><i itemprop="sku">B</i><b itemprop="gtin13">4006381333931</b></div>'
+    found = {(r.url_key, r.sku): r for r in plan.extract(pages(spark, script(f"[{lamp},{chair}]") + tags, script(chair) + tags + flat)).collect()}
+    assert {k: (r.name, r.brand, str(r.price), r.gtin, len(r.offers)) for k, r in found.items()} == {
+        ("a.example/0", "A"): ("Lamp", None, "10.00", None, 1),
+        ("a.example/0", "B"): ("Chair", "X", "99.00", None, 2),
+        ("a.example/1", "B"): ("Chair", "X", "99.00", "4006381333931", 2),
+    }
+    chairs = found["a.example/0", "B"]
+    assert (chairs.description, chairs.image_urls, chairs.condition, [str(o.price) for o in chairs.offers]) == ("sits", ["u", "v"], "USED", ["99.00", "90.00"])
+
+
+def test_broken_blocks_are_counted_and_latest_version_counts(spark):
+    rows = page_ops.fill_rate(pages(spark, script("{"), script("{}"), None)).collect()
+    assert [(r.pages, r.broken_blocks) for r in rows] == [(3, 1)]
+    two = pages(spark, script('{"@type":"Product","name":"old"}'), script('{"@type":"Product","name":"new"}'), None).withColumn("url", F.lit("https://a.example/x"))
+    assert [r.name for r in plan.extract(two.filter("page_id < 2")).collect()] == ["new"]
+    assert plan.extract(two).count() == 0
+
+
+def test_html_is_read_once(spark, sf_dir):
+    explained = plan.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert explained.count("FileScan") == 1
+
+
 def test_pages_without_products_give_none(spark, sf_dir):
     found = plan.candidates(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     assert found.count() == 0
