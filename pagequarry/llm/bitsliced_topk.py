@@ -8,18 +8,26 @@ most significant slice downward, and ties at the boundary are settled by id.
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections import defaultdict
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
 from . import grid
 
 SCALE = 1024
-#: Quantised components stay under 2**27, so that sums over 512 components fit a long.
-LIMIT = 2.0**27 / SCALE
+#: Up to this magnitude components are scaled as 64-bit integers, beyond it as Python's.
+WIDE = 2.0**50
 
 
 def quantise(vectors: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    return np.floor(scale * vectors.astype(np.float64)).astype(np.int64)
+    vectors = vectors.astype(np.float64)
+    if not vectors.size or np.abs(vectors).max() < WIDE:
+        return np.floor(scale * vectors).astype(np.int64)
+    exact = [[math.floor(scale * x) if abs(x) < WIDE else scale * int(x) for x in row] for row in vectors.tolist()]
+    return np.array(exact, dtype=object).reshape(vectors.shape)
 
 
 class BitSlices:
@@ -29,10 +37,10 @@ class BitSlices:
         rows, dims = values.shape
         self.rows, self.words = rows, -(-rows // 64)
         self.low = values.min(0)
-        above = (values - self.low).astype(np.uint64)
+        above = values - self.low
         self.bits = [int(b).bit_length() for b in above.max(0)]
         self.top = np.array([(1 << b) - 1 for b in self.bits], dtype=object)
-        self.slices = [[self._pack((above[:, d] >> np.uint64(i)) & np.uint64(1)) for i in range(b)] for d, b in enumerate(self.bits)]
+        self.slices = [[self._pack((above[:, d] >> i) & 1) for i in range(b)] for d, b in enumerate(self.bits)]
         self.inverse = [[~s for s in own] for own in self.slices]
         self.all = self._pack(np.ones(rows, np.uint64))
 
@@ -43,7 +51,7 @@ class BitSlices:
     def weighted(self, weights: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Slices of the sum of weight times value, and the constant to add. A negative digit adds the
         inverted slices: -v = (top - v) - top."""
-        columns: list[list[np.ndarray]] = [[] for _ in range(64)]
+        columns: dict[int, list[np.ndarray]] = defaultdict(list)
         constant = 0
         for d, w in enumerate(weights.tolist()):
             constant += w * int(self.low[d])
@@ -53,7 +61,10 @@ class BitSlices:
                 if sign < 0:
                     constant -= int(self.top[d]) << shift
         total: list[np.ndarray] = []
-        for c, own in enumerate(columns):
+        for c in itertools.count():
+            if c > max(columns, default=-1):
+                break
+            own = columns[c]
             while len(own) >= 3:
                 x, y, z = own.pop(), own.pop(), own.pop()
                 half = x ^ y
@@ -84,6 +95,16 @@ class BitSlices:
                 return self.positions(sure)
         return np.concatenate([self.positions(sure), self.positions(open_)[: k - n_sure]])
 
+    def sums(self, total: list[np.ndarray], constant: int, rows: np.ndarray) -> np.ndarray:
+        """The sums of some rows, read off the slices."""
+        place, bit = rows // 64, (rows % 64).astype(np.uint64)
+        out = np.full(len(rows), constant, dtype=object)
+        for i, s in enumerate(total):
+            out += ((s[place] >> bit) & np.uint64(1)).astype(object) << i
+        if any(not -(1 << 63) <= x < 1 << 63 for x in out.tolist()):
+            raise OverflowError("a score doesn't fit a long")
+        return out.astype(np.int64)
+
     def positions(self, bitmap: np.ndarray) -> np.ndarray:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little")[: self.rows])
 
@@ -106,9 +127,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     the largest integer inner product of components floor(scale * x), itself left out.
 
     All candidates come back where there are fewer than k. Ties go to the smaller id. Null vectors and
-    those with null or non-finite components take no part, as queries or candidates; the same holds for null ids, empty vectors,
-    vectors of another length than most, and components whose scaled value leaves 2**27, as their scores need not
-    fit a long. A repeated id counts once, with its smallest vector. An empty table gives an empty result.
+    those with null or non-finite components take no part, as queries or candidates; the same holds for null ids, empty vectors and
+    vectors of another length than most. Components may be of any size; a score among the best that doesn't fit a long is an error. A repeated id counts once, with its smallest vector. An empty table gives an empty result.
     """
 
     def cell(query_ids, queries, ids, block):
@@ -118,11 +138,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
             total, constant = index.weighted(weights)
             at = np.searchsorted(ids, query)
             top = index.top_k(total, k, int(at) if at < len(ids) and ids[at] == query else None)
-            place, bit = top // 64, (top % 64).astype(np.uint64)
-            score = np.full(len(top), constant, np.int64)
-            for i, s in enumerate(total):
-                score += ((s[place] >> bit) & np.uint64(1)).astype(np.int64) << i
-            found.append((np.full(len(top), query), ids[top], score))
+            found.append((np.full(len(top), query), ids[top], index.sums(total, constant, top)))
         return tuple(map(np.concatenate, zip(*found, strict=True)))
 
-    return grid.search(grid.usable(vectors, id_col, vec_col, nonzero=False, limit=LIMIT * SCALE / scale), is_query, k, cell, "long")
+    return grid.search(grid.usable(vectors, id_col, vec_col, nonzero=False), is_query, k, cell, "long")

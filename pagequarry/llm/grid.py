@@ -20,14 +20,14 @@ BLOCK_ROWS = 32_768
 CHUNK_QUERIES = 512
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str, nonzero: bool, limit: float = 1.7e308) -> DataFrame:
+def usable(vectors: DataFrame, id_col: str, vec_col: str, nonzero: bool) -> DataFrame:
     """``vec_id, vec``, a row per id. Null ids, null vectors and vectors with null, non-finite or (for
-    ``nonzero``) only zero components take no part, nor do those with a component beyond ``limit``; of an id's
+    ``nonzero``) only zero components take no part; of an id's
     different vectors the smallest counts. Partial aggregation meets an id that repeats before the shuffle."""
     vec = F.col(f"`{vec_col}`").cast("array<double>")
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), vec.alias("vec"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0))
-    rows = rows.filter(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= limit)))
+    rows = rows.filter(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     if nonzero:
         rows = rows.filter(F.exists("vec", lambda x: x != 0))
     return rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))

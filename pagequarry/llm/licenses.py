@@ -66,7 +66,7 @@ UNKNOWN = 0.5
 
 TAG = "spdx license identifier"
 TAG_LINE = re.compile(r"spdx-license-identifier[ \t]*:")
-TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]{0,63}")
+TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]*")
 TAG_TOKEN = re.compile(rf"[ \t]*({TOKEN.pattern})")
 LINE_END = re.compile(r"[ \t]*(?:[\r\n]|\Z)")
 OPERATORS = {"or": 1, "and": 2, "with": 3}
@@ -167,6 +167,12 @@ def _matcher(phrases: tuple[tuple[str, str], ...], notices: tuple[tuple[str, str
     return found
 
 
+def _places(raw: bytes) -> tuple[str, list[int]]:
+    """The text in lower case, a character a byte, and the byte at which each word starts."""
+    solid = np.frombuffer(raw.translate(_SPACED), np.uint8) != 32
+    return raw.translate(_LOWER).decode("latin-1"), np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]])).tolist()
+
+
 def scan_text(text: str | None, matcher: ahocorasick.Automaton) -> dict:
     raw = (text or "").encode()
     words = raw.translate(_SPACED).split()
@@ -187,14 +193,16 @@ def scan_text(text: str | None, matcher: ahocorasick.Automaton) -> dict:
 
     # notices: at each stretch of words the longest match speaks; tags bring the expression that follows
     labels = set(out["base_labels"])
-    lower = raw.translate(_LOWER).decode("utf-8", "replace") if any(p[2] == "tag" for p in places) else ""
-    tags = (tag_tokens(lower, m.end()) for m in TAG_LINE.finditer(lower))
+    lower, starts = _places(raw) if any(p[2] == "tag" for p in places) else ("", [])
     terms: list[list[str]] = []
     ends: list[tuple[int, int]] = []
     reach = -1
     for at, after, kind, label in sorted(places, key=lambda p: (p[0], -p[1], p[2])):
         if kind == "tag":
-            tokens = next(tags, [])
+            stated = TAG_LINE.match(lower, starts[at])  # without a colon the tag is only mentioned
+            if not stated:
+                continue
+            tokens = tag_tokens(lower, stated.end())
             ids = [t for t in tokens if t not in OPERATORS and t not in "()"]
             postfix = to_postfix(tokens)
             # an exception's name after "with" is no licence

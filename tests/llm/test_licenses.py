@@ -72,3 +72,13 @@ def test_query_matches_brute_force(spark, sf_dir, documents):
 def test_words_after_a_tag_are_not_its_expression(text, labels, score):
     found = licenses.scan_text(text, MATCH)
     assert (set(found["labels"]), found["score"]) == (labels, pytest.approx(score))
+
+
+def test_tags_are_read_where_they_stand():
+    matcher = licenses._matcher(tuple(licenses.BASE.items()), tuple(licenses.NOTICES.items()))
+    for text, labels in {
+        "NOSPDX-License-Identifier: GPL-3.0\nSPDX-License-Identifier: MIT": ["mit"],
+        "An SPDX license identifier is a tag.\nÄ SPDX-License-Identifier: Apache-2.0": ["apache-2.0"],
+        "SPDX-License-Identifier: LicenseRef-" + "x" * 100: ["licenseref-" + "x" * 100],
+    }.items():
+        assert licenses.scan_text(text, matcher)["labels"] == labels

@@ -51,6 +51,16 @@ def test_top_k_query_matches_brute_force(spark, sf_dir):
     assert got == want
 
 
+def test_large_components_are_scored_exactly(spark):
+    rows = [(0, [200000.0, 0.0]), (1, [3.0, 1.0]), (2, [150000.0, -7.5]), (3, [-2.5e-12, 4.0]), (4, [0.0, 1e300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = {i: [math.floor(1024 * x) if abs(x) < 2**50 else 1024 * int(x) for x in v] for i, v in rows}
+    got = [(r.vec_id, r.score) for r in bitsliced_topk.top_k(df, F.col("vec_id") == 0, k=10).orderBy("rank").collect()]
+    assert got == sorted([(i, exact[i][0] * exact[0][0]) for i in (1, 2, 3, 4)], key=lambda x: (-x[1], x[0]))
+    with pytest.raises(Exception, match="fit a long"):
+        bitsliced_topk.top_k(df, F.col("vec_id") == 1, k=10).collect()
+
+
 def test_ann_query_recall_and_scores(spark, sf_dir):
     ids, vecs = embeddings(spark, sf_dir)
     hits = asked = 0
@@ -66,6 +76,7 @@ def test_ann_query_recall_and_scores(spark, sf_dir):
         hits += len({r.vec_id for r in own} & {i for i, _ in brute(ids, vecs @ where[query], query, 20)})
         asked += 20
     assert hits / asked >= 0.9
+    assert permutation_ann.n_reranked(len(ids), 20) < 0.7 * len(ids)  # the index does cut
 
 
 def test_index_finds_most_neighbours_where_it_reranks_few(spark):
@@ -73,7 +84,7 @@ def test_index_finds_most_neighbours_where_it_reranks_few(spark):
     centres = rng.normal(size=(40, 24))
     vecs = centres[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 24))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
-    found = permutation_ann.search(df, F.col("vec_id") % 100 == 0, k=10, pivots=128, prefix=32, reranked=0.1, least_reranked=100)
+    found = permutation_ann.search(df, F.col("vec_id") % 100 == 0, k=10, pivots=128, prefix=32, reranked=0.1, margin=1.0)
     hits = 0
     for r in found.groupBy("query_id").agg(F.collect_set("vec_id").alias("ids")).collect():
         hits += len(set(r.ids) & {i for i, _ in brute(np.arange(3000), vecs @ vecs[r.query_id], r.query_id, 10)})
@@ -119,7 +130,8 @@ def test_default_parameters_reach_the_recall_on_hard_vectors():
     rows /= np.linalg.norm(rows, axis=1)[:, None]
     points = permutation_ann.lifted(rows[: permutation_ann.PIVOTS], 1.0)
     files = permutation_ann.InvertedFiles(permutation_ann.order_of(permutation_ann.lifted(rows, 1.0), points, permutation_ann.PREFIX), len(points))
-    keep = max(permutation_ann.LEAST_RERANKED, int(permutation_ann.RERANKED * len(rows)))
+    keep = permutation_ann.n_reranked(len(rows), 20)
+    assert keep < len(rows) / 6
     hits = 0
     for query in rows[-60:]:
         order = permutation_ann.order_of(np.append(query, 0)[None], points, permutation_ann.PREFIX)[0]
