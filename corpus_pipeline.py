@@ -1,4 +1,7 @@
-"""A corpus pipeline from raw documents to packed sequences: quality, lines, near-duplicates, repeats, packing."""
+"""A corpus pipeline from raw documents to packed sequences: quality, lines, near-duplicates, repeats, packing.
+
+Every stage takes null ids, null, empty and very long texts, repeated rows, empty tables and further columns of any name: an empty table
+gives an empty one, further columns pass through (but for the last stage, which leaves them out), and ``n_chars`` follows the text."""
 
 from __future__ import annotations
 
@@ -16,27 +19,32 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier keeps."""
+    """Documents that the co-trained classifier keeps. Null texts are scored as empty; a rejected document goes with all rows
+    that repeat its id and text; a score at the threshold stays; without labels of both classes all stay."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later occurrences of repeated three-line windows."""
+    """All documents, without later occurrences of repeated three-line windows, later by id, then place. Null texts stay null; rows
+    that repeat id and text come out alike."""
     return _counted(line_dedup.dedup_lines(docs))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles and a similarity of 0.8 or more."""
+    """One document of each group linked by five-word shingles and a similarity of 0.8 or more: the smallest id. Rows that repeat id and
+    text come out once; texts without words, null ones too, are in no group; a row without an id stays only where its group has none."""
     return ngram_join.one_of_each(docs, size=5, num=80, den=100)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the strings of 200 bytes that start more than once."""
+    """All documents, without the strings of 200 bytes that start more than once, characters that a cut runs through kept whole. Null
+    texts stay null; rows that repeat lose what they share."""
     return _counted(suffix_dedup.dedup_text(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces with their ids, packed into sequences of 1024 tokens."""
+    """The documents' pieces with their ids, packed into sequences of 1024 tokens. Null and empty texts are the end id alone; repeated rows are
+    packed as often as they occur; of equal lengths the order of the scan decides."""
     return packing.pack(docs)
 
 
