@@ -45,7 +45,7 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
     assert rows(seen[2]) == sorted((i, t) for i, (_, _, t) in lines.items())
 
     found = brute_join(rows(seen[2]), 5, 80, 100)
-    assert [i for i, _ in rows(seen[3])] == sorted({root for _, root, _ in found.values()})
+    assert [i for i, _ in rows(seen[3])] == sorted({root for _, root in found.values()})
 
     before = rows(seen[3])
     for (i, text), (kept, _, removed) in zip(rows(seen[4]), brute_suffixes([t for _, t in before], 200), strict=True):
