@@ -119,6 +119,14 @@ def test_features_of_both_views():
     assert (quality.metadata_features(None, None, None) != quality.metadata_features("en", "src1", 10)).any()
 
 
+def test_word_hashes():
+    text = "one two  one\ntwo é x\tone " + "x" * 40_000 + " one oen"
+    found = quality.word_hashes(np.frombuffer(text.encode(), np.uint8)).tolist()
+    words = text.split()
+    assert len(found) == len(words) and len(set(zip(found, words, strict=True))) == len(set(found)) == len(set(words))
+    assert not len(quality.word_hashes(np.frombuffer(b" \n", np.uint8)))
+
+
 def test_odd_rows_and_labels(spark, odd):
     labels = spark.createDataFrame([(3, 1, None), (4, 0, 1), (4, 1, 0), (8, 0, 0), (9, 1, 0), (7, None, 0), (None, 1, 1), (99, 0, 0)], "doc_id long, quality int, toxic int")
     assert quality.score(odd, labels).count() == odd.count()
