@@ -141,4 +141,5 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
             found.append((np.full(len(top), query), ids[top], index.sums(total, constant, top)))
         return tuple(map(np.concatenate, zip(*found, strict=True)))
 
-    return grid.search(grid.usable(vectors, id_col, vec_col, nonzero=False), is_query, k, cell, "long")
+    rows = grid.usable(vectors, id_col, vec_col, nonzero=False)
+    return grid.search(rows, grid.shape(rows, is_query), is_query, k, cell, "long")

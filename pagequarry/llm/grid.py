@@ -2,7 +2,8 @@
 
 Rows are dealt into blocks of bounded size by a hash of their id, queries into chunks of bounded size. A task
 gets one block and one chunk, searches it, and hands on at most k rows a query; the best k of
-all blocks follow from those.
+all blocks follow from those. A block is sent once per chunk and a chunk once per block, so both are as large as a
+task's memory allows: what is sent is the number of rows times that of queries, over half the size of a block.
 """
 
 from __future__ import annotations
@@ -12,44 +13,60 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 from pyspark.sql.window import Window
 
-BLOCK_ROWS = 32_768
-CHUNK_QUERIES = 512
+from . import common
+
+#: Components in a block or a chunk, 16 MB: 32,768 vectors of 64, 2,048 of 1,024.
+BLOCK_VALUES = 1 << 21
+#: Chunks get no smaller than this for the sake of idle cores.
+LEAST_QUERIES = 512
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, nonzero: bool) -> DataFrame:
-    """``vec_id, vec``, a row per id. Null ids, null vectors and vectors with null, non-finite or (for
+    """``vec_id, vec``, a row per id, written once for the passes over it. Null ids, null vectors and vectors with null, non-finite or (for
     ``nonzero``) only zero components take no part; of an id's
     different vectors the smallest counts. Partial aggregation meets an id that repeats before the shuffle."""
-    vec = F.col(f"`{vec_col}`").cast("array<double>")
+    vec = F.col(f"`{vec_col}`")
+    if vectors.schema[vec_col].dataType not in (ArrayType(FloatType(), True), ArrayType(FloatType(), False)):  # floats travel as floats
+        vec = vec.cast("array<double>")
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), vec.alias("vec"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0))
     rows = rows.filter(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     if nonzero:
         rows = rows.filter(F.exists("vec", lambda x: x != 0))
-    return rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    return common.kept(rows.groupBy("vec_id").agg(F.min("vec").alias("vec")), "vectors")
+
+
+def shape(rows: DataFrame, is_query: Column, *more: Column) -> Row | None:
+    """The length that most vectors have (``dim``, of equally frequent ones the longest), their number ``n``, that of queries ``q``, and ``more`` aggregates."""
+    by_dim = rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"), *more)
+    return by_dim.orderBy(F.desc("n"), F.desc("dim")).first()
 
 
 def search(
     rows: DataFrame,
+    found_shape: Row | None,
     is_query: Column,
     k: int,
     cell: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]],
     score_type: str,
-    block_rows: int = BLOCK_ROWS,
-    chunk_queries: int = CHUNK_QUERIES,
+    block_values: int = BLOCK_VALUES,
+    least_queries: int = LEAST_QUERIES,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k highest scores, ties to the smaller id.
 
     ``cell(query_ids, queries, ids, vectors)`` returns query ids, ids and scores, at most k a query, of one
-    block; ids come in ascending order. Vectors of another length than most rows have take no part.
+    block; ids come in ascending order, vectors as doubles. Vectors of another length than ``found_shape`` says take no part.
     """
-    counts = rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).collect()  # a row per length
-    dim, n, q = max(((r.dim, r.n, r.q) for r in counts), key=lambda r: (r[1], r[0]), default=(0, 0, 0))
-    blocks, chunks = max(1, math.ceil(n / block_rows)), max(1, math.ceil(q / chunk_queries))
+    dim, n, q = (found_shape["dim"], found_shape["n"], found_shape["q"]) if found_shape else (1, 0, 0)
+    most = max(1, block_values // dim)
+    blocks = max(1, math.ceil(n / most))
+    busy = math.ceil(2 * rows.sparkSession.sparkContext.defaultParallelism / blocks)  # chunks that keep all cores busy
+    chunks = max(1, math.ceil(q / most), min(busy, math.ceil(q / least_queries)))
     rows = rows.filter(F.size("vec") == dim)
     dealt = F.xxhash64("vec_id")
     candidates = rows.select("vec_id", "vec", F.pmod(dealt, F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
@@ -75,4 +92,4 @@ def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     vecs = table.column("vec").combine_chunks()
     flat = (vecs if isinstance(vecs, pa.ListArray) else vecs.chunk(0)).flatten().to_numpy(zero_copy_only=False)
     order = np.argsort(ids)
-    return ids[order], flat.reshape(len(ids), -1)[order]
+    return ids[order], flat.reshape(len(ids), -1)[order].astype(np.float64, copy=False)

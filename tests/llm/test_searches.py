@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bitsliced_topk, permutation_ann, queries
+from pagequarry.llm import bitsliced_topk, grid, permutation_ann, queries
 
 
 def embeddings(spark, sf_dir):
@@ -135,6 +135,34 @@ def test_default_parameters_reach_the_recall_on_hard_vectors():
     hits = 0
     for query in rows[-60:]:
         order = permutation_ann.order_of(np.append(query, 0)[None], points, permutation_ann.PREFIX)[0]
-        near = set(np.argpartition(files.footrule(order), keep - 1)[:keep].tolist())
+        near = set(permutation_ann.nearest(files.footrule(order), keep).tolist())
         hits += len(near & set(np.argsort(-(rows @ query))[:20].tolist()))
     assert hits / 1200 >= 0.9
+
+
+@pytest.mark.parametrize("prefix", [3, 10, 140])
+def test_footrule_of_the_files_is_that_of_the_orders(prefix):
+    rng = np.random.default_rng(prefix)
+    orders = np.array([rng.permutation(150)[:prefix] for _ in range(60)])
+    files = permutation_ann.InvertedFiles(orders, 150)
+    for query in orders[:10]:
+        place = [{p: i for i, p in enumerate(row)} for row in orders.tolist()]
+        want = [sum(abs(own.get(p, prefix) - i) for i, p in enumerate(query.tolist())) for own in place]
+        assert files.footrule(query).tolist() == want
+
+
+@pytest.mark.parametrize("values,least", [(64, 1), (400, 3), (1 << 21, 512)])
+def test_any_grid_gives_the_same_rows(spark, values, least):
+    rng = np.random.default_rng(3)
+    rows = [(i, v) for i, v in enumerate(rng.integers(-3, 4, (300, 8)).astype(float).tolist())]
+    df = grid.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding", False)
+
+    def cell(query_ids, queries, ids, block):
+        top = [(q, *x) for q, v in zip(query_ids.tolist(), queries, strict=True) for x in brute(ids, block @ v, q, 5)]
+        return tuple(np.array([t[i] for t in top]) for i in range(3))
+
+    asked = F.col("vec_id") % 10 == 0
+    found = grid.search(df, grid.shape(df, asked), asked, 5, cell, "double", values, least)
+    vecs = np.array([v for _, v in rows])
+    want = [(q, k + 1, *x) for q in range(0, 300, 10) for k, x in enumerate(brute(np.arange(300), vecs @ vecs[q], q, 5))]
+    assert sorted(map(tuple, found.collect())) == want
