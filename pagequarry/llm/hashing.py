@@ -15,10 +15,10 @@ BUFFER = 1 << BUFFER_BITS
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
-@functools.lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@functools.lru_cache(maxsize=2)
+def _tables(seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of the 256 bytes, powers of the base and of its inverse."""
-    codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+    codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed)) | np.uint64(1)
     one = np.ones(BUFFER + 1, np.uint64)
     up, down = one.copy(), one.copy()
     up[1:], down[1:] = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
@@ -38,8 +38,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Substrings:
     """Hashes of substrings of one buffer of at most ``BUFFER`` bytes."""
 
-    def __init__(self, data: np.ndarray):
-        codes, up, self.down = _tables()
+    def __init__(self, data: np.ndarray, seed: int = 0):
+        codes, up, self.down = _tables(seed)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(codes[data] * up[: len(data)], out=self.sums[1:])
 

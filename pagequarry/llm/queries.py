@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced_topk, bpe, common, licenses, line_dedup, ngram_join, packing, permutation_ann, quality, resharding, suffix_dedup
+from . import bitsliced_topk, bpe, collocations, common, licenses, line_dedup, mixing, ngram_join, packing, permutation_ann, prefix_trie, quality, resharding, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,12 +83,25 @@ def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = mixing.decide(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2)
+    return decided.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations")).drop("node", "parent")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bitsliced_topk, op2_bpe, op3_quality, op4_ngram_join, op5_packing, op6_permutation_ann, op7_licenses, op8_line_dedup, op9_suffix_dedup, op10_resharding)
+    f.__name__: f for f in (op1_bitsliced_topk, op2_bpe, op3_quality, op4_ngram_join, op5_packing, op6_permutation_ann, op7_licenses, op8_line_dedup, op9_suffix_dedup, op10_resharding, op11_mixing, op12_prefix_trie, op13_collocations)
 }
 
 #: Of the others: a BPE encoder, a trained classifier, a packer whose sequence numbers are free, an approximate index,
-#: a parser of licence expressions and a free assignment to shards have no SQL; tests hold them against brute force.
+#: a parser of licence expressions, a free assignment to shards and an iterated solution in floating numbers have no SQL; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_bitsliced_topk": """
 WITH v AS (
@@ -130,4 +143,6 @@ FROM w LEFT JOIN t ON t.class = w.class LEFT JOIN c ON c.class = w.class
 """,
     "op8_line_dedup": line_dedup.ORACLE_SQL,
     "op9_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op12_prefix_trie": prefix_trie.ORACLE_SQL,
+    "op13_collocations": collocations.ORACLE_SQL,
 }
