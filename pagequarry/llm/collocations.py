@@ -297,13 +297,14 @@ def _scored(grams: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _best(scored: DataFrame, top: int) -> DataFrame:
-    """The first ``top`` of each language. Counts by steps of the score tell what can't be among them; parts of a language are cut
-    before it comes together."""
-    step = F.floor(F.col("score") / STEPS)
-    counts = scored.groupBy("lang", step.alias("step")).agg(F.count("*").alias("n"))
-    above = Window.partitionBy("lang").orderBy(F.desc("step"))
-    lowest = counts.withColumn("before", F.sum("n").over(above) - F.col("n")).filter(F.col("before") < top).groupBy("lang").agg(F.min("step").alias("lowest"))
-    left = scored.join(lowest, "lang").filter(step >= F.col("lowest")).drop("lowest")
+    """The first ``top`` of each language. Counts by score, then by score and frequency, tell what can't be among them; parts of a language are
+    cut before it comes together. No count has more than some thousand rows a language."""
+    left, step = scored, F.floor(F.log2("a") * 16)
+    for key in (F.struct(F.floor(F.col("score") / STEPS)), F.struct("score"), F.struct("score", step)):
+        counts = left.groupBy("lang", key.alias("key")).agg(F.count("*").alias("n"))
+        above = Window.partitionBy("lang").orderBy(F.desc("key"))
+        lowest = counts.withColumn("before", F.sum("n").over(above) - F.col("n")).filter(F.col("before") < top).groupBy("lang").agg(F.min("key").alias("lowest"))
+        left = left.join(lowest, "lang").filter(key >= F.col("lowest")).drop("lowest")
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
     salted = left.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     salted = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= top).drop("rank", "salt")
