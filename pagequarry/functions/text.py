@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ SYMBOLS = {"€": "EUR", "£": "GBP", "¥": "JPY", "₹": "INR", "$": "USD"}
 CODES = ["USD", "EUR", "GBP", "JPY", "INR", "CHF", "CAD", "AUD", "SEK", "PLN"]
 COMMA_LANGS = ["de", "fr", "es", "it", "nl", "pt", "pl"]
 POINT_CURRENCIES = ["USD", "GBP", "JPY", "INR", "CAD", "AUD"]
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&euro;": "€", "&pound;": "£", "&amp;": "&"}
+#: Named entities of HTML 4 and their code points.
+ENTITIES = {**name2codepoint, "apos": 39}
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -22,10 +24,20 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    """The common named entities, ``&amp;`` last so that nothing is decoded twice."""
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Named and numeric entities, each once: ``&amp;lt;`` gives ``&lt;``. What names no character stays as it is."""
+    named = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in ENTITIES.items())), F.lit(","), F.lit(":"))
+    entity = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,9});"
+
+    def one(part: Column, at: Column) -> Column:
+        def decoded(name: Column) -> Column:
+            code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7)).otherwise(F.try_element_at(named, name)).try_cast("int")
+            valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+            char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+            return F.when((name != "") & valid, F.concat(char, F.substr(part, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), part))
+
+        return F.when(at == 0, part).otherwise(let(F.regexp_extract(part, entity, 1), decoded))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), one), "")).otherwise(text)
 
 
 def url_key(url: Column) -> Column:

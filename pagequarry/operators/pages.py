@@ -24,9 +24,9 @@ def page_latest(pages: DataFrame, key: str = "url_key", order: str = "page_id")
 def fallback_fields(html: Column) -> dict[str, Column]:
     found = lambda pattern: F.nullif(F.trim(F.regexp_extract(html, pattern, 1)), F.lit(""))
     return {
-        "title": decode_entities(found(r"(?is)<title[^>]*>([^<]*)</title")),
-        "h1": decode_entities(found(r"(?is)<h1[^>]*>([^<]*)</h1")),
-        "lang": found(r"""(?is)<html[^>]*\blang=["']?([A-Za-z-]+)"""),
+        "title": decode_entities(found(r"(?is)<title[^<>]*>([^<]*)</title")),
+        "h1": decode_entities(found(r"(?is)<h1[^<>]*>([^<]*)</h1")),
+        "lang": found(r"""(?is)<html[^<>]*\blang=["']?([A-Za-z-]+)"""),
     }
 
 

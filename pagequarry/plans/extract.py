@@ -26,10 +26,11 @@ def read_pages(pages: DataFrame, *more: str, with_fallback: bool = True) -> Data
 
 def candidates(pages: DataFrame, with_fallback: bool = True) -> DataFrame:
     """``page_id, item`` and the fields of a candidate: a row for all that each source says of each item on a page."""
-    return _exploded(read_pages(pages, with_fallback=with_fallback), "page_id")
+    return exploded(read_pages(pages, with_fallback=with_fallback), "page_id")
 
 
-def _exploded(held: DataFrame, *keys: str) -> DataFrame:
+def exploded(held: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, ``item`` and the fields of each candidate in ``found``."""
     return held.select(*keys, F.explode(products.with_items(F.col("found"))).alias("i")).select(*keys, "i.item", "i.c.*")
 
 
@@ -48,15 +49,25 @@ def extract(pages: DataFrame) -> DataFrame:
     condition are those of the first offer.
 
     Pages are read once; what goes on is narrow. A page without a ``url_key`` is its own latest version."""
-    held = read_pages(page_ops.with_url_key(pages), "url_key")
-    latest = held.groupBy("url_key", F.when(F.col("url_key").isNull(), F.col("page_id")).alias("own")).agg(F.max_by(F.struct("page_id", "lang", "found"), "page_id").alias("p"))
-    rows = _exploded(latest.select("url_key", "p.*"), "url_key", "page_id", "lang")
+    return products_of(latest_of(read_pages(page_ops.with_url_key(pages), "url_key")))
+
+
+def latest_of(held: DataFrame) -> DataFrame:
+    """``url_key, page_id, lang, found`` of the latest version of each page."""
+    own = F.when(F.col("url_key").isNull(), F.col("page_id")).alias("own")
+    latest = held.groupBy("url_key", own).agg(F.max_by(F.struct("page_id", "lang", "found"), "page_id").alias("p"))
+    return latest.select("url_key", "p.*")
+
+
+def products_of(latest: DataFrame) -> DataFrame:
+    """The products of pages that have been read, merged over sources and freed of repeats."""
+    rows = exploded(latest, "url_key", "page_id", "lang")
     merged = products.merge_sources(rows, ["url_key", "page_id", "lang", "item"])
     lang = F.col("lang")
     first = F.struct(*OF_OFFER)
     merged = merged.withColumns({"first": let(first, lambda o: _offer(o, lang)), "offers": F.transform(F.coalesce("offers", F.array()), lambda o: _offer(o, lang)), "image_urls": F.coalesce("image_urls", F.array())})
     coded = merged.select("url_key", "page_id", "item", *[f for f in products.FIELDS if f not in OF_OFFER], "first.*", *products.LISTS, "sources")
-    one = products.product_dedup(coded, products.identity(coded, ["name", "brand", "url_key"]), "page_id,item")
+    one = products.product_dedup(coded, products.identity(coded, ["name", "brand", "sku", "url_key"]), "page_id,item")
     return one.select("url_key", *products.FIELDS, *products.LISTS, "sources")
 
 

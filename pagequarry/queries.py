@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text
-from pagequarry.operators import embedded, pages as page_ops, products
-from pagequarry.plans import extract as plan
-from pagequarry.sources.pages import gtin13, listings, page_scan, rendered
+from pagequarry.operators import closure, embedded, pages as page_ops, prices, products
+from pagequarry.plans import extract as plan, incremental
+from pagequarry.shared import fresh_path
+from pagequarry.sources.pages import catalogues, gtin13, listings, page_scan, rendered
 from pagequarry.streaming.extract import extract_stream
+from pagequarry.streaming.products import latest_stream, stream_products
 
 
 def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,15 +126,77 @@ def extract_listings(spark, sf_dir):
     return _shown(plan.extract(listings(_part(spark, sf_dir))))
 
 
+def _one_file(table: str, sf_dir: str) -> str:
+    """A pattern may name a file or a folder, a plain path only a folder."""
+    return f"{sf_dir}/[{table[0]}]{table[1:]}.parquet"
+
+
 def extract_stream_query(spark, sf_dir):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    pages = f"{sf_dir}/[p]ages.parquet"  # a pattern may name a file or a folder, a plain path only a folder
-    extract_stream(spark, pages, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    at = fresh_path(spark, "stream")
+    extract_stream(spark, _one_file("pages", sf_dir), f"{at}/out", f"{at}/checkpoint").awaitTermination()
     held = spark.read.parquet(f"{at}/out")
     return held.select("page_id", "title", "h1", "lang", F.size("found").alias("n_found"))
 
 
+def product_stream(spark, sf_dir):
+    """Pages with products, in eight files, as two versions each, the older one among the later files too; the stream ends half-way and is started again."""
+    at = fresh_path(spark, "products")
+    new = _rendered(spark, sf_dir, "jsonld")
+    old = new.withColumns({"page_id": F.col("page_id") - 1_000_000_000, "html": F.replace("html", F.lit('"name":"'), F.lit('"name":"Old '))})
+    both = new.unionByName(old)
+    for half in (0, 1):
+        both.filter(F.pmod(F.xxhash64("page_id"), F.lit(2)) == half).repartition(4, "page_id").write.mode("append").parquet(f"{at}/pages")
+        latest_stream(spark, f"{at}/pages", f"{at}/sink", f"{at}/checkpoint", files_per_batch=2).awaitTermination()
+    return _shown(stream_products(spark, f"{at}/sink"))
+
+
+def nested_products(spark, sf_dir):
+    found = plan.extract(catalogues(_part(spark, sf_dir)))
+    return found.select("url_key", "sku", "name", "brand", F.col("price").cast("double").alias("price"), "currency", F.get("image_urls", F.lit(0)).alias("image"))
+
+
+def identity_closure(spark, sf_dir):
+    key = F.col("p_partkey")
+    sku = F.when(key % 7 != 0, F.expr("(p_partkey + 1) div 2").cast("string"))
+    parts = _part(spark, sf_dir).select("p_partkey", gtin13(F.expr("p_partkey div 2")).alias("gtin"), sku.alias("sku"), F.lit("House").alias("brand"))
+    return closure.identity_closure(parts, "p_partkey")
+
+
+def incremental_extract(spark, sf_dir):
+    """The first run knows pages with other prices for every tenth part, and one page that is gone since."""
+    pages = _rendered(spark, sf_dir, "jsonld")
+    other = F.when(F.col("page_id") % 10 == 0, F.replace("html", F.lit('"price":"'), F.lit('"price":"9'))).otherwise(F.col("html"))
+    gone = pages.limit(1).withColumns({"page_id": F.lit(-1).cast("long"), "url": F.lit("https://gone.example/1")})
+    path = fresh_path(spark, "manifest")
+    incremental.update_manifest(pages.withColumn("html", other).unionByName(gone)).write.parquet(path)
+    return _shown(incremental.products_now(incremental.update_manifest(pages, spark.read.parquet(path))))
+
+
+def quality_rollup(spark, sf_dir):
+    shown = _rendered(spark, sf_dir, "mixed")
+    host = F.regexp_extract("url", "//(?:www[.])?([^/]+)", 1)
+    found = plan.exploded(plan.read_pages(shown, "url", with_fallback=False), "page_id", "url")
+    return prices.quality_rollup(found.withColumn("host", host), ["sku", "name", "price"])
+
+
+def price_neighbours(spark, sf_dir):
+    near = prices.price_neighbours(_part(spark, sf_dir), ["p_brand", "p_type"], "p_retailprice", 500)
+    return near.select("p_partkey", "n_near", F.round("mean_near", 4).alias("mean_near"), "n_below")
+
+
+def near_prices(spark, sf_dir):
+    return prices.near_prices(_part(spark, sf_dir), "p_partkey", ["p_name", "p_brand"], "p_retailprice", 1.01)
+
+
+def page_quality(spark, sf_dir):
+    """Counts of all hosts and pages that gave nothing, of real pages and rendered ones together."""
+    pages = page_scan(spark, sf_dir).unionByName(_rendered(spark, sf_dir, "jsonld").withColumn("page_id", F.col("page_id") + 10**9))
+    held = plan.exploded(plan.read_pages(pages, "url", with_fallback=False), "page_id", "url")
+    rates, empty = plan.quality(pages, held.select("page_id", "url", "sku", "name", "price"))
+    host = F.regexp_replace(F.lower(F.try_parse_url("url", F.lit("HOST"))), r"^(?:www|m)\.", "").alias("host")
+    return rates.select("host", "pages", "with_sku", "with_name").join(empty.groupBy(host).agg(F.count("*").alias("without")), "host", "left").na.fill(0, ["without"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "extract": extract,
     "extract_listings": extract_listings,
@@ -156,6 +219,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fill_rate_products": fill_rate_products,
     "no_product_pages": no_product_pages,
     "extract_stream": extract_stream_query,
+    "product_stream": product_stream,
+    "nested_products": nested_products,
+    "identity_closure": identity_closure,
+    "incremental_extract": incremental_extract,
+    "quality_rollup": quality_rollup,
+    "price_neighbours": price_neighbours,
+    "near_prices": near_prices,
+    "page_quality": page_quality,
 }
 
 _HOST = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^(www|m)\\.', '')"
@@ -176,9 +247,11 @@ _EXTRACTED = f"""'P' || p_partkey AS sku, {_GTIN} AS gtin, p_name AS name, p_bra
   CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) AS price, 'USD' AS currency,
   CASE WHEN p_size % 2 = 0 THEN 'IN_STOCK' ELSE 'OUT_OF_STOCK' END AS availability, 'NEW' AS condition, {_IMAGE} AS images"""
 
+_EXTRACT = f"""SELECT 'shop' || (p_partkey % 7) || '.example.com/p/' || p_partkey AS url_key, {_EXTRACTED},
+  CASE WHEN p_partkey % 4 = 3 THEN 2 ELSE 1 END::INTEGER AS n_offers, 'fallback,jsonld' AS sources FROM part"""
+
 ORACLE_SQL: dict[str, str] = {
-    "extract": f"""SELECT 'shop' || (p_partkey % 7) || '.example.com/p/' || p_partkey AS url_key, {_EXTRACTED},
-  CASE WHEN p_partkey % 4 = 3 THEN 2 ELSE 1 END::INTEGER AS n_offers, 'fallback,jsonld' AS sources FROM part""",
+    "extract": _EXTRACT,
     "extract_listings": f"""SELECT 'shop.example.com/list/' || (p_partkey // 2) AS url_key, {_EXTRACTED},
   1::INTEGER AS n_offers, CASE WHEN count(*) OVER (PARTITION BY p_partkey // 2) > 1 THEN 'jsonld' ELSE 'fallback,jsonld,meta' END AS sources FROM part""",
     "page_scan": "SELECT page_id, url FROM pages",
@@ -209,4 +282,30 @@ FROM part WHERE p_partkey % 3 <= 1 OR p_partkey % 2 = 0""",
   count(*) FILTER (WHERE p_partkey % 3 = 0) / CAST(count(*) FILTER (WHERE p_partkey % 3 <= 1 OR p_partkey % 2 = 0) AS DOUBLE) AS share_sku, 1.0::DOUBLE AS share_name, 1.0::DOUBLE AS share_price FROM part GROUP BY 1""",
     "no_product_pages": "SELECT page_id, url FROM pages",
     "extract_stream": f"SELECT *, 0::INTEGER AS n_found FROM ({_FALLBACK})",
+    "product_stream": _EXTRACT,
+    "incremental_extract": _EXTRACT,
+    "nested_products": """SELECT 'katalog.example.com/' || (p_partkey // 6) AS url_key, 'P' || p_partkey AS sku, 'Réd & ' || p_name AS name,
+  CASE WHEN p_partkey % 4 < 3 THEN p_brand END AS brand, CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) AS price, 'EUR' AS currency, 'https://img.example/' || p_partkey AS image FROM part""",
+    "identity_closure": """WITH RECURSIVE p AS (
+  SELECT p_partkey AS k, CASE WHEN (p_partkey // 2) % 10 <> 0 THEN p_partkey // 2 END AS g, CASE WHEN p_partkey % 7 <> 0 THEN (p_partkey + 1) // 2 END AS s FROM part
+), e AS (
+  SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON a.g = b.g UNION SELECT a.k, b.k FROM p a JOIN p b ON a.s = b.s
+), r AS (
+  SELECT k AS src, k AS dst FROM p UNION SELECT r.src, e.b FROM r JOIN e ON e.a = r.dst
+)
+SELECT src AS p_partkey, min(dst) AS product_id FROM r GROUP BY src""",
+    "quality_rollup": """WITH c AS (
+  SELECT p_partkey, 'shop' || (p_partkey % 7) || '.example.com' AS host, source FROM part, (VALUES ('jsonld'), ('microdata'), ('meta')) AS v(source)
+  WHERE CASE source WHEN 'jsonld' THEN p_partkey % 3 = 0 WHEN 'microdata' THEN p_partkey % 3 <= 1 ELSE p_partkey % 2 = 0 END
+)
+SELECT host, source, CAST(grouping(host, source) AS INTEGER) AS level, count(*) AS n, count(*) FILTER (WHERE source = 'jsonld') AS with_sku, count(*) AS with_name, count(*) AS with_price
+FROM c GROUP BY GROUPING SETS ((host, source), (host), (source), ())""",
+    "price_neighbours": """SELECT p_partkey, count(*) OVER near AS n_near, round(avg(p_retailprice) OVER near, 4) AS mean_near,
+  count(*) OVER (PARTITION BY p_brand, p_type ORDER BY CAST(round(p_retailprice * 100) AS BIGINT) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_below
+FROM part WINDOW near AS (PARTITION BY p_brand, p_type ORDER BY CAST(round(p_retailprice * 100) AS BIGINT) RANGE BETWEEN 500 PRECEDING AND 500 FOLLOWING)""",
+    "near_prices": """WITH f AS (SELECT p_name, p_brand, p_retailprice AS price, min(p_partkey) AS id FROM part WHERE p_retailprice > 0 GROUP BY ALL)
+SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM f a JOIN f b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.price < b.price AND b.price <= a.price * 1.01::DOUBLE""",
+    "page_quality": f"""WITH h AS (SELECT {_HOST} AS host, count(*) AS pages, count(*) AS without FROM pages GROUP BY 1)
+SELECT host, pages, 0::BIGINT AS with_sku, 0::BIGINT AS with_name, without FROM h
+UNION ALL SELECT 'shop' || (p_partkey % 7) || '.example.com', count(*), count(*), count(*), 0 FROM part GROUP BY 1""",
 }

@@ -89,3 +89,30 @@ def listings(part: DataFrame, per_page: int = 2) -> DataFrame:
     head = '<html lang="en"><head><title>All we have</title><meta property="og:title" content="A list"><meta property="product:price:amount" content="1"></head><body><script type="application/ld+json">['
     url = F.concat(F.lit("https://www.shop.example.com/list/"), F.col("page_id"))
     return pages.select("page_id", url.alias("url"), F.concat(F.lit(head), "blocks", F.lit("]</script></body></html>")).alias("html"))
+
+
+def catalogues(part: DataFrame, groups: int = 2, variants: int = 3) -> DataFrame:
+    """``page_id, url, html``: German pages, each an ``ItemList`` of groups, each with its variants as products, written in the ways that shops differ in
+    by key: brand as text, object, list or object without a name; image as text, list or object; price in the offer, as the lowest of a
+    range or in a specification; type as word, address or list; entities in the name."""
+    key = F.col("p_partkey")
+    way = lambda n, *values: F.element_at(F.array(*values), (key % n + 1).cast("int"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    said = lambda text, *values: F.format_string(text, *values)
+    price = F.concat(_price(), F.lit("0"))  # three digits after the point
+    brand = way(4, quoted("p_brand"), said('{"@type":"Brand","name":"%s"}', "p_brand"), said('[{"@type":"Brand","name":"%s"},{"name":"other"}]', "p_brand"), F.lit('{"@type":"Brand"}'))
+    image = way(3, said('"https://img.example/%d"', key), said('["https://img.example/%d","https://img.example/more"]', key), said('{"@type":"ImageObject","url":"https://img.example/%d"}', key))
+    offer = way(
+        3,
+        said('{"@type":"Offer","price":"%s","priceCurrency":"EUR"}', price),
+        said('{"@type":"AggregateOffer","lowPrice":%s,"highPrice":99999.5,"priceCurrency":"EUR"}', price),
+        said('{"@type":"Offer","priceSpecification":[{"price":"%s","priceCurrency":"EUR"}]}', price),
+    )
+    kind = way(4, F.lit('"Product"'), F.lit('"https://schema.org/Product"'), F.lit('["http://schema.org/Product","Thing"]'), F.lit('"schema:Product"'))
+    product = said('{"@type":%s,"sku":"P%d","name":"&#82;&eacute;d &amp; %s","brand":%s,"image":%s,"offers":%s}', kind, key, "p_name", brand, image, offer)
+    group = part.select(F.expr(f"p_partkey div {groups * variants}").alias("page_id"), F.expr(f"p_partkey div {variants}").alias("own"), product.alias("product"))
+    group = group.groupBy("page_id", "own").agg(F.array_join(F.array_sort(F.collect_list("product")), ",").alias("variants"))
+    listed = F.concat(F.lit('{"@type":"ListItem","item":{"@type":"ProductGroup","name":"a group","hasVariant":['), "variants", F.lit("]}}"))
+    pages = group.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(listed)), ",").alias("items"))
+    head = '<html lang="de"><head><title>Katalog</title></head><body><script type="application/ld+json">{"@type":"WebPage","mainEntity":{"@type":"ItemList","itemListElement":['
+    return pages.select("page_id", F.concat(F.lit("https://katalog.example.com/"), F.col("page_id")).alias("url"), F.concat(F.lit(head), "items", F.lit("]}}</script></body></html>")).alias("html"))
