@@ -64,6 +64,26 @@ PERMISSION = [
 ]
 UNKNOWN = 0.5
 
+# Identifiers of the public list that stand without a version, and the families that a version follows. With them a word of prose is never
+# taken for a licence.
+BARE = {
+    "0bsd", "aal", "adsl", "antlr-pd", "apafml", "bahyph", "barr", "beerware", "bitstream-vera", "borceux", "bzip2-1", "caldera", "clartistic", "condor", "crossword", "crystalstacker", "cube", "curl", "diffmark", "doc",
+    "dotseqn", "dsdp", "dvipdfm", "egenix", "eurosym", "fair", "freeimage", "fsfap", "fsful", "fsfullr", "ftl", "giftware", "gl2ps", "glide", "glulxe", "gnuplot", "haskellreport", "hpnd", "icu", "ijg", "imagemagick",
+    "imatix", "imlib2", "info-zip", "intel", "intel-acpi", "ipa", "isc", "jasper-2", "json", "latex2e", "leptonica", "libpng", "libpng-2.0", "libtiff", "linux-openib", "makeindex", "miros", "mit", "mit-0", "mit-advertising",
+    "mit-cmu", "mit-enna", "mit-feh", "mit-modern-variant", "mitnfa", "motosoto", "mpich2", "ms-pl", "ms-rl", "mtll", "multics", "mup", "naumen", "ncsa", "net-snmp", "netcdf", "newsletr", "ngpl", "nlpl", "noassertion",
+    "nokia", "none", "noweb", "nrl", "ntp", "oml", "openssl", "plexus", "postgresql", "psfrag", "psutils", "qhull", "rdisc", "rsa-md", "ruby", "saxpath", "scea", "sendmail", "sleepycat", "smppl", "snia", "swl", "tcl",
+    "tcp-wrappers", "tmate", "unlicense", "vim", "vostrom", "w3c", "wsuipa", "wtfpl", "x11", "xerox", "xinetd", "xnet", "xpp", "xskat", "zed", "zlib", "zlib-acknowledgement",
+}
+FAMILIES = {
+    "afl", "agpl", "apache", "apl", "apsl", "artistic", "bittorrent", "blueoak", "bsd", "bsl", "busl", "bzip2", "catosl", "cc0", "cc-by", "cc-by-nc", "cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nd", "cc-by-sa", "cddl", "cdla-permissive",
+    "cdla-sharing", "cecill", "cnri-python", "cpal", "cpl", "cpol", "cua-opl", "ecl", "efl", "elastic", "entessa", "epl", "erlpl", "etalab", "eudatagrid", "eupl", "frameworx", "gfdl", "gpl", "gsoap", "hippocratic", "ipl", "jasper",
+    "lgpl", "lgpllr", "lpl", "lppl", "mpl", "mulanpsl", "nasa", "nbpl", "nosl", "npl", "nposl", "oclc", "odbl", "odc-by", "ofl", "ogc", "ogl-uk", "oldap", "osl", "oset-pl", "pddl", "php", "polyform-noncommercial", "polyform-small-business",
+    "psf", "python", "qpl", "rhecos", "rpl", "rpsl", "rscpl", "sgi-b", "simpl", "sissl", "spl", "sspl", "sugarcrm", "tosl", "unicode-dfs", "unicode", "upl", "vsl", "w3c", "watcom", "ypl", "zimbra", "zpl",
+}
+#: Those that are plain words too count only as the first of an expression.
+PLAIN = {"barr", "caldera", "condor", "crossword", "cube", "curl", "doc", "fair", "glide", "intel", "json", "none", "plexus", "ruby", "vim", "zed"}
+EXCEPTION = re.compile(r"[a-z0-9.+-]*-(?:exception|note)(?:-[0-9.]+)?")
+
 TAG = "spdx license identifier"
 TAG_LINE = re.compile(r"spdx-license-identifier[ \t]*:")
 TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]*")
@@ -113,9 +133,17 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
     return out + stack[::-1]
 
 
+def is_identifier(token: str) -> bool:
+    """Whether a token in lower case is a licence's identifier: a known one, one of a known family with its version, or a reference."""
+    if token in BARE or token.startswith(("licenseref-", "documentref-")):
+        return True
+    head = token[: m.start()] if (m := re.search(r"-[0-9]", token)) else ""
+    return head in FAMILIES
+
+
 def tag_tokens(text: str, at: int) -> list[str]:
     """The expression that follows a tag on its line: its longest well-formed prefix of tokens parted by blanks only, up to an
-    operand after an operand. Where the line ends before the expression does, all its tokens."""
+    operand after an operand or one that no licence has as its identifier (after ``with``, no exception). Where the line ends before the expression does, all its tokens."""
     tokens: list[str] = []
     depth = whole = 0
     operand_next = True
@@ -123,6 +151,8 @@ def tag_tokens(text: str, at: int) -> list[str]:
         t = m[1].rstrip(".:-")  # a sentence may end here
         if operand_next == (t in OPERATORS or t == ")") or (t == ")" and not depth):
             return tokens[:whole] or tokens
+        if t not in OPERATORS and t not in "()" and not (EXCEPTION.fullmatch(t) if tokens and tokens[-1] == "with" else is_identifier(t) and not (t in PLAIN and set(tokens) - {"("})):
+            return tokens[:whole]
         depth += (t == "(") - (t == ")")
         operand_next = t == "(" or t in OPERATORS
         tokens.append(t)
@@ -242,7 +272,7 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, notices: dict[str,
     Null text counts as empty: no words, no labels, null places, score 0. Texts are scanned whole.
     Repeated rows give repeated results; null ids stay; an empty table gives an empty result; other
     columns are ignored. Phrases may overlap, and every place counts. Words after a tag's expression don't belong to it. A tag whose expression is malformed
-    gives its identifiers as labels and no value. No shuffle.
+    gives its identifiers as labels and no value. Words that are no identifiers end an expression and are never labels. No shuffle.
     """
     key = tuple((BASE if base is None else base).items()), tuple((NOTICES if notices is None else notices).items())
 

@@ -63,7 +63,15 @@ def test_query_matches_brute_force(spark, sf_dir, documents):
     ("text", "labels", "score"),
     [
         ("SPDX-License-Identifier: MIT Copyright 2020 Foo", {"mit"}, 0.9),
-        ("see SPDX-License-Identifier: (MIT OR GPL-3.0-only) and then more words follow", {"mit", "gpl-3.0-only", "then"}, 0.5),
+        ("see SPDX-License-Identifier: (MIT OR GPL-3.0-only) and then more words follow", {"mit", "gpl-3.0-only"}, 0.9),
+        ("SPDX-License-Identifier: MIT and then read on", {"mit"}, 0.9),
+        ("the SPDX-License-Identifier: the tag we use", set(), 0.0),
+        ("SPDX-License-Identifier: GPL-3.0+ or whatever you like", {"gpl-3.0+"}, 0.5),
+        ("SPDX-License-Identifier: (MIT or python code", set(), 0.0),
+        ("SPDX-License-Identifier: BSD-3-Clause AND (Apache-2.0 OR CC-BY-SA-4.0) text", {"bsd-3-clause", "apache-2.0", "cc-by-sa-4.0"}, 0.9),
+        ("SPDX-License-Identifier: MIT or none of these", {"mit"}, 0.9),
+        ("SPDX-License-Identifier: Ruby", {"ruby"}, 0.5),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH pleasure", {"gpl-2.0-only"}, 0.5),
         ("SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception This file is free", {"gpl-2.0"}, 0.75),
         ("SPDX-License-Identifier: MIT. Copyright", {"mit"}, 0.9),
         ("/* SPDX-License-Identifier: MIT */ SPDX-License-Identifier: GPL-3.0-only text", {"mit", "gpl-3.0-only"}, 0.5),
