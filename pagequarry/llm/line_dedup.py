@@ -35,7 +35,7 @@ def _marked(docs: DataFrame, window: int) -> DataFrame:
     later = windows.join(first, ["a", "b"]).filter(place != F.col("first"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set("at"), lambda p: F.sequence(p, p + (window - 1))))))
     # written for the same reason: a row repeated very often meets it in the join below
-    gone = common.kept(later.groupBy("id", "print").agg(covered.alias("gone")), "gone")
+    gone = common.kept(later.groupBy("id", "print").agg(covered.alias("gone")), "gone").hint("merge")  # one plan at every size
     # lines are split again after the join, so that the shuffle carries each text once
     return own.drop("lines").join(gone, ["id", "print"], "left").select("row", F.split("row.text", "\n").alias("lines"), "gone")
 
