@@ -128,17 +128,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
 
     All candidates come back where there are fewer than k. Ties go to the smaller id. Null vectors and
     those with null or non-finite components take no part, as queries or candidates; the same holds for null ids, empty vectors and
-    vectors of another length than most. Components may be of any size; a score among the best that doesn't fit a long is an error. A repeated id counts once, with its smallest vector. An empty table gives an empty result.
+    vectors of another length than most. Components may be of any size; a score among the best that doesn't fit a long is an error. Rows that repeat an id are rows of their own: each takes part, as a
+    query too, and only the row itself is left out of its candidates. An empty table gives an empty result.
     """
 
-    def cell(query_ids, queries, ids, block):
+    def cell(own, queries, block):
         index = BitSlices(quantise(block, scale))
         found = []
-        for query, weights in zip(query_ids.tolist(), quantise(queries, scale), strict=True):
+        for i, weights in enumerate(quantise(queries, scale)):
             total, constant = index.weighted(weights)
-            at = np.searchsorted(ids, query)
-            top = index.top_k(total, k, int(at) if at < len(ids) and ids[at] == query else None)
-            found.append((np.full(len(top), query), ids[top], index.sums(total, constant, top)))
+            top = index.top_k(total, k, int(own[i]) if own[i] >= 0 else None)
+            found.append((np.full(len(top), i), top, index.sums(total, constant, top)))
         return tuple(map(np.concatenate, zip(*found, strict=True)))
 
     rows = grid.usable(vectors, id_col, vec_col, nonzero=False)
