@@ -285,17 +285,31 @@ PATHS = {
 }
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(name, T.StringType()) for name in PATHS])))
+def _items_of(text: str | None) -> list[dict[str, str | None]]:
+    if text is None:
+        return []
+    parser = _Items()
+    parser.feed(text)
+    found = [{k: "".join(v).strip() for k, v in p.items()} for p in parser.products]
+    return [{name: next((p[k] for k in keys if p.get(k)), None) for name, keys in PATHS.items()} for p in found]
+
+
+_ITEM_FIELDS = [T.StructField(name, T.StringType()) for name in PATHS]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType(_ITEM_FIELDS)))
 def _nested_items(html: pd.Series) -> pd.Series:
-    def items(text: str | None) -> list[dict]:
-        if text is None:
-            return []
-        parser = _Items()
-        parser.feed(text)
-        found = [{k: "".join(v).strip() for k, v in p.items()} for p in parser.products]
-        return [{name: next((p[k] for k in keys if p.get(k)), None) for name, keys in PATHS.items()} for p in found]
+    return html.map(_items_of)
 
-    return html.map(items)
+
+@F.udtf(returnType=T.StructType([T.StructField("pos", T.IntegerType()), *_ITEM_FIELDS]), useArrow=True)
+class NestedProducts:
+    """Table function: ``pos, sku, gtin, name, ...``, a row per product scope of an html; none for a null. In SQL, once registered with
+    ``spark.udtf.register``: ``SELECT p.page_id, t.* FROM pages p, LATERAL nested_products(p.html) t``."""
+
+    def eval(self, html: str):
+        for pos, item in enumerate(_items_of(html)):
+            yield (pos, *item.values())
 
 
 def nested_candidates(html: Column) -> Column:
@@ -311,6 +325,13 @@ def microdata_nested(pages: DataFrame) -> DataFrame:
     return _rows(pages.filter(_scopes(F.col("html")) > 1), nested_candidates(F.col("html")))
 
 
+def nested_rows(pages: DataFrame) -> DataFrame:
+    """``page_id, pos`` and the texts of every product in nested microdata, by a lateral join with the table function: rows leave Python one by
+    one, so a page with very many products needs no array of them. Without a product a page gives no row."""
+    asked = pages.select("page_id", F.when(_scopes(F.col("html")) > 1, F.col("html")).alias("_html")).filter("_html IS NOT NULL")
+    return asked.lateralJoin(NestedProducts(F.col("_html").outer())).drop("_html")
+
+
 def meta_candidates(html: Column) -> Column:
     """Of ``og:`` and ``product:`` meta tags; of a repeated property the first counts. A page needs a price or
     any ``product:`` property with a value; plain ``og:`` pages give none."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text
-from pagequarry.operators import closure, embedded, pages as page_ops, prices, products
+from pagequarry.operators import closure, embedded, pages as page_ops, prices, products, sketches
 from pagequarry.plans import extract as plan, incremental
 from pagequarry.shared import fresh_path
 from pagequarry.sources.pages import catalogues, gtin13, listings, page_scan, rendered
@@ -188,6 +188,33 @@ def near_prices(spark, sf_dir):
     return prices.near_prices(_part(spark, sf_dir), "p_partkey", ["p_name", "p_brand"], "p_retailprice", 1.01)
 
 
+def product_sketches(spark, sf_dir):
+    """Sketches of three increments, stored and merged, against one over all rows and against the exact number of products."""
+    shown = _rendered(spark, sf_dir, "jsonld")
+    host = F.regexp_extract("url", "//(?:www[.])?([^/]+)", 1).alias("host")
+    found = plan.exploded(plan.read_pages(shown, "url", with_fallback=False), "page_id", "url").select(host, "page_id", "sku", F.col("price").try_cast("decimal(18,2)").alias("price"))
+    path = fresh_path(spark, "sketches")
+    found.write.parquet(f"{path}/found")  # html is parsed once
+    found = spark.read.parquet(f"{path}/found")
+    parts = F.pmod(F.xxhash64("page_id"), F.lit(3))
+    for i in range(3):
+        sketches.sketches(found.filter(parts == i), ["host"], "sku", "price").write.parquet(f"{path}/sketches/part={i}")
+    held = found.groupBy("host").agg(F.count_distinct("sku").alias("n_items"))
+    whole = sketches.sketches(found, ["host"], "sku", "price").select("host", sketches.distinct_items(F.col("items")).alias("of_whole"))
+    merged = sketches.merge_sketches(spark.read.parquet(f"{path}/sketches"), ["host"]).join(held, "host").join(whole, "host")
+    estimate = sketches.distinct_items(F.col("items"))
+    return merged.select(
+        "host", "n", "n_items", (estimate == F.col("of_whole")).alias("as_whole"), (F.abs(estimate - F.col("n_items")) <= 0.05 * F.col("n_items")).alias("near"),
+        *[sketches.quantile(F.col("prices"), share).alias(name) for name, share in {"low": 0.1, "median": 0.5, "high": 0.9}.items()],
+    )
+
+
+def nested_rows(spark, sf_dir):
+    """The table function as SQL calls it."""
+    spark.udtf.register("nested_products", embedded.NestedProducts)
+    return spark.sql("SELECT p.page_id, t.pos, t.name, t.brand, CAST(try_cast(t.price AS decimal(18,2)) AS double) AS price FROM {pages} p, LATERAL nested_products(p.html) t", pages=_rendered(spark, sf_dir, "nested"))
+
+
 def page_quality(spark, sf_dir):
     """Counts of all hosts and pages that gave nothing, of real pages and rendered ones together."""
     pages = page_scan(spark, sf_dir).unionByName(_rendered(spark, sf_dir, "jsonld").withColumn("page_id", F.col("page_id") + 10**9))
@@ -227,6 +254,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "price_neighbours": price_neighbours,
     "near_prices": near_prices,
     "page_quality": page_quality,
+    "product_sketches": product_sketches,
+    "nested_rows": nested_rows,
 }
 
 _HOST = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^(www|m)\\.', '')"
@@ -308,4 +337,15 @@ SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM f a JOIN f b ON a.
     "page_quality": f"""WITH h AS (SELECT {_HOST} AS host, count(*) AS pages, count(*) AS without FROM pages GROUP BY 1)
 SELECT host, pages, 0::BIGINT AS with_sku, 0::BIGINT AS with_name, without FROM h
 UNION ALL SELECT 'shop' || (p_partkey % 7) || '.example.com', count(*), count(*), count(*), 0 FROM part GROUP BY 1""",
+    "product_sketches": """WITH p AS (
+  SELECT 'shop' || (p_partkey % 7) || '.example.com' AS host, p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS h FROM part
+), u AS (
+  SELECT *, CAST(power(10, greatest(length(CAST(h AS VARCHAR)) - 3, 0)) AS BIGINT) AS unit FROM p
+), b AS (
+  SELECT host, p_partkey, (h + unit // 2) // unit * unit AS bin FROM u
+)
+SELECT host, count(*) AS n, count(DISTINCT p_partkey) AS n_items, true AS as_whole, true AS near,
+  quantile_disc(bin, 0.1) / 100 AS low, quantile_disc(bin, 0.5) / 100 AS median, quantile_disc(bin, 0.9) / 100 AS high
+FROM b GROUP BY host""",
+    "nested_rows": "SELECT p_partkey AS page_id, 0::INTEGER AS pos, p_name AS name, p_brand AS brand, CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) AS price FROM part",
 }
