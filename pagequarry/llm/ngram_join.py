@@ -4,8 +4,10 @@ Documents are sets of word shingles. Shingles that occur in one text only can ne
 of a set is its size and its shared shingles, ordered from rare to frequent. Two sets that are similar enough
 share one of the first few of that order (the prefix). Texts with the same prefix and size form one group.
 
-* Equal texts are one class. A task deals its texts into units of bounded size; their shingles go, packed 8 bytes each with their place
-  in the unit, to a bucket by hash, where those of one text fall out; the shared ones go back to their unit, which has its classes, and give the lists.
+* Equal texts are one class. A task deals its texts into units of bounded size. Shingles that one text of the unit has go, packed 8 bytes each with
+  their place in the unit, to a bucket by hash, where those of one text alone fall out; the others go back to their unit, which has its classes, and give the lists.
+  Shingles that several texts of the unit have go there directly; to the bucket goes one entry with their number, and back comes the number of all. So
+  however many texts hold a shingle, its bucket gets one entry a unit.
 * Leaders: of every group the first member, of every prefix shingle's groups the one with the fewest unshared shingles.
   Members are verified against their group's leader, groups against their shingle's. That is a pair or two a
   row, and joins nearly all that belong together.
@@ -14,8 +16,7 @@ share one of the first few of that order (the prefix). Texts with the same prefi
   position and bitmap, expanded to members, and verified on whole lists. So a large group of near copies isn't joined all against all, and
   no link that would connect two texts is lost.
 
-Shingles that a ``1 / HOT_SHARE`` part of all texts hold are found beforehand by local counts and never sent to
-one bucket: their frequency is known, so they go straight to their class. Shingles are compared by 48 bits of hash.
+Shingles are compared by 48 bits of hash.
 """
 
 from __future__ import annotations
@@ -36,23 +37,22 @@ from .hashing import mix, shingles
 SHINGLES_PER_BUCKET = 1 << 20
 UNIT_SHINGLES = 1 << 20
 UNIT_TEXTS = 1 << 15
-HOT_SHARE = 256
-LEAST_HOT = 64
-MOST_HOT = 250_000
 BITMAP_WORDS = 16
+MOST_COUNTED = 2**32 - 1  # more frequent shingles count as equally frequent, everywhere alike
 
-PACKED = "bucket int, unit long, classes binary, data binary"
-_PACKED = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("classes", pa.binary()), ("data", pa.binary())])
+#: ``data``: shingles that one text of the unit has; ``common``: those that several have.
+PACKED = "bucket int, unit long, classes binary, data binary, common binary"
+_PACKED = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("classes", pa.binary()), ("data", pa.binary()), ("common", pa.binary())])
 
 
-def _packed(bucket: list[int], unit: list[int], classes: list[bytes], data: list[bytes]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(bucket, pa.int32()), pa.array(unit, pa.int64()), pa.array(classes, pa.binary()), pa.array(data, pa.binary())], schema=_PACKED)
+def _packed(bucket: list[int], unit: list[int], classes: list[bytes], data: list[bytes], common: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(x, t) for x, t in zip([bucket, unit, classes, data, common], _PACKED.types, strict=True)], schema=_PACKED)
 
 
 def _pack(token: np.ndarray, place: np.ndarray, count: np.ndarray | None = None) -> bytes:
     """6-byte shingles by byte plane, the place of each one's text in its unit, and how many texts have it."""
     planes = token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T
-    return planes.tobytes() + place.astype("<u2").tobytes() + (b"" if count is None else count.astype("<u4").tobytes())
+    return planes.tobytes() + place.astype("<u2").tobytes() + (b"" if count is None else np.minimum(count, MOST_COUNTED).astype("<u4").tobytes())
 
 
 def _unpack(data: bytes, width: int) -> tuple[np.ndarray, ...]:
@@ -70,7 +70,7 @@ def _cuts(values: np.ndarray) -> list[tuple[int, int]]:
     return list(pairwise(edges))
 
 
-def _units(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+def _units(batches: Iterator[pa.RecordBatch], size: int, most_texts: int, most_shingles: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
     """Classes, set sizes and sets of a bounded number of texts at a time, each class once."""
     held: dict[int, np.ndarray] = {}
     n = 0
@@ -80,9 +80,9 @@ def _units(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.nd
                 if own not in held:
                     held[own] = shingles(text, size)
                     n += len(held[own])
-            if n >= UNIT_SHINGLES or len(held) >= UNIT_TEXTS:
-                yield _unit(held)
-                held, n = {}, 0
+                if n >= most_shingles or len(held) >= most_texts:
+                    yield _unit(held)
+                    held, n = {}, 0
     if held:
         yield _unit(held)
 
@@ -91,18 +91,14 @@ def _unit(held: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.
     return np.array(list(held), np.int64), np.array([len(s) for s in held.values()], np.int64), [s >> np.uint64(16) for s in held.values()]
 
 
-def _survey(texts: DataFrame, size: int) -> DataFrame:
-    """``class, n`` of every text, and ``shingle, n`` of those that are frequent where they are (class null)."""
+def _set_sizes(texts: DataFrame, size: int, limits: tuple[int, int]) -> DataFrame:
+    """``class, n`` of every text, equal ones once a unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for classes, sizes, sets in _units(batches, size):
-            token, n = np.unique(np.concatenate(sets), return_counts=True)
-            often = n >= max(2, len(sets) / (2 * HOT_SHARE))
-            none = pa.nulls(int(often.sum()), pa.int64())
-            yield pa.record_batch([pa.array(classes), pa.nulls(len(classes), pa.int64()), pa.array(sizes)], names=["class", "shingle", "n"])
-            yield pa.record_batch([none, pa.array(token[often].astype(np.int64)), pa.array(n[often])], names=["class", "shingle", "n"])
+        for classes, sizes, _ in _units(batches, size, *limits):
+            yield pa.record_batch([pa.array(classes), pa.array(sizes)], names=["class", "n"])
 
-    return texts.mapInArrow(run, "class long, shingle long, n long")
+    return texts.mapInArrow(run, "class long, n long")
 
 
 def _home(unit: int, buckets: int) -> int:
@@ -110,24 +106,29 @@ def _home(unit: int, buckets: int) -> int:
     return -1 - int(mix(np.array([unit], np.uint64))[0] % np.uint64(buckets))
 
 
-def _scatter(texts: DataFrame, size: int, buckets: int, hot) -> DataFrame:
-    """Every unit's shingles to their buckets; its classes, set sizes and hot shingles to its own."""
+def _scatter(texts: DataFrame, size: int, buckets: int, limits: tuple[int, int]) -> DataFrame:
+    """Every unit's shingles to their buckets; its classes, set sizes and the shingles that several of its texts have to its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = hot.value
         part = TaskContext.get().partitionId()
-        for at, (classes, sizes, sets) in enumerate(_units(batches, size)):
+        for at, (classes, sizes, sets) in enumerate(_units(batches, size, *limits)):
             unit = part << 24 | at
             token, text = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-            where = np.minimum(np.searchsorted(known, token), max(0, len(known) - 1))
-            is_hot = known[where] == token if len(known) else np.zeros(len(token), bool)
-            yield _packed([_home(unit, buckets)], [unit], [classes.tobytes() + sizes.tobytes()], [_pack(token[is_hot], text[is_hot], often[where[is_hot]])])
-            token, text = token[~is_hot], text[~is_hot]
-            bucket = (token >> np.uint64(20)).astype(np.int64) % buckets
-            order = np.lexsort((token, bucket))
-            token, text, bucket = token[order], text[order], bucket[order]
-            cuts = _cuts(bucket)
-            yield _packed([int(bucket[a]) for a, _ in cuts], [unit] * len(cuts), [b""] * len(cuts), [_pack(token[a:b], text[a:b]) for a, b in cuts])
+            order = np.lexsort((token, (token >> np.uint64(20)) % np.uint64(buckets)))
+            token, text = token[order], text[order]
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])[: len(token)])
+            count = np.diff(np.append(first, len(token)))
+            several = np.repeat(count > 1, count)
+            yield _packed([_home(unit, buckets)], [unit], [classes.tobytes() + sizes.tobytes()], [b""], [_pack(token[several], text[several])])
+            token, text = token[first], text[first]  # of each shingle once; the place counts where it is the only one
+            cuts = _cuts((token >> np.uint64(20)) % np.uint64(buckets))
+            alone, shared = [], []
+            for a, b in cuts:
+                one = count[a:b] == 1
+                alone.append(_pack(token[a:b][one], text[a:b][one]))
+                shared.append(_pack(token[a:b][~one], text[a:b][~one], count[a:b][~one]))
+            to = [int((token[a] >> np.uint64(20)) % np.uint64(buckets)) for a, _ in cuts]
+            yield _packed(to, [unit] * len(cuts), [b""] * len(cuts), alone, shared)
 
     return texts.mapInArrow(run, PACKED)
 
@@ -138,16 +139,22 @@ def _gather(buckets: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:
             return table
-        units, rows = table.column("unit").to_numpy(), [_unpack(d, 8)[:2] for d in table.column("data").to_pylist()]
-        unit = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
-        token, place = (np.concatenate(x) for x in zip(*rows, strict=True))
-        _, back, n = np.unique(token, return_inverse=True, return_counts=True)
-        count = n[back]
-        shared = count > 1
-        token, place, count, unit = token[shared], place[shared], count[shared], unit[shared]
-        cuts = _cuts(unit)  # in the order of the rows, so already together
-        to = [int(units[unit[a]]) for a, _ in cuts]
-        return pa.Table.from_batches([_packed([_home(u, buckets) for u in to], to, [b""] * len(cuts), [_pack(token[a:b], place[a:b], count[a:b]) for a, b in cuts])], _PACKED)
+        units = table.column("unit").to_pylist()
+        alone = [_unpack(d, 8)[:2] for d in table.column("data").to_pylist()]
+        shared = [_unpack(d, 12) for d in table.column("common").to_pylist()]
+        tokens = np.concatenate([t for t, _ in alone] + [t for t, _, _ in shared])
+        counts = np.concatenate([np.ones(sum(len(t) for t, _ in alone), np.int64)] + [n for _, _, n in shared])
+        _, back = np.unique(tokens, return_inverse=True)
+        total = np.bincount(back, weights=counts).astype(np.int64)[back]
+        ends = np.cumsum([len(t) for t, _ in alone] + [len(t) for t, _, _ in shared])
+        parts = np.split(total, ends[:-1])
+        rows = []
+        for i, unit in enumerate(units):
+            (token, place), n, (own, at, _), m = alone[i], parts[i], shared[i], parts[len(units) + i]
+            held = n > 1
+            if held.any() or len(own):
+                rows.append((_home(unit, buckets), unit, b"", _pack(token[held], place[held], n[held]), _pack(own, at, m)))
+        return pa.Table.from_batches([_packed(*map(list, zip(*rows, strict=True)))] if rows else [], _PACKED)
 
     return run
 
@@ -165,7 +172,14 @@ def _lists(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
             own = table.slice(low, high - low)
             names = np.frombuffer(b"".join(own.column("classes").to_pylist()), np.int64)
             classes, sizes = names[: len(names) // 2], names[len(names) // 2 :]
-            token, place, count = (np.concatenate(x) for x in zip(*[_unpack(d, 12) for d in own.column("data").to_pylist()], strict=True))
+            found = [_unpack(d, 12) for d in own.column("data").to_pylist()]
+            known = [_unpack(d, 12)[::2] for d, c in zip(own.column("common").to_pylist(), own.column("classes").to_pylist(), strict=True) if not c]
+            shared = [_unpack(d, 8)[:2] for d, c in zip(own.column("common").to_pylist(), own.column("classes").to_pylist(), strict=True) if c]
+            if known:
+                name, total = (np.concatenate(x) for x in zip(*known, strict=True))
+                order = np.argsort(name)
+                found += [(t, at, total[order][np.searchsorted(name[order], t)]) for t, at in shared if len(t)]
+            token, place, count = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((token, count, place))
             token, place = token[order], place[order]
             for a, b in _cuts(place):
@@ -188,17 +202,13 @@ def _lists(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
 def _lists_of(texts: DataFrame, size: int, num: int, den: int, tables: common.Tables) -> tuple[DataFrame, DataFrame]:
     """``class, n`` of every class of ``texts`` (class, text), and the lists of those that can have partners. A class that
     several units have gets its list from each, all the same."""
-    survey = tables.written(_survey(texts, size), "survey")
-    sizes = survey.filter("class IS NOT NULL").select("class", "n").distinct()
-    total, volume = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    limits = (UNIT_TEXTS, UNIT_SHINGLES)
+    sizes = tables.written(tables.written(_set_sizes(texts, size, limits), "survey").distinct(), "sizes")
+    volume = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = 8 + volume // SHINGLES_PER_BUCKET
-    hot = survey.filter("class IS NULL").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(LEAST_HOT, total // HOT_SHARE))
-    known = hot.orderBy(F.desc("n"), "shingle").limit(MOST_HOT).toPandas().sort_values("shingle")
-    held = texts.sparkSession.sparkContext.broadcast((known["shingle"].to_numpy(np.int64).astype(np.uint64), known["n"].to_numpy(np.int64)))  # 4 MB at most
-
-    sent = _scatter(texts, size, buckets, held)
+    sent = _scatter(texts, size, buckets, limits)
     back = sent.groupBy("bucket").applyInArrow(_gather(buckets), PACKED)
-    return tables.written(sizes, "sizes"), tables.written(back.groupBy("bucket").applyInArrow(_lists(num, den), LISTS), "lists")
+    return sizes, tables.written(back.groupBy("bucket").applyInArrow(_lists(num, den), LISTS), "lists")
 
 
 def _may_link(num: int, den: int) -> Column:

@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from pagequarry.llm import common, components, ngram_join, queries
 
@@ -44,13 +45,28 @@ def test_matches_brute_force(documents, size, num):
     assert got == brute(list(enumerate(texts)), size, num, 100)
 
 
-def test_frequent_shingles_take_the_short_way(documents, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LEAST_HOT", 3)
+@pytest.mark.parametrize("texts_a_unit", [1, 7])
+def test_units_of_any_size(documents, monkeypatch, texts_a_unit):
+    monkeypatch.setattr(ngram_join, "UNIT_TEXTS", texts_a_unit)
     texts = near_copies()
     got = result(ngram_join.jaccard_components(documents(texts), 4, 85, 100))
     assert got == brute(list(enumerate(texts)), 4, 85, 100)
 
 
+def test_a_frequent_shingle_has_one_entry_a_unit(documents):
+    """Both ways of a shingle that all texts have: an entry a unit in its bucket, and the exact number of texts back."""
+    texts = documents([f"the very same words stand here and then {i}" for i in range(400)]).select(F.xxhash64("text").alias("class"), "text").repartition(3)
+    sent = ngram_join._scatter(texts, 4, 1, (50, 1 << 20)).filter("bucket >= 0").toArrow()
+    units = sent.num_rows
+    assert 8 <= units <= 11
+    assert sum(map(len, sent.column("common").to_pylist())) == units * 12 * 5  # the five shingles that all have
+    assert sum(map(len, sent.column("data").to_pylist())) == 400 * 8
+    back = ngram_join._gather(1)(sent)
+    assert back.num_rows == units and not any(back.column("data").to_pylist())
+    for data in back.column("common").to_pylist():
+        assert ngram_join._unpack(data, 12)[2].tolist() == [400] * 5
+
+
 def drifting(steps):
     """Near copies of one text, some beyond the threshold of most others, and chains that only neighbours link."""
     rng = random.Random(steps)
