@@ -153,6 +153,22 @@ def test_default_parameters_reach_the_recall_on_hard_vectors():
     assert hits / 1200 >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["few rows", "long vectors", "two scales", "few large ones"])
+def test_recall_where_the_orders_tell_little(spark, kind):
+    rng = np.random.default_rng(11)
+    rows = rng.normal(size={"few rows": (100, 64), "long vectors": (600, 512)}.get(kind, (1200, 64)))
+    if kind == "two scales":
+        rows[::2] *= 0.001
+    if kind == "few large ones":
+        rows[7::100] *= 50
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    hits = asked = 0
+    for r in permutation_ann.search(df, F.col("vec_id") % 20 == 0).groupBy("query_id").agg(F.collect_set("vec_id").alias("ids")).collect():
+        hits += len(set(r.ids) & {i for i, _ in brute(np.arange(len(rows)), rows @ rows[r.query_id], r.query_id, 20)})
+        asked += 20
+    assert asked == len(rows) and hits / asked >= 0.9
+
+
 @pytest.mark.parametrize("prefix,opened,window", [(3, 3, 1), (10, 6, 4), (140, 140, 200), (40, 90, 8)])
 def test_footrule_of_the_files_is_that_of_the_orders(prefix, opened, window):
     rng = np.random.default_rng(prefix)
