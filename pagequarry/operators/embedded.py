@@ -302,10 +302,12 @@ def _nested_items(html: pd.Series) -> pd.Series:
     return html.map(_items_of)
 
 
-@F.udtf(returnType=T.StructType([T.StructField("pos", T.IntegerType()), *_ITEM_FIELDS]), useArrow=True)
+@F.udtf(returnType=T.StructType([T.StructField("pos", T.IntegerType()), *_ITEM_FIELDS]), useArrow=False)
 class NestedProducts:
     """Table function: ``pos, sku, gtin, name, ...``, a row per product scope of an html; none for a null. In SQL, once registered with
-    ``spark.udtf.register``: ``SELECT p.page_id, t.* FROM pages p, LATERAL nested_products(p.html) t``."""
+    ``spark.udtf.register``: ``SELECT p.page_id, t.* FROM pages p, LATERAL nested_products(p.html) t``.
+
+    Rows travel pickled, many calls at a time: with Arrow every call, so every page, would send a record batch of its own."""
 
     def eval(self, html: str):
         for pos, item in enumerate(_items_of(html)):

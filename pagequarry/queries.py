@@ -11,7 +11,7 @@ from pagequarry.functions import text
 from pagequarry.operators import closure, embedded, pages as page_ops, prices, products, sketches
 from pagequarry.plans import extract as plan, incremental
 from pagequarry.shared import fresh_path
-from pagequarry.sources.pages import catalogues, gtin13, listings, page_scan, rendered
+from pagequarry.sources.pages import catalogues, gtin13, listings, page_scan, rendered, spread
 from pagequarry.streaming.extract import extract_stream
 from pagequarry.streaming.products import latest_stream, stream_products
 
@@ -21,7 +21,7 @@ def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rendered(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return rendered(_part(spark, sf_dir), kind)
+    return rendered(spread(_part(spark, sf_dir)), kind)
 
 
 def _decimal(name: str):
@@ -123,7 +123,7 @@ def extract(spark, sf_dir):
 
 
 def extract_listings(spark, sf_dir):
-    return _shown(plan.extract(listings(_part(spark, sf_dir))))
+    return _shown(plan.extract(listings(spread(_part(spark, sf_dir)))))
 
 
 def _one_file(table: str, sf_dir: str) -> str:
@@ -151,7 +151,7 @@ def product_stream(spark, sf_dir):
 
 
 def nested_products(spark, sf_dir):
-    found = plan.extract(catalogues(_part(spark, sf_dir)))
+    found = plan.extract(catalogues(spread(_part(spark, sf_dir))))
     return found.select("url_key", "sku", "name", "brand", F.col("price").cast("double").alias("price"), "currency", F.get("image_urls", F.lit(0)).alias("image"))
 
 

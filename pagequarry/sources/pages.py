@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PAGE = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType())])
 SHAPES = 4
+#: Rows that a task makes pages of, and how few it may get for the sake of idle cores.
+ROWS, LEAST_ROWS = 10_000, 1_000
 
 
 def page_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +51,14 @@ def _product(kind: Column, offers: Column) -> Column:
     return F.struct(kind.alias("@type"), F.concat(F.lit("P"), "p_partkey").alias("sku"), gtin13(F.col("p_partkey")).alias("gtin13"), F.col("p_name").alias("name"), brand.alias("brand"), F.concat(F.lit("A "), "p_type").alias("description"), F.concat(F.lit("https://img.example/"), "p_partkey").alias("image"), offers.alias("offers"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly over tasks whose number grows with theirs. A page costs milliseconds and the row it is made of some bytes, so splits
+    by bytes, which a scan makes, would leave millions of pages to a few tasks."""
+    n = rows.count()
+    busy = min(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / LEAST_ROWS))
+    return rows.repartition(max(1, busy, math.ceil(n / ROWS)))
+
+
 def rendered(part: DataFrame, kind: str) -> DataFrame:
     """``page_id, url, html`` with one product a page. ``kind``: ``jsonld`` (four shapes by key: object, array, graph, typed
     array with two offers), ``microdata``, ``meta``, ``nested``, ``mixed`` (fields spread over sources by key)."""
