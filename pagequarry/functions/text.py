@@ -25,6 +25,10 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Named and numeric entities, each once: ``&amp;lt;`` gives ``&lt;``. What names no character stays as it is."""
+    return let(text, _decoded)
+
+
+def _decoded(text: Column) -> Column:
     named = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in ENTITIES.items())), F.lit(","), F.lit(":"))
     entity = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,9});"
 
