@@ -218,8 +218,9 @@ def nested_rows(spark, sf_dir):
 def page_quality(spark, sf_dir):
     """Counts of all hosts and pages that gave nothing, of real pages and rendered ones together."""
     pages = page_scan(spark, sf_dir).unionByName(_rendered(spark, sf_dir, "jsonld").withColumn("page_id", F.col("page_id") + 10**9))
-    held = plan.exploded(plan.read_pages(pages, "url", with_fallback=False), "page_id", "url")
-    rates, empty = plan.quality(pages, held.select("page_id", "url", "sku", "name", "price"))
+    path = fresh_path(spark, "quality")
+    plan.exploded(plan.read_pages(pages, "url", with_fallback=False), "page_id", "url").select("page_id", "url", "sku", "name", "price").write.parquet(path)
+    rates, empty = plan.quality(pages, spark.read.parquet(path))  # html is parsed once for both
     host = F.regexp_replace(F.lower(F.try_parse_url("url", F.lit("HOST"))), r"^(?:www|m)\.", "").alias("host")
     return rates.select("host", "pages", "with_sku", "with_name").join(empty.groupBy(host).agg(F.count("*").alias("without")), "host", "left").na.fill(0, ["without"])
 
