@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -139,14 +140,17 @@ def extract_stream_query(spark, sf_dir):
 
 
 def product_stream(spark, sf_dir):
-    """Pages with products, in eight files, as two versions each, the older one among the later files too; the stream ends half-way and is started again."""
+    """Pages with products, in eight files or more, as two versions each, the older one among the later files too; the stream ends half-way and is started again.
+
+    A file is read by one task, so files, and those of a batch, grow with the pages; the batches stay four."""
     at = fresh_path(spark, "products")
     new = _rendered(spark, sf_dir, "jsonld")
     old = new.withColumns({"page_id": F.col("page_id") - 1_000_000_000, "html": F.replace("html", F.lit('"name":"'), F.lit('"name":"Old '))})
     both = new.unionByName(old)
+    files = max(4, new.rdd.getNumPartitions())
     for half in (0, 1):
-        both.filter(F.pmod(F.xxhash64("page_id"), F.lit(2)) == half).repartition(4, "page_id").write.mode("append").parquet(f"{at}/pages")
-        latest_stream(spark, f"{at}/pages", f"{at}/sink", f"{at}/checkpoint", files_per_batch=2).awaitTermination()
+        both.filter(F.pmod(F.xxhash64("page_id"), F.lit(2)) == half).repartition(files, "page_id").write.mode("append").parquet(f"{at}/pages")
+        latest_stream(spark, f"{at}/pages", f"{at}/sink", f"{at}/checkpoint", files_per_batch=math.ceil(files / 2)).awaitTermination()
     return _shown(stream_products(spark, f"{at}/sink"))
 
 

@@ -1,9 +1,14 @@
 """Work that grows with the rows, whatever their bytes: tasks for pages made of small rows, calls of the table function, passes over html."""
 
+import os
+import types
+
 import pytest
 from pyspark.sql import functions as F
 
 from pagequarry import queries
+from pagequarry.functions.text import decode_entities
+from pagequarry.sources import pages
 from pagequarry.sources.pages import spread
 
 
@@ -32,3 +37,28 @@ def test_table_function_sends_no_batch_a_page(spark, big_dir):
     found = queries.nested_rows(spark, big_dir)
     assert "ArrowEvalPythonUDTF" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 24_000
+
+
+def test_files_of_a_batch_grow_with_the_pages(spark, big_dir, monkeypatch):
+    seen = []
+
+    def recorded(spark, source, sink, checkpoint, files_per_batch):
+        seen.append((len([f for f in os.listdir(source) if f.endswith(".parquet")]), files_per_batch))
+        return types.SimpleNamespace(awaitTermination=lambda: None)
+
+    monkeypatch.setattr(pages, "ROWS", 2_000)
+    monkeypatch.setattr(queries, "latest_stream", recorded)
+    monkeypatch.setattr(queries, "stream_products", lambda *_: None)
+    monkeypatch.setattr(queries, "_shown", lambda _: None)
+    queries.product_stream(spark, big_dir)
+    assert seen == [(12, 6), (24, 6)]
+
+
+def test_page_quality_reads_the_products_once(spark, big_dir):
+    plan = queries.page_quality(spark, big_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_nested_items" not in plan
+
+
+def test_entities_work_their_text_out_once(spark):
+    found = spark.createDataFrame([("a &amp; b",)], "x string").select(decode_entities(F.upper("x")).alias("y"))
+    assert found._jdf.queryExecution().analyzed().toString().count("upper(") == 1
