@@ -12,8 +12,9 @@ KEYS = ["page_id", "print"]
 
 
 def _printed(pages: DataFrame) -> DataFrame:
-    """Pages with a digest of url and html, nulls told from empty texts."""
-    return pages.withColumn("print", F.sha2(F.to_json(F.struct("url", "html")), 256))
+    """Pages with a digest of url and html, nulls told from empty texts. It is never null, and says so: else a join by it would work it out
+    once more, to leave nulls out."""
+    return pages.withColumn("print", F.coalesce(F.sha2(F.to_json(F.struct("url", "html")), 256), F.lit("")))
 
 
 def changed_pages(pages: DataFrame, manifest: DataFrame) -> DataFrame:

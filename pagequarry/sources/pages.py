@@ -53,10 +53,13 @@ def _product(kind: Column, offers: Column) -> Column:
 
 def spread(rows: DataFrame) -> DataFrame:
     """Rows dealt evenly over tasks whose number grows with theirs. A page costs milliseconds and the row it is made of some bytes, so splits
-    by bytes, which a scan makes, would leave millions of pages to a few tasks."""
+    by bytes, which a scan makes, would leave millions of pages to a few tasks.
+
+    Later conditions on the pages stay in these tasks: one that is always true but not deterministic keeps Spark from moving them, and the
+    making of pages that they need, below the dealing into the scan."""
     n = rows.count()
     busy = min(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / LEAST_ROWS))
-    return rows.repartition(max(1, busy, math.ceil(n / ROWS)))
+    return rows.repartition(max(1, busy, math.ceil(n / ROWS))).filter(F.spark_partition_id() >= 0)
 
 
 def rendered(part: DataFrame, kind: str) -> DataFrame:

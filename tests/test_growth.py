@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagequarry import queries
 from pagequarry.functions.text import decode_entities
+from pagequarry.plans import incremental
 from pagequarry.sources import pages
 from pagequarry.sources.pages import spread
 
@@ -62,3 +63,28 @@ def test_page_quality_reads_the_products_once(spark, big_dir):
 def test_entities_work_their_text_out_once(spark):
     found = spark.createDataFrame([("a &amp; b",)], "x string").select(decode_entities(F.upper("x")).alias("y"))
     assert found._jdf.queryExecution().analyzed().toString().count("upper(") == 1
+
+
+def _dealt(found):
+    """Of each dealing in a plan, the lines from there to its scan."""
+    lines = [line.strip(" :+-") for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n")]
+    starts = [i for i, line in enumerate(lines) if line.startswith("Repartition")]
+    return [lines[i : next(j for j in range(i, len(lines)) if lines[j].startswith("Relation")) + 1] for i in starts]
+
+
+@pytest.mark.parametrize("name", ["incremental_extract", "microdata_nested", "fill_rate_products", "page_quality", "nested_rows"])
+def test_pages_are_not_made_below_the_dealing(spark, big_dir, name):
+    dealt = _dealt(queries.QUERIES[name](spark, big_dir))
+    assert dealt and not [line for below in dealt for line in below if "concat(" in line]
+
+
+def test_conditions_on_pages_stay_above_the_dealing(spark, big_dir):
+    shown = queries._rendered(spark, big_dir, "nested")
+    (below,) = _dealt(shown.filter(F.contains("html", F.lit("Brand")) & F.col("url").isNotNull()))
+    assert not [line for line in below if "concat(" in line]
+
+
+def test_print_needs_no_test_for_null(spark):
+    held = incremental._printed(spark.createDataFrame([(1, None, None), (2, "", "")], "page_id long, url string, html string"))
+    assert not held.schema["print"].nullable
+    assert len({r["print"] for r in held.collect()}) == 2
