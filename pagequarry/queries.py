@@ -106,7 +106,8 @@ def fill_rate(spark, sf_dir):
 
 def fill_rate_products(spark, sf_dir):
     shown = _rendered(spark, sf_dir, "mixed")
-    found = plan.candidates(shown, with_fallback=False).groupBy("page_id").agg(F.max("sku").alias("sku"), F.max("name").alias("name"), F.max("price").alias("price")).join(shown.select("page_id", "url"), "page_id")
+    held = plan.exploded(plan.read_pages(shown, "url", with_fallback=False), "page_id", "url")
+    found = held.groupBy("page_id", "url").agg(F.max("sku").alias("sku"), F.max("name").alias("name"), F.max("price").alias("price"))
     return page_ops.fill_rate(shown, found, ["sku", "name", "price"])
 
 

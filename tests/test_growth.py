@@ -88,3 +88,8 @@ def test_print_needs_no_test_for_null(spark):
     held = incremental._printed(spark.createDataFrame([(1, None, None), (2, "", "")], "page_id long, url string, html string"))
     assert not held.schema["print"].nullable
     assert len({r["print"] for r in held.collect()}) == 2
+
+
+def test_fill_rate_products_makes_pages_twice(spark, big_dir):
+    """For the counts of pages and for the products; not once more for their urls."""
+    assert len(_dealt(queries.fill_rate_products(spark, big_dir))) == 2
