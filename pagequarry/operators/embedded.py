@@ -324,7 +324,7 @@ def nested_candidates(html: Column) -> Column:
 
 def microdata_nested(pages: DataFrame) -> DataFrame:
     """Candidates of nested microdata."""
-    return _rows(pages.filter(_scopes(F.col("html")) > 1), nested_candidates(F.col("html")))
+    return _rows(pages, nested_candidates(F.col("html")))
 
 
 def nested_rows(pages: DataFrame) -> DataFrame:

@@ -93,3 +93,8 @@ def test_print_needs_no_test_for_null(spark):
 def test_fill_rate_products_makes_pages_twice(spark, big_dir):
     """For the counts of pages and for the products; not once more for their urls."""
     assert len(_dealt(queries.fill_rate_products(spark, big_dir))) == 2
+
+
+def test_nested_microdata_counts_scopes_once(spark, big_dir):
+    plan = queries.microdata_nested(spark, big_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("itemscope\\b") == 1
