@@ -171,7 +171,8 @@ def incremental_extract(spark, sf_dir):
     """The first run knows pages with other prices for every tenth part, and one page that is gone since."""
     pages = _rendered(spark, sf_dir, "jsonld")
     other = F.when(F.col("page_id") % 10 == 0, F.replace("html", F.lit('"price":"'), F.lit('"price":"9'))).otherwise(F.col("html"))
-    gone = pages.limit(1).withColumns({"page_id": F.lit(-1).cast("long"), "url": F.lit("https://gone.example/1")})
+    first = _part(spark, sf_dir).agg(F.min_by(F.struct("*"), "p_partkey").alias("p")).filter("p IS NOT NULL").select("p.*")  # below a limit all pages would be read
+    gone = rendered(first, "jsonld").withColumns({"page_id": F.lit(-1).cast("long"), "url": F.lit("https://gone.example/1")})
     path = fresh_path(spark, "manifest")
     incremental.update_manifest(pages.withColumn("html", other).unionByName(gone)).write.parquet(path)
     return _shown(incremental.products_now(incremental.update_manifest(pages, spark.read.parquet(path))))
