@@ -202,12 +202,11 @@ def product_sketches(spark, sf_dir):
     path = fresh_path(spark, "sketches")
     found.write.parquet(f"{path}/found")  # html is parsed once
     found = spark.read.parquet(f"{path}/found")
-    parts = F.pmod(F.xxhash64("page_id"), F.lit(3))
-    for i in range(3):
-        sketches.sketches(found.filter(parts == i), ["host"], "sku", "price").write.parquet(f"{path}/sketches/part={i}")
+    parts = sketches.sketches(found.withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(3))), ["host", "part"], "sku", "price")
+    parts.write.partitionBy("part").parquet(f"{path}/sketches")  # of all increments in one pass
     held = found.groupBy("host").agg(F.count_distinct("sku").alias("n_items"))
     whole = sketches.sketches(found, ["host"], "sku", "price").select("host", sketches.distinct_items(F.col("items")).alias("of_whole"))
-    merged = sketches.merge_sketches(spark.read.parquet(f"{path}/sketches"), ["host"]).join(held, "host").join(whole, "host")
+    merged = sketches.merge_sketches(spark.read.schema(parts.schema).parquet(f"{path}/sketches"), ["host"]).join(held, "host").join(whole, "host")
     estimate = sketches.distinct_items(F.col("items"))
     return merged.select(
         "host", "n", "n_items", (estimate == F.col("of_whole")).alias("as_whole"), (F.abs(estimate - F.col("n_items")) <= 0.05 * F.col("n_items")).alias("near"),

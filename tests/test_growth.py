@@ -115,3 +115,16 @@ def test_incremental_extract_reads_no_pages_below_a_limit(spark, big_dir, monkey
     (shown,) = seen
     assert "Limit" not in shown._jdf.queryExecution().optimizedPlan().toString()
     assert shown.filter("page_id = -1").count() == 1 and shown.count() == 24_001
+
+
+def test_product_sketches_makes_all_increments_in_one_pass(spark, tmp_path, sf_dir, monkeypatch):
+    """One grouping for the increments and one for the whole, not one an increment; no row of ``part`` gives no row."""
+    seen = []
+    real = queries.sketches.sketches
+    monkeypatch.setattr(queries.sketches, "sketches", lambda products, by, *more: seen.append(by) or real(products, by, *more))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part.filter("p_partkey % 50 = 7").write.parquet(f"{tmp_path}/few/part.parquet")
+    part.limit(0).write.parquet(f"{tmp_path}/none/part.parquet")
+    assert {r["as_whole"] for r in queries.product_sketches(spark, f"{tmp_path}/few").collect()} == {True}
+    assert seen == [["host", "part"], ["host"]]
+    assert queries.product_sketches(spark, f"{tmp_path}/none").count() == 0
