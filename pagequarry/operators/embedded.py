@@ -8,7 +8,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from decimal import ROUND_HALF_UP, Decimal
+from functools import reduce
 from html.parser import HTMLParser
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -171,10 +173,12 @@ def _scopes(html: Column) -> Column:
     return F.regexp_count(html, F.lit(r"(?i)\bitemscope\b"))
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    """The quoted value of an attribute of a tag; null if it has none or an empty one."""
+def _attribute(tag: Column, *names: str) -> Column:
+    """The quoted value of an attribute of a tag, of several names the first; null if it has none or an empty one. A tag without the letters of a name is not searched for it."""
+    name = names[0] if len(names) == 1 else f"(?:{'|'.join(names)})"
     value = lambda quote: F.nullif(F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*{quote}([^{quote}]*){quote}", 1), F.lit(""))
-    return F.coalesce(value('"'), value("'"))
+    held = reduce(or_, [F.contains(F.lower(tag), F.lit(n)) for n in names])
+    return F.when(held, F.coalesce(value('"'), value("'")))
 
 
 def _properties(html: Column) -> Column:
@@ -339,7 +343,7 @@ def meta_candidates(html: Column) -> Column:
     any ``product:`` property with a value; plain ``og:`` pages give none."""
     tags = F.transform(
         F.regexp_extract_all(html, F.lit(META), F.lit(0)),
-        lambda t: F.struct(F.lower(F.coalesce(_attribute(t, "(?:property|name)"), F.lit(""))).alias("k"), F.coalesce(_attribute(t, "content"), F.lit("")).alias("v")),
+        lambda t: F.struct(F.lower(F.coalesce(_attribute(t, "property", "name"), F.lit(""))).alias("k"), F.coalesce(_attribute(t, "content"), F.lit("")).alias("v")),
     )
 
     names = {

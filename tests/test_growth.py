@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagequarry import queries
 from pagequarry.functions.text import decode_entities
+from pagequarry.operators import embedded
 from pagequarry.plans import incremental
 from pagequarry.sources import pages
 from pagequarry.sources.pages import spread
@@ -128,3 +129,11 @@ def test_product_sketches_makes_all_increments_in_one_pass(spark, tmp_path, sf_d
     assert {r["as_whole"] for r in queries.product_sketches(spark, f"{tmp_path}/few").collect()} == {True}
     assert seen == [["host", "part"], ["host"]]
     assert queries.product_sketches(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_tags_without_the_letters_are_not_searched_for_an_attribute(spark):
+    rows = [("<a>",), ("<a content='x'>",), ('<a CONTENT = "y" content=\'x\'>',), ('<a content="" Content=\'z\'>',), ('<a content="">',), ("<a name='n' property=\"p\">",), (None,)]
+    held = spark.createDataFrame(rows, "tag string")
+    found = held.select(embedded._attribute(F.col("tag"), "content").alias("one"), embedded._attribute(F.col("tag"), "property", "name").alias("either"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Contains(lower(tag") == 3
+    assert [tuple(r) for r in found.collect()] == [(None, None), ("x", None), ("y", None), ("z", None), (None, None), (None, "p"), (None, None)]
