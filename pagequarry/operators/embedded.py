@@ -55,7 +55,7 @@ def jsonld_blocks(pages: DataFrame) -> DataFrame:
 def blocks_of(html: Column) -> Column:
     """Of each stretch up to a closed script, what follows the first opening of JSON-LD."""
     closed = let(F.split(html, SCRIPT_END), lambda parts: F.slice(parts, F.lit(1), F.size(parts) - 1))
-    found = F.transform(F.filter(closed, lambda p: F.contains(F.lower(p), F.lit("ld+json"))), lambda p: F.when(p.rlike(BLOCK), F.regexp_extract(p, BLOCK, 1)))
+    found = F.transform(F.filter(closed, lambda p: F.contains(F.lower(p), F.lit("ld+json"))), lambda p: let(F.regexp_extract(p, BLOCK, 1), lambda b: F.when((b != "") | p.rlike(BLOCK), b)))
     return F.filter(found, lambda b: b.isNotNull())
 
 

@@ -137,3 +137,12 @@ def test_tags_without_the_letters_are_not_searched_for_an_attribute(spark):
     found = held.select(embedded._attribute(F.col("tag"), "content").alias("one"), embedded._attribute(F.col("tag"), "property", "name").alias("either"))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Contains(lower(tag") == 3
     assert [tuple(r) for r in found.collect()] == [(None, None), ("x", None), ("y", None), ("z", None), (None, None), (None, "p"), (None, None)]
+
+
+def test_a_block_is_searched_once(spark):
+    """A second time only where the first gave no text: an empty block, or no JSON-LD."""
+    script = "<script type='application/ld+json'>"
+    rows = [(f"{script}{{}}</script>",), (f"{script}</script>",), ("<p>ld+json</script>",), (f"{script}open",), (f"a</script>{script}1</SCRIPT>{script}2</script>",), (None,)]
+    found = spark.createDataFrame(rows, "html string").select(embedded.blocks_of(F.col("html")).alias("b"))
+    assert "CASE WHEN RLIKE" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["b"] for r in found.collect()] == [["{}"], [""], [], [], ["1", "2"], None]
