@@ -146,3 +146,10 @@ def test_a_block_is_searched_once(spark):
     found = spark.createDataFrame(rows, "html string").select(embedded.blocks_of(F.col("html")).alias("b"))
     assert "CASE WHEN RLIKE" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert [r["b"] for r in found.collect()] == [["{}"], [""], [], [], ["1", "2"], None]
+
+
+def test_pages_without_the_letters_are_not_searched_for_scopes(spark):
+    rows = [("<p>",), ("<p itemscope>",), ("<p ITEMSCOPE><b ItemScope=''>",), ("<p itemscopes xitemscope>",), ("itemſcope",), ("",), (None,)]
+    found = spark.createDataFrame(rows, "html string").select(embedded._scopes(F.col("html")).alias("n"))
+    assert "CASE WHEN Contains(lower(html" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["n"] for r in found.collect()] == [0, 1, 2, 0, 0, 0, 0]
