@@ -102,7 +102,7 @@ def _scalar(value: Column, otherwise: Callable[[Column], Column] | None = None)
     """Text of a value; of an object or an array, which only a text that begins like one can be, what ``otherwise`` makes of it, or null."""
     nested = F.schema_of_variant(value).rlike("^(?:OBJECT|ARRAY)")
     other = F.lit(None).cast("string") if otherwise is None else otherwise(value)
-    return let(F.try_variant_get(value, "$", "string"), lambda t: F.when(t.rlike(r"^[\[{]") & nested, other).otherwise(t))
+    return let(F.try_variant_get(value, "$", "string"), lambda t: F.when((t.startswith("[") | t.startswith("{")) & nested, other).otherwise(t))
 
 
 def _texts(values: list[Column], *inner: str) -> Column:

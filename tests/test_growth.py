@@ -153,3 +153,8 @@ def test_pages_without_the_letters_are_not_searched_for_scopes(spark):
     found = spark.createDataFrame(rows, "html string").select(embedded._scopes(F.col("html")).alias("n"))
     assert "CASE WHEN Contains(lower(html" in found._jdf.queryExecution().optimizedPlan().toString()
     assert [r["n"] for r in found.collect()] == [0, 1, 2, 0, 0, 0, 0]
+
+
+def test_values_are_told_from_objects_without_a_pattern(spark, big_dir):
+    plan = queries.jsonld_products(spark, big_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert r"^[\[{]" not in plan
